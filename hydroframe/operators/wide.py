@@ -76,7 +76,9 @@ def combined(measurements: DataFrame, parameters: Parameters) -> RDD:
         other = row[4] or row[5]
         return {name: (row[1], row[3] if row[3] is not None else other, row[3], row[3], other, other)}
 
-    pairs = cells.rdd.map(lambda row: (row[0], register(row)))
+    rows = cells.rdd
+    rows.setName("cells of " + ", ".join(sorted(measurements.inputFiles())[:3]))
+    pairs = rows.map(lambda row: (row[0], register(row)))
     parts = max(int(measurements.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     return pairs.combineByKey(lambda c: c, merge_cells, merge_cells, parts)
 
