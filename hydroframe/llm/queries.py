@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydroframe.llm import abuse, canonical, encode, leaks
+from hydroframe.llm import abuse, canonical, encode, leaks, variants
 from hydroframe.plans.io import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,16 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return canonical.map_names(table(spark, d, "field_entries"), table(spark, d, "water_body_aliases"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of labels of the same monitoring point."""
+    return variants.pairs(table(spark, d, "site_labels"))
+
+
+def p7_points(spark: SparkSession, d: str) -> DataFrame:
+    """The monitoring point of every label."""
+    return variants.points(table(spark, d, "site_labels"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
     return encode.encode_corpus(table(spark, d, "documents"))
@@ -48,4 +58,4 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return abuse.rates(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p5_found, p8_ids, p9_found, p9_spans, p10_found, p10_scores, p10_rates)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p5_found, p7_found, p7_points, p8_ids, p9_found, p9_spans, p10_found, p10_scores, p10_rates)}
