@@ -1,34 +1,503 @@
-"""Queries over the star-schema tables for the engine's analytical operators."""
+"""Queries over the star-schema tables for the engine's analytical operators, with SQL for comparison.
+
+Suppliers stand for stations (position from the key, a heap-shaped tree of channels: k flows to k/2), line items and
+events for measurements, nations for surfaces. Floats are rounded on both sides.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hydroframe.functions import names
+from hydroframe.functions import text as X
+from hydroframe.operators import channels, graph, identity, interpolate, screening, series, standardize, stats
 from hydroframe.plans.io import table
+from hydroframe.sources import tables
+from hydroframe.streaming import measurements as streaming
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query with its equivalent SQL."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+# Measurements made of line items.
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"), F.col("l_suppkey").alias("station"), F.concat("l_returnflag", "l_linestatus").alias("family"), F.col("l_quantity").alias("value"), F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month")
+    )
+
+
+_ITEMS = "SELECT l_orderkey * 10 + l_linenumber AS row_id, l_suppkey AS station, l_returnflag || l_linestatus AS family, l_quantity AS value, year(l_shipdate) AS year, month(l_shipdate) AS month FROM lineitem"
+
+
+def _stations(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    return table(spark, d, "supplier").select(F.col("s_nationkey").alias("surface"), k.alias("id"), (30 + (k * 37 % 100) / 100).alias("lat"), (76 + (k * 61 % 100) / 100).alias("lon"), F.col("s_acctbal").alias("value"))
+
+
+_STATIONS = "SELECT s_nationkey AS surface, s_suppkey AS id, 30 + (s_suppkey * 37 % 100) / 100.0 AS lat, 76 + (s_suppkey * 61 % 100) / 100.0 AS lon, s_acctbal AS value FROM supplier"
+_HAVERSINE = "2 * 6371000.0 * asin(sqrt(least(1.0, greatest(0.0, pow(sin((radians({b}.lat) - radians({a}.lat)) / 2), 2) + cos(radians({a}.lat)) * cos(radians({b}.lat)) * pow(sin((radians({b}.lon) - radians({a}.lon)) / 2), 2)))))"
+
+
+def _d(a: str, b: str) -> str:
+    return _HAVERSINE.format(a=a, b=b)
+
 
+_QUARTILES = "round(min({v}), {n}) AS min, round(quantile_cont({v}, 0.25), {n}) AS q1, round(quantile_cont({v}, 0.5), {n}) AS median, round(quantile_cont({v}, 0.75), {n}) AS q3, round(max({v}), {n}) AS max"
+_NUM = r"'^[-+]?(\d+(\.\d*)?|\.\d+)([eE][-+]?\d+)?$'"
 
+
+def _q(v: str, n: int) -> str:
+    return _QUARTILES.format(v=v, n=n)
+
+
+@query(f"SELECT event_type AS parameter, count(value) AS count, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, {_q('value', 6)} FROM events GROUP BY event_type")
 def describe_by_parameter(spark: SparkSession, d: str) -> DataFrame:
-    """Count, mean, sample deviation and quartiles of the events' values per type."""
-    q = lambda p, n: F.round(F.percentile("value", F.lit(p)), 6).alias(n)
-    return (
-        table(spark, d, "events")
-        .groupBy(F.col("event_type").alias("parameter"))
-        .agg(
-            F.count("value").alias("count"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_samp("value"), 6).alias("std"),
-            F.round(F.min("value"), 6).alias("min"), q(0.25, "q1"), q(0.5, "median"), q(0.75, "q3"), F.round(F.max("value"), 6).alias("max"),
-        )
-    )
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (describe_by_parameter,)}
-
-ORACLE: dict[str, str] = {
-    "describe_by_parameter": """
-        SELECT event_type AS parameter, count(value) AS count, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std,
-               round(min(value), 6) AS min, round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.5), 6) AS median,
-               round(quantile_cont(value, 0.75), 6) AS q3, round(max(value), 6) AS max
-        FROM events GROUP BY event_type""",
-}
+    """F1 over events."""
+    return stats.describe(table(spark, d, "events"), "event_type", "value")
+
+
+@query(
+    f"""WITH m AS (SELECT trim(regexp_replace(coalesce(parameter, ''), '\\s+', ' ', 'g')) AS parameter, CASE WHEN regexp_matches(trim(value), {_NUM}) THEN TRY_CAST(trim(value) AS DOUBLE) END AS v FROM measurements)
+    SELECT parameter, count(v) AS count, round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS std, {_q('v', 4)} FROM m GROUP BY parameter"""
+)
+def describe_measurements(spark: SparkSession, d: str) -> DataFrame:
+    """F1 with the stricter table numbers (C3) over the delivered parameters."""
+    m = table(spark, d, "measurements").select(X.clean(F.col("parameter")).alias("parameter"), X.frame_number(F.col("value")).alias("v"))
+    return stats.describe(m, "parameter", "v", 4)
+
+
+@query(f"WITH m AS ({_ITEMS}) SELECT station, family, year, NULL::INTEGER AS month, count(*) AS n, {_q('value', 4)} FROM m GROUP BY station, family, year UNION ALL SELECT station, family, NULL, month, count(*), {_q('value', 4)} FROM m GROUP BY station, family, month")
+def boxplot_year_month(spark: SparkSession, d: str) -> DataFrame:
+    """F2 by grouping sets."""
+    return stats.boxplots(_items(spark, d), *(F.col(c) for c in ("station", "family", "year", "month", "value")))
+
+
+@query(
+    f"""WITH m AS ({_ITEMS}), g AS (SELECT family, year, count(value) AS count, avg(value) AS mean, quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM m GROUP BY family, year)
+    SELECT g.family, g.year, any_value(g.count) AS count, {_q('m.value', 4)}, round(any_value(g.mean), 4) AS mean, round(any_value(b - a), 4) AS iqr,
+           round(min(m.value) FILTER (m.value >= a - 1.5 * (b - a)), 4) AS lower_whisker, round(max(m.value) FILTER (m.value <= b + 1.5 * (b - a)), 4) AS upper_whisker
+    FROM m JOIN g USING (family, year) GROUP BY g.family, g.year"""
+)
+def distribution_whiskers(spark: SparkSession, d: str) -> DataFrame:
+    """F3 per family and year."""
+    return stats.distribution(_items(spark, d), ["family", "year"], "value")
+
+
+_YEARS = list(range(1992, 2003))
+
+
+@query(f"WITH m AS ({_ITEMS}) SELECT station, " + ", ".join(f"round(avg(value) FILTER (year = {y}), 4) AS y{y}" for y in _YEARS) + " FROM m GROUP BY station")
+def station_year_pivot(spark: SparkSession, d: str) -> DataFrame:
+    """F8: one column per year."""
+    return stats.station_year_pivot(_items(spark, d), "station", "year", "value", _YEARS)
+
+
+@query(f"WITH m AS ({_ITEMS}), c AS (SELECT station, year, round(avg(value), 4) AS mean, count(value) AS n FROM m GROUP BY ALL) SELECT s.station, y.year, c.mean, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT station FROM m) s CROSS JOIN (SELECT DISTINCT year FROM m) y LEFT JOIN c ON c.station = s.station AND c.year = y.year")
+def station_year_map(spark: SparkSession, d: str) -> DataFrame:
+    """The scaffold of stations and years."""
+    return stats.station_year_means(_items(spark, d), "station", "year", "value")
+
+
+@query(
+    f"""WITH m AS (SELECT *, CASE substr(family, 2, 1) WHEN 'F' THEN 'min' ELSE CASE WHEN station % 3 = 0 THEN '' ELSE 'max' END END AS variant, substr(family, 1, 1) AS fam FROM ({_ITEMS})),
+    y AS (SELECT fam, station, year, avg(value) FILTER (variant = '') AS r, avg(value) FILTER (variant = 'min') AS lo, avg(value) FILTER (variant = 'max') AS hi, count(*) AS n FROM m GROUP BY ALL),
+    z AS (SELECT *, coalesce(r, lo) AS l, coalesce(r, hi) AS h, (r IS NULL)::INT AS ranged FROM y),
+    p AS (SELECT 'all_years' AS period, * FROM z UNION ALL SELECT year::VARCHAR, * FROM z),
+    g AS (SELECT period, fam AS family, station, avg(l) AS a, avg(h) AS b, sum(ranged) AS ranged, sum(n) AS sample_count, count(*) AS year_count FROM p GROUP BY ALL),
+    s AS (SELECT *, CASE WHEN a > b THEN b ELSE a END AS lower_, CASE WHEN a > b THEN a ELSE b END AS upper_ FROM g)
+    SELECT period, family, station, 'u' AS unit, round(lower_, 4) AS lower, round(upper_, 4) AS upper, round(coalesce((lower_ + upper_) / 2, lower_, upper_), 4) AS value,
+           CASE WHEN ranged = 0 THEN 'reading' WHEN a IS NOT NULL AND b IS NOT NULL THEN 'range' WHEN a IS NULL THEN 'max only' ELSE 'min only' END AS kind, sample_count::BIGINT AS sample_count, year_count FROM s"""
+)
+def station_values_interval(spark: SparkSession, d: str) -> DataFrame:
+    """intervals of stations per period."""
+    tag = F.when(F.substring("family", 2, 1) == "F", "min").when(F.col("station") % 3 == 0, "").otherwise("max")
+    return stats.station_values(_items(spark, d).select("row_id", F.substring("family", 1, 1).alias("family"), tag.alias("variant"), F.lit("u").alias("unit"), "station", "year", "value"))
+
+
+_CELLS = ["feed", "parameter", "unit", "month", "value", "data_source", "year", "location", "remarks"]
+
+
+def _missing(c: str) -> str:
+    m = f"lower(trim(coalesce({c}, ''))) IN ('', 'na', 'n/a', 'null', 'none', 'nan')"
+    return m + " AND lower(trim(parameter)) <> 'ph'" if c == "unit" else m
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) FILTER ({_missing(c)}) AS missing FROM measurements" for c in _CELLS))
+def missing_cells(spark: SparkSession, d: str) -> DataFrame:
+    """missing cells of every column in one pass."""
+    return standardize.missing_cells(table(spark, d, "measurements").select(*_CELLS).withColumnRenamed("parameter", "Parameter")).withColumn("column_name", F.lower("column_name"))
+
+
+@query("SELECT count(*) AS records, count(DISTINCT location) AS locations, count(DISTINCT parameter) AS parameters, count(*) FILTER (coalesce(latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180, false)) AS mapped, count(*) FILTER (NOT coalesce(latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180, false)) AS unmapped FROM measurements")
+def dataset_summary(spark: SparkSession, d: str) -> DataFrame:
+    """F5, D6."""
+    return stats.summary(table(spark, d, "measurements"), "location", "parameter", X.valid_position(F.col("latitude"), F.col("longitude")))
+
+
+@query("SELECT row_id, trim(regexp_replace(translate(coalesce(unit, ''), '–Â', '-'), '\\s+', ' ', 'g')) AS unit, trim(regexp_replace(translate(coalesce(remarks, ''), '–Â', '-'), '\\s+', ' ', 'g')) AS remarks FROM measurements")
+def clean_texts(spark: SparkSession, d: str) -> DataFrame:
+    """C1."""
+    return table(spark, d, "measurements").select("row_id", X.clean(F.col("unit")).alias("unit"), X.clean(F.col("remarks")).alias("remarks"))
+
+
+@query(
+    f"""WITH t AS (SELECT row_id, trim(value) AS p, replace(trim(value), ',', '') AS t FROM measurements)
+    SELECT row_id, round(CASE WHEN regexp_matches(t, '^(\\d+(\\.\\d+)?)x10\\^(\\d+)$') THEN regexp_extract(t, '^(\\d+(\\.\\d+)?)x10', 1)::DOUBLE * pow(10, regexp_extract(t, '\\^(\\d+)$', 1)::DOUBLE) WHEN regexp_matches(t, {_NUM}) THEN TRY_CAST(t AS DOUBLE) END, 6) AS number,
+           round(CASE WHEN regexp_matches(p, {_NUM}) THEN TRY_CAST(p AS DOUBLE) END, 6) AS frame_number FROM t"""
+)
+def parsed_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """The two number readings."""
+    return table(spark, d, "measurements").select("row_id", F.round(X.number(F.col("value")), 6).alias("number"), F.round(X.frame_number(F.col("value")), 6).alias("frame_number"))
+
+
+@query(
+    r"""WITH p AS (SELECT DISTINCT parameter FROM measurements), c AS (SELECT parameter, trim(regexp_replace(parameter, '\s+', ' ', 'g')) AS t FROM p),
+    f AS (SELECT *, trim(regexp_replace(t, '\s*\((max|min)\)\s*$', '', 'i')) AS base FROM c)
+    SELECT parameter, CASE WHEN regexp_full_match(t, '(t[.\-\s]*coliform|total\s+coliform)\s*(\((max|min)\))?', 'i') THEN 'Total Coliform' || CASE lower(regexp_extract(t, '\((max|min)\)$', 1, 'i')) WHEN 'max' THEN ' (Max)' WHEN 'min' THEN ' (Min)' ELSE '' END ELSE t END AS normalized,
+           CASE WHEN regexp_full_match(base, '(t[.\-\s]*|total\s+)coliform', 'i') THEN 'Total Coliform' WHEN regexp_full_match(base, 'f(a?ecal)?[.\-\s]*coliform', 'i') THEN 'Faecal Coliform' ELSE base END AS family,
+           lower(regexp_extract(trim(parameter), '\(\s*(max|min)\s*\)$', 1, 'i')) AS variant,
+           CASE WHEN regexp_matches(trim(parameter), '\(\s*(max|min)\s*\)$', 'i') THEN trim(regexp_replace(trim(parameter), '\s*\([^)]*\)\s*$', '')) ELSE trim(parameter) END AS screening_family FROM f"""
+)
+def parameter_names(spark: SparkSession, d: str) -> DataFrame:
+    """C4 to C7."""
+    p = F.col("parameter")
+    return table(spark, d, "measurements").select("parameter").distinct().select("parameter", X.normalize_parameter(p).alias("normalized"), X.family(p).alias("family"), X.variant(p).alias("variant"), X.screening_family(p).alias("screening_family"))
+
+
+_MONTH_CASE = "CASE " + " ".join(f"WHEN lower(trim(month)) = '{k}' THEN {v}" for k, v in X.MONTHS.items()) + " WHEN TRY_CAST(trim(month) AS INT) BETWEEN 1 AND 12 THEN TRY_CAST(trim(month) AS INT) ELSE 1 END"
+
+
+@query(
+    f"""WITH m AS (SELECT DISTINCT month, year FROM measurements), y AS (SELECT *, TRY_CAST(regexp_extract(trim(coalesce(year, '')), '^((19|20)\\d\\d)(\\.0)?$', 1) AS INT) AS yy, CASE WHEN trim(coalesce(month, '')) <> '' THEN {_MONTH_CASE} END AS mm FROM m),
+    r AS (SELECT month, year, mm, make_date(yy, coalesce(mm, 1), 1) AS date_start, CASE WHEN mm IS NULL THEN make_date(yy, 12, 31) ELSE last_day(make_date(yy, mm, 1)) END AS date_end FROM y WHERE yy IS NOT NULL)
+    SELECT month, year, date_start::VARCHAR AS date_start, date_end::VARCHAR AS date_end, CASE WHEN mm IS NULL THEN 'year' ELSE 'month' END AS date_precision, (year(date_start) * 100 + CASE WHEN mm IS NULL THEN 0 ELSE month(date_start) END)::INT AS sort_key,
+           CASE WHEN mm IS NULL THEN '' ELSE strftime(date_start, '%b') END AS month_label FROM r"""
+)
+def date_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Months and years as ranges with precision, sort key and label."""
+    m = table(spark, d, "measurements").select("month", "year").distinct().withColumn("r", X.date_range(F.lit(""), F.col("year"), F.col("month"), F.lit("")))
+    m = m.where("r is not null").select("month", "year", "r.*")
+    return m.select("*", X.sort_key(F.col("date_start"), F.col("date_precision")).alias("sort_key"), X.month_label(F.col("date_start"), F.col("date_precision")).alias("month_label")).withColumns({c: F.col(c).cast("string") for c in ("date_start", "date_end")})
+
+
+@query("SELECT label_id, coalesce(nullif(regexp_replace(regexp_replace(lower(location), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'location') AS slug, CASE WHEN regexp_matches(location, '\\b(u\\s*/\\s*s|upstream)\\b', 'i') AND NOT regexp_matches(location, '\\b(d\\s*/\\s*s|downstream)\\b', 'i') THEN 'US' WHEN regexp_matches(location, '\\b(d\\s*/\\s*s|downstream)\\b', 'i') AND NOT regexp_matches(location, '\\b(u\\s*/\\s*s|upstream)\\b', 'i') THEN 'DS' ELSE '' END AS marker, list_aggregate(list_sort(list_distinct(regexp_extract_all(upper(location), '[A-Z0-9]+'))), 'string_agg', ' ') AS tokens FROM site_labels WHERE NOT regexp_matches(location, '[0-9]\\.[0-9]')")
+def label_words(spark: SparkSession, d: str) -> DataFrame:
+    """C16 to C18."""
+    s = table(spark, d, "site_labels").where(~F.col("location").rlike(r"[0-9]\.[0-9]"))
+    return s.select("label_id", X.slug(F.col("location")).alias("slug"), X.flow_marker(F.col("location")).alias("marker"), F.array_join(X.label_tokens(F.col("location")), " ").alias("tokens"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_retailprice = floor(p_retailprice) THEN p_retailprice::BIGINT::VARCHAR ELSE p_retailprice::VARCHAR END AS price, CASE trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) WHEN 'boron b' THEN 'boron' ELSE regexp_replace(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')), '\\s+', '_', 'g') END AS key FROM part")
+def keys_and_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """C22, C23."""
+    return table(spark, d, "part").select("p_partkey", X.short_number(F.col("p_retailprice")).alias("price"), X.scale_key(F.col("p_name"), {"boron b": "boron"}).alias("key"))
+
+
+@query(f"WITH s AS ({_STATIONS}) SELECT a.id AS a, b.id AS b, round({_d('a', 'b')}, 3) AS metres, round(sqrt(pow((b.lon - a.lon) * 111320.0 * cos(radians((a.lat + b.lat) / 2)), 2) + pow((b.lat - a.lat) * 111320.0, 2)), 3) AS flat_metres FROM s a JOIN s b ON b.id = a.id + 1")
+def station_distances(spark: SparkSession, d: str) -> DataFrame:
+    """C24, C25 between neighbours by key."""
+    s = _stations(spark, d)
+    b = s.select(F.col("id").alias("b"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
+    j = s.join(b, F.col("b") == F.col("id") + 1)
+    c = [F.col(x) for x in ("lat", "lon", "lat2", "lon2")]
+    return j.select(F.col("id").alias("a"), "b", F.round(X.haversine_m(*c), 3).alias("metres"), F.round(X.flat_m(*c), 3).alias("flat_metres"))
+
+
+@query("SELECT row_number() OVER (ORDER BY part, key) AS sr_no, name FROM (SELECT 0 AS part, n_nationkey AS key, n_name AS name FROM nation UNION ALL SELECT 1, r_regionkey, r_name FROM region)")
+def concat_renumber(spark: SparkSession, d: str) -> DataFrame:
+    """UNION ALL with new numbers."""
+    a = table(spark, d, "nation").select(F.lit(0).alias("part"), F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"))
+    b = table(spark, d, "region").select(F.lit(1).alias("part"), F.col("r_regionkey").alias("key"), F.col("r_name").alias("name"))
+    return tables.with_row_id(a.unionByName(b).orderBy("part", "key"), "sr_no").select("sr_no", "name")
+
+
+@query(
+    """WITH w AS (SELECT p_name AS location, p_brand AS data_source, p_size::VARCHAR || '-' || (p_size + 3)::VARCHAR AS bod, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE p_size::VARCHAR END AS ph, p_partkey FROM part)
+    SELECT location AS "Location", data_source AS "Data Source", 'mg/l' AS "Unit", 'BOD (Min)' AS "Parameter", split_part(bod, '-', 1) AS "Value", p_partkey AS "Date" FROM w
+    UNION ALL SELECT location, data_source, 'mg/l', 'BOD (Max)', split_part(bod, '-', 2), p_partkey FROM w UNION ALL SELECT location, data_source, '', 'pH', ph, p_partkey FROM w WHERE ph <> ''"""
+)
+def wide_to_long_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """Station-per-row reports as measurement rows."""
+    size = F.col("p_size")
+    w = table(spark, d, "part").select(F.col("p_name").alias("Name of Sampling Point"), F.col("p_brand").alias("Source"), F.concat(size.cast("string"), F.lit("-"), (size + 3).cast("string")).alias("BOD (mg/l)"), F.when(F.col("p_partkey") % 5 == 0, "").otherwise(size.cast("string")).alias("pH"), F.col("p_partkey").alias("Date"))
+    return tables.wide_to_long(w).select("Location", "Data Source", "Unit", "Parameter", "Value", "Date")
+
+
+@query(
+    f"""WITH p AS (SELECT location AS station, round(latitude, 6) AS lat, round(longitude, 6) AS lon, count(*) AS n, min(row_id) AS f FROM measurements WHERE latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180 AND location IS NOT NULL GROUP BY ALL),
+    s AS (SELECT a.station, max({_d('a', 'b')}) AS spread FROM p a JOIN p b USING (station) GROUP BY 1), u AS (SELECT station, count(*) AS positions, sum(n)::BIGINT AS n_rows, arg_min(lat, f) AS used_latitude, arg_min(lon, f) AS used_longitude FROM p GROUP BY 1)
+    SELECT station, positions, n_rows, round(spread, 1) AS spread_m, used_latitude, used_longitude FROM u JOIN s USING (station) WHERE spread >= 500"""
+)
+def coordinate_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    """F6 over measurements."""
+    return stats.position_conflicts(table(spark, d, "measurements").where("location is not null"), "location", "latitude", "longitude", "row_id")
+
+
+def _label_rows(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "site_labels").select(F.col("label_id").alias("row_id"), F.upper("location").alias("location"), "latitude", "longitude")
+
+
+@query()
+def label_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Sub-labels near each other."""
+    return identity.candidate_pairs(identity.labels(_label_rows(spark, d)))
+
+
+@query()
+def merged_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Which label is merged into which."""
+    label = identity.labels(_label_rows(spark, d))
+    return identity.merge_groups(label, identity.candidate_pairs(label))
+
+
+def _loo_sql(limit_km: float) -> str:
+    return f"""s AS ({_STATIONS}), p AS (SELECT a.surface, a.id, b.id AS bid, b.value, {_d('a', 'b')} AS d FROM s a JOIN s b ON a.surface = b.surface AND a.id <> b.id),
+    e AS (SELECT surface, id, CASE WHEN min(d) < 1 THEN arg_min(value, (d, bid)) ELSE sum(value / pow(greatest(d, 1.0) / 1000, 2)) / sum(1 / pow(greatest(d, 1.0) / 1000, 2)) END AS estimate, count(*) AS n_stations FROM p WHERE d <= {limit_km * 1000} GROUP BY ALL),
+    o AS (SELECT surface, id, value, (sum(value) OVER w - value) / nullif(count(*) OVER w - 1, 0) AS others_mean FROM s WINDOW w AS (PARTITION BY surface)),
+    l AS (SELECT o.surface, o.id, o.value, e.estimate, e.n_stations, o.others_mean FROM o LEFT JOIN e ON o.surface = e.surface AND o.id = e.id)"""
+
+
+@query(f"WITH {_loo_sql(60)} SELECT surface, id, round(value, 4) AS value, round(estimate, 4) AS estimate, n_stations, round(others_mean, 4) AS others_mean FROM l")
+def loo_idw(spark: SparkSession, d: str) -> DataFrame:
+    """L2: leave-one-out weighting within 60 km."""
+    e = interpolate.leave_one_out(_stations(spark, d), 60.0)
+    return e.select("surface", "id", *(F.round(c, 4).alias(c) for c in ("value", "estimate")), "n_stations", F.round("others_mean", 4).alias("others_mean"))
+
+
+@query(f"WITH {_loo_sql(60)}, g AS (SELECT surface, count(*) AS n_stations, count(estimate) AS n_checked, sqrt(avg(pow(estimate - value, 2))) AS rmse, avg(abs(estimate - value)) AS mae, sqrt(avg(pow(others_mean - value, 2)) FILTER (estimate IS NOT NULL)) AS baseline_rmse FROM l GROUP BY surface) SELECT surface, n_stations, n_checked, round(rmse, 4) AS rmse, round(mae, 4) AS mae, round(baseline_rmse, 4) AS baseline_rmse, round(1 - rmse / baseline_rmse, 3) AS skill FROM g")
+def validation(spark: SparkSession, d: str) -> DataFrame:
+    """F16."""
+    return interpolate.validation(interpolate.leave_one_out(_stations(spark, d), 60.0))
+
+
+_REACH = [5.0, 20.0, 60.0, None]
+
+
+@query(
+    f"""WITH s AS ({_STATIONS}), r AS (SELECT unnest([5.0, 20.0, 60.0, -1.0]) AS reach_km), t AS (SELECT surface, sum(value) AS s, count(*) AS n, stddev_pop(value) AS sd FROM s GROUP BY 1 HAVING count(*) >= 3 AND stddev_pop(value) > 0),
+    p AS (SELECT a.surface, a.id, b.id AS bid, b.value, {_d('a', 'b')} AS d FROM s a JOIN s b ON a.surface = b.surface AND a.id <> b.id),
+    e AS (SELECT surface, id, reach_km, CASE WHEN min(d) < 1 THEN arg_min(value, (d, bid)) ELSE sum(value / pow(greatest(d, 1.0) / 1000, 2)) / sum(1 / pow(greatest(d, 1.0) / 1000, 2)) END AS estimate FROM p, r WHERE reach_km < 0 OR d <= reach_km * 1000 GROUP BY ALL),
+    l AS (SELECT s.surface, s.id, reach_km, s.value, (t.s - s.value) / (t.n - 1) AS others, t.sd, e.estimate FROM s JOIN t USING (surface) CROSS JOIN r LEFT JOIN e USING (surface, id, reach_km)),
+    g AS (SELECT surface, reach_km, sqrt(avg(pow(coalesce(estimate, others) - value, 2))) / any_value(sd) AS e, sqrt(avg(pow(others - value, 2))) / any_value(sd) AS b FROM l GROUP BY ALL),
+    z AS (SELECT reach_km, count(*) AS n_surfaces, round(avg(e), 4) AS score, round(avg(b), 4) AS baseline FROM g GROUP BY 1)
+    SELECT reach_km::DOUBLE AS reach_km, n_surfaces, score, baseline, row_number() OVER (ORDER BY score, CASE WHEN reach_km < 0 THEN 1e9 ELSE reach_km END) = 1 AS chosen, score < baseline AS beats_baseline FROM z"""
+)
+def choose_reach(spark: SparkSession, d: str) -> DataFrame:
+    """The reach with the least scaled leave-one-out error."""
+    return interpolate.choose_reach(_stations(spark, d), reaches=_REACH)
+
+
+@query(
+    f"""WITH s AS ({_STATIONS}), x AS (SELECT surface, min(lat) AS a, max(lat) AS b, min(lon) AS c, max(lon) AS e FROM s GROUP BY 1),
+    b AS (SELECT surface, round(greatest(a - greatest((b - a) * 0.08, 0.01), -90), 6) AS min_lat, round(least(b + greatest((b - a) * 0.08, 0.01), 90), 6) AS max_lat, round(greatest(c - greatest((e - c) * 0.08, 0.01), -180), 6) AS min_lon, round(least(e + greatest((e - c) * 0.08, 0.01), 180), 6) AS max_lon FROM x),
+    g AS (SELECT surface, i AS "row", j AS col, max_lat - i * (max_lat - min_lat) / 15 AS lat, min_lon + j * (max_lon - min_lon) / 15 AS lon FROM b, range(16) t(i), range(16) u(j)),
+    p AS (SELECT g.surface, g."row", g.col, s.id, s.value, {_d('g', 's')} AS d FROM g JOIN s USING (surface))
+    SELECT surface, "row"::INT AS "row", col::INT AS col, round(CASE WHEN min(d) < 1 THEN arg_min(value, (d, id)) ELSE sum(value / pow(greatest(d, 1.0) / 1000, 2)) / sum(1 / pow(greatest(d, 1.0) / 1000, 2)) END, 4) AS estimate, round(min(d), 1) AS nearest_m FROM p GROUP BY ALL"""
+)
+def grid_idw(spark: SparkSession, d: str) -> DataFrame:
+    """The grid of every surface, here 16 by 16."""
+    return interpolate.grid(_stations(spark, d), 16)
+
+
+@query()
+def kriging_models(spark: SparkSession, d: str) -> DataFrame:
+    """Fitted models, all suppliers one surface per region of 16."""
+    return interpolate.kriging(_stations(spark, d).withColumn("surface", F.floor(F.col("id") / 200)), 20)
+
+
+# The tree: supplier k flows to k / 2; an edge is as long as its key tells.
+def _edges(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    return table(spark, d, "supplier").where("s_suppkey >= 2").select(k.alias("edge"), k.alias("up"), F.floor(k / 2).alias("down"), (1000.0 + k * 37 % 100 * 50).alias("length"), F.lit(None).cast("double").alias("weight"))
+
+
+_EDGES = "SELECT s_suppkey AS edge, s_suppkey AS up, s_suppkey // 2 AS down, 1000.0 + s_suppkey * 37 % 100 * 50 AS length FROM supplier WHERE s_suppkey >= 2"
+_FLOW = f"""e AS ({_EDGES}), t(edge, node) AS (SELECT edge, up FROM e UNION ALL SELECT t.edge, e.up FROM t JOIN e ON e.down = t.node),
+    leaf AS (SELECT up FROM e WHERE up NOT IN (SELECT down FROM e)), f AS (SELECT edge, count(*)::DOUBLE AS flow FROM t JOIN leaf ON leaf.up = t.node GROUP BY 1),
+    sh AS (SELECT e.*, f.flow, f.flow / sum(f.flow) OVER (PARTITION BY e.down) AS share FROM e JOIN f USING (edge))"""
+
+
+@query(f"WITH RECURSIVE {_FLOW} SELECT edge, round(flow, 6) AS flow, round(share, 6) AS share FROM sh")
+def flow_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Accumulated flow and shares at junctions."""
+    return graph.flow_shares(_edges(spark, d)).select("edge", F.round("flow", 6).alias("flow"), F.round("share", 6).alias("share"))
+
+
+@query(f"WITH RECURSIVE {_FLOW}, w(start, node, distance, share) AS (SELECT up, up, 0.0::DOUBLE, 1.0::DOUBLE FROM sh UNION ALL SELECT w.start, sh.down, w.distance + sh.length, w.share * sh.share FROM w JOIN sh ON sh.up = w.node WHERE w.distance + sh.length <= 8000) SELECT node AS target, start AS station, 'DOWN' AS relation, round(distance, 3) AS distance, round(share, 6) AS share FROM w WHERE start <> node UNION ALL SELECT start, node, 'UP', round(distance, 3), round(share, 6) FROM w WHERE start <> node")
+def tree_flow_relations(spark: SparkSession, d: str) -> DataFrame:
+    """Flow relations within 8 km."""
+    e = graph.flow_shares(_edges(spark, d))
+    r = graph.relations(e, e.select(F.col("up").alias("node")), 8000.0)
+    return r.select("target", "station", "relation", F.round("distance", 3).alias("distance"), F.round("share", 6).alias("share"))
+
+
+@query(f"WITH RECURSIVE e AS ({_EDGES}), w(node, distance) AS (SELECT 1::BIGINT, 0.0::DOUBLE UNION ALL SELECT e.up, w.distance + e.length FROM w JOIN e ON e.down = w.node) SELECT node, round(distance, 3) AS distance FROM w")
+def outlet_distances(spark: SparkSession, d: str) -> DataFrame:
+    """K7: the way to the outlet."""
+    return graph.outlet_distance(_edges(spark, d), spark.range(1, 2).select(F.col("id").alias("node"))).select("node", F.round("distance", 3).alias("distance"))
+
+
+@query("WITH RECURSIVE e AS (SELECT s_suppkey AS a, s_suppkey + 7 AS b FROM supplier WHERE s_suppkey % 3 = 0 AND s_suppkey + 7 IN (SELECT s_suppkey FROM supplier)), l AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, other) AS (SELECT s_suppkey, s_suppkey FROM supplier UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.other) SELECT node, min(other) AS component FROM r GROUP BY node")
+def connected_components(spark: SparkSession, d: str) -> DataFrame:
+    """Components of a link table."""
+    n = table(spark, d, "supplier").select(F.col("s_suppkey").alias("node"))
+    e = n.where("node % 3 = 0").select(F.col("node").alias("a"), (F.col("node") + 7).alias("b")).join(n.select(F.col("node").alias("b")), "b", "left_semi")
+    return graph.components(n, e.select("a", "b"))
+
+
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("n_nationkey")
+    p = lambda i: F.struct((76 + k % 5 / 5 + i * 0.05).alias("x"), (30 + F.floor(k / 5) / 5 + i * 0.01).alias("y"))
+    return table(spark, d, "nation").select(k.cast("long").alias("line_id"), F.concat(F.initcap("n_name"), F.lit(" Drain")).alias("name"), F.array(*(p(F.lit(i)) for i in range(4))).alias("pts"))
+
+
+@query()
+def station_channel_match(spark: SparkSession, d: str) -> DataFrame:
+    """Stations on lines by name, then by distance."""
+    s = _stations(spark, d).join(table(spark, d, "nation").select(F.col("n_nationkey").alias("surface"), "n_name"), "surface").select(F.col("id").alias("station"), F.when(F.col("id") % 2 == 0, F.concat(F.initcap("n_name"), F.lit(" Nala"))).otherwise("").alias("name"), "lat", "lon")
+    return channels.match_stations(s, _lines(spark, d), 2.0)
+
+
+@query()
+def line_channels(spark: SparkSession, d: str) -> DataFrame:
+    """K5: touching lines of one name."""
+    return channels.channels(_lines(spark, d))
+
+
+@query(f"WITH RECURSIVE e AS ({_EDGES}), w(node, distance) AS (SELECT 1::BIGINT, 0.0::DOUBLE UNION ALL SELECT e.up, w.distance + e.length FROM w JOIN e ON e.down = w.node) SELECT s.s_nationkey AS channel, s.s_suppkey AS station, row_number() OVER (PARTITION BY s.s_nationkey ORDER BY w.distance DESC, s.s_name)::INT AS position FROM supplier s JOIN w ON w.node = s.s_suppkey")
+def channel_order(spark: SparkSession, d: str) -> DataFrame:
+    """Stations of a channel from far to near its outlet."""
+    out = graph.outlet_distance(_edges(spark, d), spark.range(1, 2).select(F.col("id").alias("node")))
+    placed = table(spark, d, "supplier").join(out, F.col("s_suppkey") == F.col("node")).select(F.col("s_nationkey").alias("channel"), F.col("s_suppkey").alias("station"), F.col("s_name").alias("label"), F.col("distance").alias("to_outlet_m"))
+    return channels.order_stations(placed)
+
+
+@query(f"SELECT edge, k::INT AS k, round(length * k / ceil(length / 500), 4) AS t FROM (SELECT *, unnest(range(0, ceil(length / 500)::BIGINT + 1)) AS k FROM ({_EDGES}))")
+def samples_along(spark: SparkSession, d: str) -> DataFrame:
+    """Points along edges."""
+    return channels.samples_along(_edges(spark, d), 500.0).select("edge", "k", F.round("t", 4).alias("t"))
+
+
+@query("WITH e AS (SELECT CAST(ts AS DATE) AS day, sum(value) AS v FROM events GROUP BY 1), p AS (SELECT o_orderkey AS id, date '2024-01-01' + (o_orderkey % 25)::INT AS a, date '2024-01-01' + (o_orderkey % 25)::INT + (o_orderkey % 11)::INT AS b FROM orders) SELECT id, round(sum(v), 4) AS total FROM p LEFT JOIN e ON e.day BETWEEN p.a AND p.b GROUP BY id")
+def precipitation_period_sum(spark: SparkSession, d: str) -> DataFrame:
+    """Sums of daily values over periods."""
+    daily = table(spark, d, "events").select(F.lit("x").alias("place"), F.to_date("ts").alias("day"), "value")
+    k = F.col("o_orderkey")
+    start = F.date_add(F.lit("2024-01-01").cast("date"), (k % 25).cast("int"))
+    p = table(spark, d, "orders").select(k.alias("id"), F.lit("x").alias("place"), start.alias("start"), F.date_add(start, (k % 11).cast("int")).alias("end"))
+    return series.period_sums(p, daily).select("id", "total")
+
+
+@query("SELECT user_id AS station, arg_max(event_id, (year(ts) * 100 + month(ts), event_type, -event_id)) AS event_id FROM events GROUP BY 1")
+def latest_samples(spark: SparkSession, d: str) -> DataFrame:
+    """G1: the latest sample of each station."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("station"), (F.year("ts") * 100 + F.month("ts")).alias("sort_key"), F.col("event_type").alias("file_name"), F.col("event_id").alias("row_id"), "event_id")
+    return screening.latest(e).select("station", "event_id")
+
+
+@query()
+def screened_samples(spark: SparkSession, d: str) -> DataFrame:
+    """Every sample under every use."""
+    kinds = ["pH", "Turbidity", "DO", "BOD", "Chloride", "NO3-N", "Faecal Coliform"]
+    e = table(spark, d, "events")
+    p = F.element_at(F.array(*map(F.lit, kinds)), (F.pmod(F.xxhash64("event_type", "event_id"), F.lit(len(kinds))) + 1).cast("int"))
+    r = e.select(F.col("user_id").alias("station"), F.date_format("ts", "yyyyMMdd").alias("sample"), F.lit("f").alias("file_name"), F.col("event_id").alias("row_id"), p.alias("parameter"), (F.col("value") % 12).alias("numeric_value"))
+    s = screening.screen(r)
+    return s.select("station", "sample", "use_case", "status", *(F.array_join(c, "; ").alias(c) for c in ("core_reasons", "extended_reasons", "confirmed", "proxy")))
+
+
+@query("SELECT event_id, CASE WHEN value IS NULL THEN 'unknown' WHEN event_type = 'click' THEN CASE WHEN value BETWEEN 6.5 AND 8.5 THEN 'safe' ELSE 'unsafe' END WHEN value <= 50 THEN 'safe' ELSE 'unsafe' END AS status FROM events")
+def scale_status(spark: SparkSession, d: str) -> DataFrame:
+    """One value on one scale."""
+    low = F.when(F.col("event_type") == "click", 6.5).otherwise(F.lit(float("-inf")))
+    high = F.when(F.col("event_type") == "click", 8.5).otherwise(50.0)
+    return table(spark, d, "events").select("event_id", screening.status(F.col("value"), low, high).alias("status"))
+
+
+@query("SELECT s_suppkey AS station, CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE s_suppkey * 3.5 END AS elevation, CASE WHEN s_suppkey % 11 = 0 THEN 'invalid_coordinates' WHEN s_suppkey % 7 = 0 THEN 'no_data' ELSE 'ok' END AS status FROM supplier WHERE s_suppkey % 11 <> 0 UNION ALL SELECT s_suppkey, NULL, 'invalid_coordinates' FROM supplier WHERE s_suppkey % 11 = 0")
+def elevation_status(spark: SparkSession, d: str) -> DataFrame:
+    """Elevations of distinct stations."""
+    k = F.col("s_suppkey")
+    lon = (k % 1000) / 10
+    s = table(spark, d, "supplier").select(k.alias("Location"), F.when(k % 11 == 0, 100.0).otherwise(10 + F.floor(k / 1000)).alias("Latitude"), lon.alias("Longitude"))
+    t = table(spark, d, "supplier").where("s_suppkey % 7 <> 0").select(lon.alias("lon"), (10 + F.floor(k / 1000)).alias("lat"), (k * 3.5).alias("m"))
+    return tables.elevations(s, t).select(F.col("Location").alias("station"), F.col("Elevation").cast("double").alias("elevation"), "status")
+
+
+@query(f"WITH s AS ({_STATIONS}) SELECT id FROM s WHERE lon + 0.01 >= 76.2 AND lon <= 76.6 AND lat + 0.01 >= 30.1 AND lat <= 30.5")
+def box_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Rows whose box meets the given one."""
+    s = _stations(spark, d).select("id", F.col("lon").alias("xmin"), (F.col("lon") + 0.01).alias("xmax"), F.col("lat").alias("ymin"), (F.col("lat") + 0.01).alias("ymax"))
+    return tables.in_box(s, 76.2, 30.1, 76.6, 30.5).select("id")
+
+
+@query("SELECT n_nationkey AS surface, s.s_suppkey AS id FROM (SELECT s_nationkey AS n_nationkey, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS n FROM supplier) s WHERE n <= 6")
+def top_six(spark: SparkSession, d: str) -> DataFrame:
+    """H3: a top-k report per group."""
+    s = _stations(spark, d).withColumn("n", F.row_number().over(stats.W.partitionBy("surface").orderBy(F.col("value").desc(), "id")))
+    return s.where("n <= 6").select("surface", "id")
+
+
+@query("SELECT location AS station, arg_min({'a': latitude, 'b': longitude}, row_id).a AS latitude, arg_min({'a': latitude, 'b': longitude}, row_id).b AS longitude FROM measurements WHERE latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180 AND location IS NOT NULL GROUP BY 1")
+def station_dimension(spark: SparkSession, d: str) -> DataFrame:
+    """the first valid position of every station."""
+    m = table(spark, d, "measurements").where(X.valid_position(F.col("latitude"), F.col("longitude")) & F.col("location").isNotNull())
+    g = m.groupBy(F.col("location").alias("station")).agg(F.min_by(F.struct("latitude", "longitude"), "row_id").alias("p"))
+    return g.select("station", "p.latitude", "p.longitude")
+
+
+@query("SELECT l_suppkey AS location, l_returnflag AS family, year(l_shipdate) AS year, round(coalesce(avg(l_quantity) FILTER (l_linenumber = 1), avg(l_quantity) FILTER (l_linenumber <> 1)), 4) AS value, count(*) FILTER (l_linenumber = 1) > 0 AS from_year_rows, count(*) AS n FROM lineitem GROUP BY ALL")
+def yearly_preferred(spark: SparkSession, d: str) -> DataFrame:
+    """Whole-year rows before the mean of the others."""
+    r = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("location"), F.col("l_returnflag").alias("family"), F.year("l_shipdate").alias("year"), F.when(F.col("l_linenumber") == 1, "year").otherwise("month").alias("date_precision"), F.col("l_quantity").alias("numeric_value"))
+    return series.yearly(r)
+
+
+@query("SELECT user_id AS location, event_type AS parameter, CAST(ts AS DATE) + INTERVAL 12 HOUR AS midpoint, value AS numeric_value, event_id AS row_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY CAST(ts AS DATE), event_id)::INT AS n FROM events WHERE value IS NOT NULL")
+def trend_points(spark: SparkSession, d: str) -> DataFrame:
+    """Series in the order of their midpoints."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("location"), F.col("event_type").alias("parameter"), F.to_date("ts").alias("date_start"), F.date_add(F.to_date("ts"), 1).alias("date_end"), F.col("value").alias("numeric_value"), F.col("event_id").alias("row_id"))
+    return series.trend(e).withColumn("midpoint", F.col("midpoint").cast("timestamp_ntz"))
+
+
+@query()
+def water_body_names(spark: SparkSession, d: str) -> DataFrame:
+    """The water body named in each label."""
+    e = table(spark, d, "field_entries").select("entry_id", names.parse_water_body("location").alias("water_body"))
+    return e.withColumn("base", names.name_base("water_body"))
+
+
+@query()
+def alias_likeness(spark: SparkSession, d: str) -> DataFrame:
+    """Likeness of aliases and names."""
+    a = table(spark, d, "water_body_aliases").select("alias", "name").distinct()
+    return a.select("alias", "name", F.round(names.name_similarity("alias", "name"), 4).alias("likeness"))
+
+
+@query("SELECT event_type, date_trunc('day', ts) AS start, count(value) AS n, round(avg(value), 6) AS mean, round(min(value), 6) AS min, round(max(value), 6) AS max FROM events GROUP BY ALL")
+def streamed_daily_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Windowed statistics of a stream that reads the events once."""
+    schema = table(spark, d, "events").schema
+    name = f"daily_{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    run = streaming.windowed_stats(stream, "ts", "event_type", "value").writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.table(name).select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n", *(F.round(c, 6).alias(c) for c in ("mean", "min", "max")))
