@@ -17,12 +17,12 @@ from hydroframe.functions import text as X
 QUARTILES = (0.0, 0.25, 0.5, 0.75, 1.0)
 
 
-def describe(df: DataFrame, by: str, value: str, digits: int = 6) -> DataFrame:
+def describe(df: DataFrame, by: str, value: str, digits: int = 6, quantile_digits: int | None = None) -> DataFrame:
     """count, mean, std (sample), min, quartiles, max of value per group; a group without numbers keeps count 0."""
     q = F.percentile(value, F.array(*map(F.lit, QUARTILES)))
     names = ("min", "q1", "median", "q3", "max")
     return df.groupBy(F.col(by).alias("parameter")).agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), q.alias("q")).select(
-        "parameter", "count", F.round("mean", digits).alias("mean"), F.round("std", digits).alias("std"), *(F.round(F.col("q")[i], digits).alias(n) for i, n in enumerate(names))
+        "parameter", "count", F.round("mean", digits).alias("mean"), F.round("std", digits).alias("std"), *(F.round(F.col("q")[i], quantile_digits or digits).alias(n) for i, n in enumerate(names))
     )
 
 
