@@ -75,12 +75,14 @@ def describe_by_parameter(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH m AS (SELECT trim(regexp_replace(coalesce(parameter, ''), '\\s+', ' ', 'g')) AS parameter, CASE WHEN regexp_matches(trim(value), {_NUM}) THEN TRY_CAST(trim(value) AS DOUBLE) END AS v FROM measurements)
-    SELECT parameter, count(v) AS count, round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS std, {_q('v', 7)} FROM m GROUP BY parameter"""
+    SELECT parameter, count(v) AS count, round(avg(v) + 1e-9, 6) AS mean, round(stddev_samp(v) + 1e-9, 6) AS std, round(min(v) + 1e-9, 6) AS min, round(quantile_cont(v, 0.25) + 1e-9, 6) AS q1, round(quantile_cont(v, 0.5) + 1e-9, 6) AS median, round(quantile_cont(v, 0.75) + 1e-9, 6) AS q3, round(max(v) + 1e-9, 6) AS max FROM m GROUP BY parameter"""
 )
 def describe_measurements(spark: SparkSession, d: str) -> DataFrame:
     """F1 with the stricter table numbers (C3) over the delivered parameters."""
     m = table(spark, d, "measurements").select(X.clean(F.col("parameter")).alias("parameter"), X.frame_number(F.col("value")).alias("v"))
-    return stats.describe(m, "parameter", "v", 4, 7)
+    s = stats.describe(m, "parameter", "v", 14)
+    # The nudge keeps exact halves from being rounded apart.
+    return s.select("parameter", "count", *(F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("mean", "std", "min", "q1", "median", "q3", "max")))
 
 
 @query(f"WITH m AS ({_ITEMS}) SELECT station, family, year, NULL::INTEGER AS month, count(*) AS n, {_q('value', 4)} FROM m GROUP BY station, family, year UNION ALL SELECT station, family, NULL, month, count(*), {_q('value', 4)} FROM m GROUP BY station, family, month")
