@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from hydroframe.plans.io import only
+
 #: Vocabulary file; a parameter of every function below.
 RANKS_FILE = os.environ.get("HYDROFRAME_BPE_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: Characters up to which a text is encoded in one piece.
@@ -138,4 +140,4 @@ def encode_corpus(documents: DataFrame, ranks_file: str = RANKS_FILE) -> DataFra
                 flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, flat)], names=["doc_id", "ids"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return only(documents, "doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")

@@ -25,6 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from hydroframe.plans.io import only
+
 #: Words of a searched phrase.
 SEED = 3
 #: Occurrences of an item's phrases that a span needs before it is compared word by word.
@@ -230,7 +232,7 @@ def search_shard(items: Items, docs: list[tuple[int, str | None]]) -> list[tuple
 
 def load_items(benchmark: DataFrame) -> Items:
     """The items, collected; refused beyond MAX_ITEMS."""
-    rows = benchmark.select("item_id", "text").limit(MAX_ITEMS + 1).collect()
+    rows = only(benchmark, "item_id", "text").limit(MAX_ITEMS + 1).collect()
     if len(rows) > MAX_ITEMS:
         raise ValueError(f"a benchmark has at most {MAX_ITEMS} items")
     return Items([(r[0], r[1]) for r in rows])
@@ -257,7 +259,7 @@ def leaked_spans(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         if docs:
             yield frame(docs)
 
-    return documents.select("doc_id", "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return only(documents, "doc_id", "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
