@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hydroframe.functions.units import PLAIN_NUMBER, conversion, differs, is_missing, parse_number, parse_unit
+from hydroframe.plans.io import only
 
 #: Rows that a parameter list may have; it is held by every task.
 MAX_PARAMETERS = 10_000
@@ -164,7 +165,7 @@ def read_cell(parameters: Parameters, parameter: str | None, unit: str | None, v
 
 def load_parameters(parameters: DataFrame) -> Parameters:
     """The parameter list, collected; it is refused beyond MAX_PARAMETERS rows."""
-    rows = parameters.select("parameter", "long_name", "unit", "kind").limit(MAX_PARAMETERS + 1).collect()
+    rows = only(parameters, "parameter", "long_name", "unit", "kind").limit(MAX_PARAMETERS + 1).collect()
     if len(rows) > MAX_PARAMETERS:
         raise ValueError(f"a parameter list has at most {MAX_PARAMETERS} rows")
     return Parameters(r.asDict() for r in rows)
@@ -194,5 +195,6 @@ def reading(parameters: Parameters, parameter: Column, unit: Column, value: Colu
 def readings(measurements: DataFrame, parameters: DataFrame | Parameters, keep: Iterable[str] = ("row_id",)) -> DataFrame:
     """keep columns of measurements plus the fields of READING."""
     listed = parameters if isinstance(parameters, Parameters) else load_parameters(parameters)
-    m = measurements.select(*keep, reading(listed, F.col("parameter"), F.col("unit"), F.col("value"), F.col("remarks")).alias("reading"))
+    plain = only(measurements, *dict.fromkeys([*keep, "parameter", "unit", "value", "remarks"]))
+    m = plain.select(*keep, reading(listed, F.col("parameter"), F.col("unit"), F.col("value"), F.col("remarks")).alias("reading"))
     return m.select(*keep, "reading.*")

@@ -6,7 +6,7 @@ and retype. Every line is then routed through the chain of its file: rename to t
 the field is absent, cast to the canonical type. Lines are parsed and profiled in Arrow batches and combined before
 the shuffle; only profiles (a row per field and file) are grouped by feed.
 
-Defined cases: null and blank lines carry no cells; lines shorter than the header leave the rest null, surplus cells
+Defined cases: null and blank lines, and lines without file, feed or number, carry no cells; lines shorter than the header leave the rest null, surplus cells
 are dropped; a line repeated within its file counts; of several files with one feed and file_no the smallest file_id
 holds; a file without a header line, or whose predecessor is absent, reports no change; a column without non-missing
 cells has no type and retypes nothing.
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from hydroframe.functions.units import is_missing
+from hydroframe.plans.io import only
 
 SEPARATORS = ",;|\t"
 #: A header stands within so many lines of the file's beginning.
@@ -94,7 +95,7 @@ def find_header(lines: list[tuple[int, str]]) -> tuple[int, str, list[str]] | No
 
 def headers(raw_lines: DataFrame) -> DataFrame:
     """(file_id, header_line, separator, fields) of every file with a header."""
-    first = raw_lines.where(F.col("line").isNotNull() & (F.col("line_no") <= HEADER_WITHIN)).select("file_id", "line_no", "line").distinct()
+    first = only(raw_lines, "file_id", "line_no", "line").where(F.col("line").isNotNull() & F.col("file_id").isNotNull() & (F.col("line_no") <= HEADER_WITHIN)).select("file_id", "line_no", "line").distinct()
     w = W.partitionBy("file_id").orderBy("line_no", "line")
     first = first.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= HEADER_WITHIN)
     grouped = first.groupBy("file_id").agg(F.collect_list(F.struct("line_no", "line")).alias("lines"))
@@ -120,7 +121,7 @@ def mask(cell: str) -> str:
 def lines_with_header(raw_lines: DataFrame) -> DataFrame:
     """Every data line beside the header of its file."""
     h = headers(raw_lines)
-    body = raw_lines.where(F.trim("line") != "").select("file_id", "feed", "file_no", "line_no", "line")
+    body = only(raw_lines, "file_id", "feed", "file_no", "line_no", "line").where((F.trim("line") != "") & F.col("feed").isNotNull() & F.col("file_no").isNotNull())
     return body.join(h, "file_id").where(F.col("line_no") > F.col("header_line"))
 
 

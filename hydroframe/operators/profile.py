@@ -19,6 +19,7 @@ from pyspark.sql import Window as W
 
 from hydroframe.functions.measure import Parameters, readings
 from hydroframe.functions.units import MISSING
+from hydroframe.plans.io import only
 
 #: Size parameter of the KLL sketches: rank errors stay under 0.3 %.
 KLL_K = 1000
@@ -57,7 +58,8 @@ def checks() -> list[Check]:
 
 def states(measurements: DataFrame, parameters: DataFrame | Parameters) -> DataFrame:
     """The mergeable states: one row per feed, load and canonical parameter, from one scan."""
-    r = readings(measurements.withColumn("unit_missing", missing("unit")), parameters, ("feed", "load_id", "value", "unit", "unit_missing"))
+    plain = only(measurements, "feed", "load_id", "parameter", "unit", "value", "remarks").withColumn("unit_missing", missing("unit"))
+    r = readings(plain, parameters, ("feed", "load_id", "value", "unit", "unit_missing"))
     level = F.when(F.col("plain") & (F.col("variant") == "") & (F.col("kind") == "number"), F.col("common_value"))
     shares = [a for c in checks() for a in (F.count_if(c.among).alias(f"{c.column}_{c.name}_of"), F.count_if(c.among & c.holds).alias(f"{c.column}_{c.name}_n"))]
     return r.groupBy("feed", "load_id", "parameter", "kind").agg(
@@ -120,7 +122,7 @@ def against_history(metric: DataFrame) -> DataFrame:
 
 def own_categories(measurements: DataFrame) -> DataFrame:
     """(feed, load_id, share): non-missing unit cells that hold a text, as written, of no other load of the feed."""
-    counts = measurements.where(~missing("unit")).groupBy("feed", "load_id", "unit").agg(F.count(F.lit(1)).alias("n"))
+    counts = only(measurements, "feed", "load_id", "unit").where(~missing("unit")).groupBy("feed", "load_id", "unit").agg(F.count(F.lit(1)).alias("n"))
     alone = F.count(F.lit(1)).over(W.partitionBy("feed", "unit")) == 1
     return counts.withColumn("own", F.when(alone, F.col("n")).otherwise(0)).groupBy("feed", "load_id").agg(F.try_divide(F.sum("own"), F.sum("n")).alias("share"))
 

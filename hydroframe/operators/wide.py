@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hydroframe.functions.measure import Parameters, load_parameters, readings
+from hydroframe.plans.io import only
 
 #: Two numbers of a cell agree if they differ by no more than this share of the larger.
 TOLERANCE = 0.01
@@ -65,7 +66,8 @@ def slots(parameters: Parameters) -> list[tuple[str, str]]:
 def combined(measurements: DataFrame, parameters: Parameters) -> RDD:
     """(sample_id, {slot: register})."""
     known = {s for s, _ in slots(parameters)}
-    r = readings(measurements.where("sample_id is not null"), parameters, ("row_id", "sample_id"))
+    plain = only(measurements, "row_id", "sample_id", "parameter", "unit", "value", "remarks").where("sample_id is not null")
+    r = readings(plain, parameters, ("row_id", "sample_id"))
     slot = F.when(F.col("variant") == "", F.col("parameter")).otherwise(F.concat("parameter", F.lit(" ("), "variant", F.lit(")")))
     cells = r.select("sample_id", "row_id", F.when(~F.col("missing"), slot).alias("slot"), "common_value", F.col("day").cast("string").alias("day"), "text")
 

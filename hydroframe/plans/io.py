@@ -7,6 +7,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,6 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def only(df: DataFrame, *names: str) -> DataFrame:
+    """The named columns alone, found by exact name: other columns, also those that differ in case only, can't clash."""
+    plain = df.toDF(*(f"_c{i}" for i in range(len(df.columns))))
+    return plain.select(*(F.col(f"_c{df.columns.index(n)}").alias(n) for n in names))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder: the one the cluster names, else (tests, local mode) an own one."""
     context = spark.sparkContext
