@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from hydroframe.functions import names
 from hydroframe.functions import text as X
-from hydroframe.operators import channels, graph, identity, interpolate, screening, series, standardize, stats
+from hydroframe.operators import channels, graph, identity, interpolate, river, screening, series, standardize, stats
 from hydroframe.plans.io import table
 from hydroframe.sources import tables
 from hydroframe.streaming import measurements as streaming
@@ -377,6 +377,28 @@ def station_channel_match(spark: SparkSession, d: str) -> DataFrame:
     return channels.match_stations(s, _lines(spark, d), 2.0)
 
 
+def _river(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    extra = _lines(spark, d).withColumns({"kind": F.lit("river"), "upstream_area": F.lit(None).cast("double"), "discharge": F.lit(None).cast("double")})
+    return river.build(extra, _stations(spark, d).select(F.col("id").alias("station"), F.lit("").alias("name"), "lat", "lon"), 5.0)
+
+
+@query()
+def river_relations(spark: SparkSession, d: str) -> DataFrame:
+    """Relations of stations along oriented lines within 32 km."""
+    edges, at = _river(spark, d)
+    return river.relate(at.withColumnRenamed("station", "target"), river.flow_segments(edges, at, 32.0, river.is_tree(edges)), 32.0)
+
+
+@query()
+def river_estimates(spark: SparkSession, d: str) -> DataFrame:
+    """Estimates every kilometre along the water."""
+    edges, at = _river(spark, d)
+    points = channels.samples_along(edges, 1000.0).select(F.concat_ws(":", "edge", "k").alias("target"), "edge", "t")
+    values = _stations(spark, d).select(F.col("id").alias("station"), "value")
+    e = river.along_river(points, river.relate(points, river.flow_segments(edges, at, 32.0), 32.0), values, decay_km=8.0)
+    return e.select("target", "n_stations", *(F.round(c, 4).alias(c) for c in ("estimate", "nearest_m", "confidence")))
+
+
 @query()
 def line_channels(spark: SparkSession, d: str) -> DataFrame:
     """K5: touching lines of one name."""
