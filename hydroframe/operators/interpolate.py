@@ -197,3 +197,123 @@ def kriging(stations: DataFrame, least: int = MIN_KRIGING, on: Sequence[str] = (
         return pd.DataFrame([row])
 
     return stations.groupBy(*on).applyInPandas(run, ", ".join([*names, "n int, range_km double, nugget double, rmse double, note string"]))
+
+
+def fit_river_kriging(d: np.ndarray, share: np.ndarray, linked: np.ndarray, straight: np.ndarray, values: np.ndarray, model: str, limit_m: float) -> dict[str, object] | None:
+    """The parameters of one covariance model with the least leave-one-out error; None where nothing fits.
+
+    d, share and linked relate stations along the water, straight by the great circle. A station without support
+    within the limit (flow for tail_up, any link otherwise) has no estimate.
+    """
+    variance = float(values.var(ddof=1)) if len(values) > 1 else 0.0
+    off = ~np.eye(len(values), dtype=bool)
+    known = d[off & linked & (d > 0)]
+    if not variance > 0 or not len(known):
+        return None
+    support = ((share > 0) if model == "tail_up" else linked) & off & (d <= limit_m)
+    mixes = [(a, b, 1 - a - b) for a, b in ((0.6, 0.2), (0.2, 0.6), (0.2, 0.2), (0.4, 0.4), (0.4, 0.2), (0.2, 0.4), (1 / 3, 1 / 3))] if model == "mixed" else [(0.0, 0.0, 0.0)]
+    best: dict[str, object] | None = None
+    for factor in RANGE_FACTORS:
+        reach = float(np.median(known)) * factor
+        for mix in mixes:
+            shape = covariance(model, share, linked, d, straight, reach, mix)
+            shape = (shape + shape.T) / 2
+            for nugget in NUGGETS:
+                cov = shape * variance * (1 - nugget)
+                np.fill_diagonal(cov, variance)
+                n = len(values)
+                try:
+                    inverse = np.linalg.inv(np.block([[cov, np.ones((n, 1))], [np.ones((1, n)), np.zeros((1, 1))]]))
+                except np.linalg.LinAlgError:
+                    continue
+                loo = values - (inverse[:n, :n] @ values) / np.diag(inverse)[:n]
+                loo = np.where(support.any(1), loo, np.nan)
+                if not np.isfinite(loo).any():
+                    continue
+                rmse = float(np.sqrt(np.nanmean((loo - values) ** 2)))
+                if best is None or rmse < best["rmse"]:
+                    best = {"rmse": rmse, "range_km": reach / 1000, "nugget": nugget, "mix": mix, "loo": loo}
+    return best
+
+
+def choose_method(relations: DataFrame, stations: DataFrame, limit_km: float = 1e6, power: float = 2.0, least: int = MIN_KRIGING, on: str = "surface") -> DataFrame:
+    """Per surface the method with the least error on the stations that all can estimate; ties go to river_idw.
+
+    relations: target, station, relation, distance, share among stations; stations: surface, id, lat, lon, value. A
+    surface is one dense solve of at most MAX_STATIONS stations.
+    """
+    most = stations.groupBy(on).count().agg(F.max("count")).first()[0] or 0
+    if most > MAX_STATIONS:
+        raise ValueError(f"a dense solve has at most {MAX_STATIONS} stations")
+    kinds = dict(stations.dtypes)
+    r = stations.select(on, F.col("id").alias("target")).join(relations, "target").select(on, F.struct("target", "station", "distance", "share").alias("r")).groupBy(on).agg(F.collect_list("r").alias("pairs"))
+    rows = stations.join(r, on, "left").select(on, "id", "lat", "lon", "value", "pairs")
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("id").reset_index(drop=True)
+        n, at = len(f), {k: i for i, k in enumerate(f["id"])}
+        v = f["value"].to_numpy(float)
+        d, share = np.full((n, n), np.inf), np.zeros((n, n))
+        pairs = f["pairs"].iloc[0]
+        for p in pairs if pairs is not None else []:
+            if p["target"] in at and p["station"] in at:
+                i, j = at[p["target"]], at[p["station"]]
+                d[i, j], share[i, j] = p["distance"], p["share"]
+        np.fill_diagonal(d, 0)
+        np.fill_diagonal(share, 1)
+        linked = np.isfinite(d)
+        la, lo = np.radians(f["lat"].to_numpy(float)), np.radians(f["lon"].to_numpy(float))
+        a = np.sin((la[:, None] - la) / 2) ** 2 + np.cos(la)[:, None] * np.cos(la) * np.sin((lo[:, None] - lo) / 2) ** 2
+        straight = 2 * X.EARTH_M * np.arcsin(np.sqrt(np.clip(a, 0, 1)))
+        off = ~np.eye(n, dtype=bool)
+        w = np.where(off & (share > 0) & (d <= limit_km * 1000), share / (np.maximum(np.where(linked, d, 1), 1) / 1000) ** power, 0)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            found = {"river_idw": (w @ v) / w.sum(1)}
+        note = None
+        if n < least:
+            note = f"at least {least} stations are needed"
+        else:
+            for model in ("tail_up", "tail_down", "mixed"):
+                fit = fit_river_kriging(np.where(linked, d, 0.0), share, linked, straight, v, model, limit_km * 1000)
+                if fit:
+                    found[model] = fit["loo"]
+        common = np.logical_and.reduce([np.isfinite(x) for x in found.values()])
+        errors = {k: float(np.sqrt(np.mean((x[common] - v[common]) ** 2))) for k, x in found.items()} if common.any() else {}
+        out = [(f[on].iloc[0], k, n, int(common.sum()), round(e, 4), note) for k, e in errors.items()]
+        best = min(out, key=lambda x: (x[4], x[1] != "river_idw"))[1] if out else None
+        return pd.DataFrame([(*x, x[1] == best) for x in out], columns=[on, "method", "n_stations", "n_common", "rmse", "note", "chosen"])
+
+    return rows.groupBy(on).applyInPandas(run, f"{on} {kinds[on]}, method string, n_stations int, n_common int, rmse double, note string, chosen boolean")
+
+
+def paint(points: DataFrame, box: DataFrame, size: int = GRID, on: Sequence[str] = ("surface",)) -> DataFrame:
+    """(surface, row, col, estimate, gap_m): estimated points along channels as ribbons on the grid of each surface.
+
+    A ribbon is at least 200 m or three quarters of a cell wide to either side; the nearest point gives a cell its
+    value, a station's own point first. points: surface, lat, lon, estimate, station (bool); box as from extent().
+    """
+    p = points.join(box, list(on))
+    dy, dx = (F.col("max_lat") - F.col("min_lat")) / (size - 1), (F.col("max_lon") - F.col("min_lon")) / (size - 1)
+    k = F.cos(F.radians("lat"))
+    p = p.withColumn("cy", dy * X.DEGREE_M).withColumn("cx", dx * X.DEGREE_M * k).withColumn("half", F.greatest(F.lit(200.0), 0.75 * F.greatest("cy", "cx")))
+    p = p.withColumn("r0", F.rint((F.col("max_lat") - F.col("lat")) / dy).cast("int")).withColumn("c0", F.rint((F.col("lon") - F.col("min_lon")) / dx).cast("int"))
+    spread = lambda centre, cell: F.explode(F.sequence(F.col(centre) - F.ceil(F.col("half") / F.col(cell)).cast("int"), F.col(centre) + F.ceil(F.col("half") / F.col(cell)).cast("int")))
+    p = p.withColumn("row", spread("r0", "cy")).withColumn("col", spread("c0", "cx")).where(F.col("row").between(0, size - 1) & F.col("col").between(0, size - 1))
+    gap = X.flat_m(F.col("lat"), F.col("lon"), F.col("max_lat") - F.col("row") * dy, F.col("min_lon") + F.col("col") * dx)
+    own = F.col("station") & (F.col("row") == F.col("r0")) & (F.col("col") == F.col("c0"))
+    p = p.withColumn("gap", gap).where((F.col("gap") <= F.col("half")) | own).withColumn("first", F.when(own, 0).otherwise(1))
+    g = p.groupBy(*on, "row", "col").agg(F.min_by(F.struct("estimate", "gap"), F.struct("first", "gap", "estimate")).alias("b"))
+    return g.select(*on, "row", "col", F.round("b.estimate", 4).alias("estimate"), F.round("b.gap", 1).alias("gap_m"))
+
+
+def surfaces(values: DataFrame, limit_km: float, power: float = 2.0, decay_km: float | None = None) -> DataFrame:
+    """(period, family, bound, id, estimate, confidence): leave-one-out runs of the lower and the upper bounds.
+
+    values: period, family, id, lat, lon, lower, upper. Both bounds are one plan with the bound as a column; a bound
+    that a station lacks takes no part.
+    """
+    on = ["period", "family", "bound"]
+    long = values.select("period", "family", "id", "lat", "lon", F.inline(F.array(F.struct(F.lit("lower").alias("bound"), F.col("lower").alias("value")), F.struct(F.lit("upper").alias("bound"), F.col("upper").alias("value"))))).where("value is not null")
+    pairs = near_pairs(long, long, limit_km, on).where(F.col("id") != F.col("s_id"))
+    e = idw(pairs, [*on, "id"], power, decay_km=decay_km or limit_km)
+    return long.select(*on, "id", "value").join(e.select(*on, "id", "estimate", "confidence"), [*on, "id"], "left")

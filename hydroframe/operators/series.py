@@ -47,3 +47,30 @@ def filter_records(records: DataFrame, parameter: str | None = None, location: s
     if month is not None:
         out = out.where((F.col("date_precision") != "year") & (F.month("date_start") == month))
     return out
+
+
+def availability(records: DataFrame) -> DataFrame:
+    """Parameters and years that each station has, sorted."""
+    return records.groupBy("location").agg(F.array_sort(F.collect_set("family")).alias("families"), F.array_sort(F.collect_set("year")).alias("years"))
+
+
+def latest_values(records: DataFrame) -> DataFrame:
+    """The last value of every station and family with the Min and Max endpoints of the same day."""
+    g = records.where("numeric_value is not null").groupBy("location", "family", "date_start").agg(
+        F.max_by("numeric_value", F.when(F.col("variant") == "", F.col("row_id"))).alias("value"), F.max_by("numeric_value", F.when(F.col("variant") == "min", F.col("row_id"))).alias("low"), F.max_by("numeric_value", F.when(F.col("variant") == "max", F.col("row_id"))).alias("high")
+    )
+    return g.groupBy("location", "family").agg(F.max_by(F.struct("date_start", "value", "low", "high"), "date_start").alias("b")).select("location", "family", "b.*")
+
+
+def pages(groups: DataFrame, size: int = 8) -> DataFrame:
+    """(grp, page): consecutive groups on pages of at most size rows, a group never split; a larger one stands alone.
+
+    groups: ord, grp, n. The fold is sequential, so it takes the group sizes (a presentation list) to the driver.
+    """
+    out, page, filled = [], 1, 0
+    for g in groups.orderBy("ord").toLocalIterator():
+        if filled and filled + g["n"] > size:
+            page, filled = page + 1, 0
+        out.append((g["grp"], page))
+        filled += g["n"]
+    return groups.sparkSession.createDataFrame(out, f"grp {dict(groups.dtypes)['grp']}, page int")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from hydroframe.functions import names
 from hydroframe.functions import text as X
-from hydroframe.operators import channels, graph, identity, interpolate, river, screening, series, standardize, stats
+from hydroframe.operators import channels, graph, identity, interpolate, network, river, screening, series, standardize, stats
 from hydroframe.plans.io import table
 from hydroframe.sources import tables
 from hydroframe.streaming import measurements as streaming
@@ -399,6 +399,34 @@ def river_estimates(spark: SparkSession, d: str) -> DataFrame:
     return e.select("target", "n_stations", *(F.round(c, 4).alias(c) for c in ("estimate", "nearest_m", "confidence")))
 
 
+@query()
+def channel_table(spark: SparkSession, d: str) -> DataFrame:
+    """Stations on channels, ordered towards their outlets."""
+    s = _stations(spark, d).select(F.col("id").alias("station"), F.concat(F.lit("Site "), F.col("id").cast("string")).alias("label"), F.lit("").alias("name"), "lat", "lon")
+    return network.channel_network(s, _lines(spark, d), 5.0)
+
+
+@query("SELECT l_suppkey AS location, list_aggregate(list_sort(list(DISTINCT l_returnflag)), 'string_agg', ',') AS families, min(year(l_shipdate)) AS first_year, count(DISTINCT year(l_shipdate)) AS n_years FROM lineitem GROUP BY 1")
+def availability(spark: SparkSession, d: str) -> DataFrame:
+    """parameters and years of every station."""
+    a = series.availability(table(spark, d, "lineitem").select(F.col("l_suppkey").alias("location"), F.col("l_returnflag").alias("family"), F.year("l_shipdate").alias("year")))
+    return a.select("location", F.array_join("families", ",").alias("families"), F.array_min("years").alias("first_year"), F.size("years").cast("long").alias("n_years"))
+
+
+@query("SELECT status, count(*) AS n FROM (SELECT CASE WHEN value IS NULL THEN 'unknown' WHEN event_type = 'click' THEN CASE WHEN value BETWEEN 6.5 AND 8.5 THEN 'safe' ELSE 'unsafe' END WHEN value <= 50 THEN 'safe' ELSE 'unsafe' END AS status FROM events) GROUP BY 1")
+def status_counts(spark: SparkSession, d: str) -> DataFrame:
+    """how many values are safe, unsafe or unknown."""
+    return scale_status(spark, d).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def bounds_surfaces(spark: SparkSession, d: str) -> DataFrame:
+    """Leave-one-out runs of both bounds."""
+    s = _stations(spark, d)
+    v = s.select(F.lit("all_years").alias("period"), F.col("surface").cast("string").alias("family"), "id", "lat", "lon", F.when(F.col("id") % 3 != 0, F.col("value")).alias("lower"), (F.col("value") + 10).alias("upper"))
+    return interpolate.surfaces(v, 60.0).select("period", "family", "bound", "id", "value", F.round("estimate", 4).alias("estimate"), F.round("confidence", 4).alias("confidence"))
+
+
 @query()
 def line_channels(spark: SparkSession, d: str) -> DataFrame:
     """K5: touching lines of one name."""
