@@ -48,7 +48,8 @@ def test_joins_in_any_order(small):
 
 def test_corpus(spark):
     long = "word " * 40_000 + "x" * 20_000 + "雨季" * 5_000
-    df = spark.createDataFrame([(1, None), (2, ""), (3, " \n "), (4, TEXT), (5, long), (5, long), (None, "a")], "doc_id long, text string").withColumn("ids", F.lit("clash")).withColumn("TEXT", F.lit(1)) if False else spark.createDataFrame([(1, None), (2, ""), (3, " \n "), (4, TEXT), (5, long), (5, long), (None, "a")], "doc_id long, text string").withColumn("ids", F.lit("clash"))
+    rows = [(1, None), (2, ""), (3, " \n "), (4, TEXT), (5, long), (5, long), (None, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("*", F.lit("clash").alias("ids"), F.lit(1).alias("TEXT"))
     got = [(r.doc_id, r.ids) for r in encode.encode_corpus(df).collect()]
     by = dict(got)
     m = encode.monoid()
