@@ -27,7 +27,6 @@ WIDE_PARAMETERS = (
 # Other headers of such reports.
 HEADER_ALIASES = {"name of sampling point": "Location", "date and timestamp": "Date", "source": "Data Source"}
 META_COLUMNS = ["Location", "Latitude", "Longitude", "Date", "Year", "Month", "Data Source", *X.WATER_BODY_COLUMNS]
-NETWORK_FIELDS = {"name": ["rivname", "river_name", "name", "NAME", "RIVER"], "kind": ["rivtype", "type", "kind"], "upstream_area": ["upland_skm", "upstream_area"], "discharge": ["dis_av_cms", "discharge"]}
 
 
 def check_rows(rows: int | str) -> int | None:
