@@ -97,7 +97,11 @@ def position_conflicts(df: DataFrame, station: str, lat: str, lon: str, row_id:
         a = np.sin((la[:, None] - la) / 2) ** 2 + np.cos(la)[:, None] * np.cos(la) * np.sin((lo[:, None] - lo) / 2) ** 2
         return pd.DataFrame({"station": [f["station"].iloc[0]], "spread_m": [2 * X.EARTH_M * float(np.arcsin(np.sqrt(np.clip(a, 0, 1))).max())]})
 
-    parts = p.select("station", "la", "lo", F.pmod(F.xxhash64("la", "lo"), F.lit(salts)).alias("salt")).groupBy("station", "salt").applyInPandas(lambda f: reduce_hull(f), "station string, la double, lo double")
+    box = p.groupBy("station").agg(F.min("la").alias("a"), F.max("la").alias("b"), F.min("lo").alias("c"), F.max("lo").alias("e"))
+    # A box that is small even along the meridian and the widest parallel holds no such pair.
+    roomy = box.where(F.sqrt(F.pow((F.col("b") - F.col("a")) * X.DEGREE_M, F.lit(2)) + F.pow((F.col("e") - F.col("c")) * X.DEGREE_M, F.lit(2))) * 1.01 >= least_m).select("station")
+    wide = p.join(roomy, "station", "left_semi")
+    parts = wide.select("station", "la", "lo", F.pmod(F.xxhash64("la", "lo"), F.lit(salts)).alias("salt")).groupBy("station", "salt").applyInPandas(lambda f: reduce_hull(f), "station string, la double, lo double")
     spread = parts.groupBy("station").applyInPandas(widest, "station string, spread_m double")
     used = p.groupBy("station").agg(F.count(F.lit(1)).alias("positions"), F.sum("n").alias("n_rows"), F.min_by(F.struct("la", "lo"), "first").alias("u"))
     return used.join(spread.where(F.col("spread_m") >= least_m), "station").select("station", "positions", "n_rows", F.round("spread_m", 1).alias("spread_m"), F.col("u.la").alias("used_latitude"), F.col("u.lo").alias("used_longitude"))
