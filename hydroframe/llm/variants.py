@@ -1,11 +1,12 @@
 """Linking of the labels under which monitoring points appear (problem 7).
 
 A label is read into side, kind of structure and up to two names (village and water body, in any order); labels that
-read alike are one representative. Representatives are blocked by the suffixes of their names: every suffix of at
-least SUFFIX letters, refined with structure, side and the order of the other name, is a key. A key's representatives
-are sorted by the other name and compared within WINDOW neighbours, so a key that a third of all labels share costs a
-linear number of comparisons and none is discarded unrefined. Pairs are verified by the ratio of the longest common
-subsequence of both names; links are closed into points by alternating minimum propagation with checkpoints.
+read alike are one representative. All pairs of distinct names above RATIO are found first, in tiles of TILE names
+each way: common letters bound the longest common subsequence from above, so no pair is lost. Two representatives of
+the same structure and side then meet by equality with a near name of the one of their names that reaches fewer
+representatives; a name that a third of all labels share is not expanded where the other name is rarer. Pairs are
+verified by the ratio of the longest common subsequence of both names; links are closed into points by alternating
+minimum propagation with checkpoints. The work on names grows with the square of the number of distinct names.
 
 A label without structure joins the point of its names when there is just one.
 
@@ -18,7 +19,9 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from string import ascii_lowercase
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +36,10 @@ SUFFIX = 3
 BEGINNING = 6
 #: Neighbours within a key that are compared.
 WINDOW = 16
+#: Names of a tile of comparisons, each way.
+TILE = 1_000
+#: Equal letters of a name that are counted one by one.
+LEVELS = 3
 #: Least ratio of the longest common subsequence to the longer name; where coordinates are far apart, and at all.
 FAR_RATIO, RATIO = 0.9, 0.74
 #: Degrees from which coordinates are far apart.
@@ -168,15 +175,71 @@ def _linked(w1: pd.Series, v1: pd.Series, a1: pd.Series, o1: pd.Series, w2: pd.S
     return pd.Series(out)
 
 
-def _neighbours(keys: DataFrame) -> DataFrame:
-    """Pairs of representatives that stand within WINDOW places of each other under a key."""
-    w = W.partitionBy("key").orderBy("other", "rep")
-    placed = keys.withColumn("place", F.row_number().over(w)).withColumn("slot", F.floor(F.col("place") / WINDOW))
-    left = placed.select("key", "place", *(F.col(c).alias(f"{c}_a") for c in ("rep", "lat", "lon", "water", "village")), F.explode(F.array(F.col("slot"), F.col("slot") + 1)).alias("slot"))
-    right = placed.select("key", F.col("place").alias("after"), "slot", *(F.col(c).alias(f"{c}_b") for c in ("rep", "lat", "lon", "water", "village")))
-    near = left.join(right, ["key", "slot"]).where((F.col("after") > F.col("place")) & (F.col("after") - F.col("place") <= WINDOW) & (F.col("rep_a") != F.col("rep_b")))
-    names = ["rep_a", "rep_b", "lat_a", "lon_a", "water_a", "village_a", "lat_b", "lon_b", "water_b", "village_b"]
-    return near.select(*names).dropDuplicates(["rep_a", "rep_b"])
+def _counts(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """How often a name has each letter: rows of steps up to LEVELS, and the number of letters beyond them."""
+    count = np.array([[n.count(ch) for ch in ascii_lowercase] for n in names], np.int64).reshape(len(names), 26)
+    steps = np.hstack([count >= k for k in range(1, LEVELS + 1)]).astype(np.float32)
+    return steps, np.maximum(count - LEVELS, 0).sum(1).astype(np.float32)
+
+
+def near_pairs(left: list[str], right: list[str]) -> list[tuple[str, str]]:
+    """Every (name of left, name of right) with a ratio of at least RATIO; names are letters a to z."""
+    (sa, ra), (sb, rb) = _counts(left), _counts(right)
+    la, lb = (np.array([len(n) for n in names], np.float32) for names in (left, right))
+    least_a, least_b = (np.minimum(RATIO * n - 1e-3, n - 1) for n in (la, lb))
+    out = []
+    for at in range(0, len(left), 256):
+        rows = slice(at, at + 256)
+        # Letters in common, whatever their order: no common subsequence is longer.
+        common = sa[rows] @ sb.T
+        if ra.any() and rb.any():
+            common += np.minimum(ra[rows, None], rb[None, :])
+        i, j = np.nonzero(common >= np.minimum(least_a[rows, None], least_b[None, :]))
+        common, short, long = common[i, j], np.minimum(la[at + i], lb[j]), np.maximum(la[at + i], lb[j])
+        maybe = (common >= RATIO * long - 1e-3) | ((short >= 5) & (long - short >= 2) & (common >= short - 1))
+        out += [(left[p], right[q]) for p, q in zip((at + i[maybe]).tolist(), j[maybe].tolist()) if alike(left[p], right[q]) >= RATIO]
+    return out
+
+
+def near_names(reps: DataFrame) -> DataFrame:
+    """(name, near): all pairs of names, also of a name with itself, with a ratio of at least RATIO."""
+    names = cut(reps.select(F.explode(F.array("water", "village")).alias("name")).where("name <> ''").distinct())
+    chunks = max(-(-names.count() // TILE), 1)
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        i, j = f["i"].iloc[0], f["j"].iloc[0]
+        left, right = (f["name"][f["chunk"] == k].tolist() for k in (i, j))
+        found = near_pairs(left, right)
+        return pd.DataFrame(found + [(b, a) for a, b in found if i != j], columns=["name", "near"])
+
+    chunk = names.select("name", F.pmod(F.xxhash64("name"), F.lit(chunks)).cast("int").alias("chunk"))
+    tiles = chunk.select("*", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("k")).select("name", "chunk", F.least("chunk", "k").alias("i"), F.greatest("chunk", "k").alias("j"))
+    # By number, so that tiles are spread and small shuffles aren't merged into few tasks.
+    spread = tiles.repartition(max(int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1), "i", "j")
+    return cut(spread.groupBy("i", "j").applyInPandas(run, "name string, near string"))
+
+
+def _either(reps: DataFrame, *fields: str) -> DataFrame:
+    """(fields, own, other, of): one row per name of either kind; representatives of one name are alike to none."""
+    name = F.inline(F.array(F.struct(F.col("water").alias("own"), F.col("village").alias("other")), F.struct(F.col("village").alias("own"), F.col("water").alias("other"))))
+    return reps.where("water <> '' and village <> ''").select(*fields, F.struct("rep", "lat", "lon", "water", "village").alias("of"), name)
+
+
+def _meeting(left: DataFrame, right: DataFrame, near: DataFrame, *fields: str) -> DataFrame:
+    """(a, b): every representative of left with every one of right that has equal fields and two near names."""
+    a, b = _either(left, *fields), _either(right, *fields)
+    reach = b.groupBy(*fields, F.col("own").alias("near")).agg(F.count(F.lit(1)).alias("n")).join(near, "near").groupBy(*fields, F.col("name").alias("own")).agg(F.sum("n").alias("n"))
+    # Pairs have two near names, so it suffices to expand the name that reaches fewer; a name that reaches none has no pair.
+    lesser = a.join(reach, [*fields, "own"], "left").groupBy("of", *fields).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "own", "other")).alias("by"))
+    begun = lesser.select(*fields, F.col("of").alias("a"), F.col("by.own").alias("name"), F.col("by.other").alias("other_a")).join(near, "name")
+    met = begun.join(b.select(*fields, F.col("own").alias("near"), F.col("other").alias("other_b"), F.col("of").alias("b")), [*fields, "near"])
+    return met.join(near.select(F.col("name").alias("other_a"), F.col("near").alias("other_b")), ["other_a", "other_b"]).select("a", "b")
+
+
+def _neighbours(reps: DataFrame, near: DataFrame, *fields: str) -> DataFrame:
+    """All pairs of representatives with equal fields and two near names."""
+    pairs = _meeting(reps, reps, near, *fields).where("a.rep <> b.rep").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs.select(*(F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in ("rep", "lat", "lon", "water", "village")))
 
 
 def _verify(pairs: DataFrame) -> DataFrame:
@@ -207,7 +270,8 @@ def points(labels: DataFrame) -> DataFrame:
     reps = cut(named.groupBy(*names).agg(F.min("label_id").alias("rep"), F.percentile("latitude", F.lit(0.5)).alias("lat"), F.percentile("longitude", F.lit(0.5)).alias("lon")))
     built = reps.where("structure <> ''")
     bare = reps.where("structure = ''")
-    links = _verify(_neighbours(_keys(built, "structure", "side")))
+    near_to = near_names(reps)
+    links = _verify(_neighbours(built, near_to, "structure", "side"))
     point = components(built, links)
     # Labels without structure: the point of their names, if there is only one.
     all_keys = _keys(built.join(point, "rep").select("point", "lat", "lon", "water", "village", "side").withColumnRenamed("point", "rep"), "side").distinct()

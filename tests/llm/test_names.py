@@ -91,3 +91,26 @@ def test_hot_point(spark):
 
 def test_common_length():
     assert variants.common_length("zakaboak", "zakabaok") == 7 and variants.alike("rezojiq", "rezojiquay") > 0.9 and variants.alike("", "x") == 0
+
+
+def _between(rng, first, end):
+    """A name of its own that begins with first and has a common end."""
+    return first + "".join(rng.choice("bcdfgjkmpqvwxz") for _ in range(8)) + end
+
+
+def test_no_pair_is_lost_under_common_ends(spark):
+    """Two spellings that share only ends of names, which many labels in between have too."""
+    rng = random.Random(11)
+    texts = ["Shuturel River - Pirevonagar Weir", "Thudurel River - Zirexonagar Weir"]
+    texts += [f"{_between(rng, 'S', 'urel')} River - {_between(rng, 'R', 'onagar')} Weir" for _ in range(40)]
+    read = [variants.read_label(t)[2:] for t in texts]
+    linked = {(i, j) for j in range(len(read)) for i in range(j) if variants.same_names(*read[i], *read[j]) >= variants.RATIO}
+    assert linked == {(0, 1)}
+    assert {tuple(r) for r in variants.pairs(spark.createDataFrame([(i, t, None, None, None, None) for i, t in enumerate(texts)], L)).collect()} == linked
+
+
+def test_near_pairs_are_all_pairs(spark):
+    rng = random.Random(12)
+    names = ["".join(rng.choice("abet") for _ in range(rng.randrange(3, 12))) for _ in range(150)] + ["a" * 40, "a" * 50, "ab" * 30, "abeta" + "b" * 30]
+    want = {(a, b) for a in names for b in names if variants.alike(a, b) >= variants.RATIO}
+    assert set(variants.near_pairs(names, names)) == want
