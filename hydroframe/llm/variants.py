@@ -8,7 +8,8 @@ representatives; a name that a third of all labels share is not expanded where t
 verified by the ratio of the longest common subsequence of both names; links are closed into points by alternating
 minimum propagation with checkpoints. The work on names grows with the square of the number of distinct names.
 
-A label without structure joins the point of its names when there is just one.
+A label without structure meets all labels of its side that have its names, and joins their point when there is just
+one.
 
 Defined cases: labels without id are left out; null and blank labels, and labels without any name, belong to no point of others; missing coordinates
 neither help nor harm; coordinates far apart need nearly equal names; repeated labels are linked to each other.
@@ -26,16 +27,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from hydroframe.plans.io import cut, only
 
-#: Shortest suffix that is a key.
-SUFFIX = 3
-#: Letters of a name's beginning whose suffixes are keys too, as many names are typed cut off.
-BEGINNING = 6
-#: Neighbours within a key that are compared.
-WINDOW = 16
 #: Names of a tile of comparisons, each way.
 TILE = 1_000
 #: Equal letters of a name that are counted one by one.
@@ -154,16 +148,6 @@ def read_labels(labels: DataFrame) -> DataFrame:
     return only(labels, "label_id", "location", "latitude", "longitude").where("label_id is not null").mapInPandas(run, _READ)
 
 
-def _keys(reps: DataFrame, *fields: str) -> DataFrame:
-    """(key, other, rep): one row per suffix of either name."""
-    name = F.inline(F.array(F.struct(F.col("water").alias("own"), F.col("village").alias("other")), F.struct(F.col("village").alias("own"), F.col("water").alias("other"))))
-    rows = reps.select("rep", "lat", "lon", "water", "village", *fields, name).where(F.length("own") > 0)
-    suffixes = lambda name, least: F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - F.lit(least - 1), F.lit(1))), lambda at: F.substr(name, at))
-    begun = F.transform(suffixes(F.substring("own", 1, BEGINNING), SUFFIX + 1), lambda s: F.concat(F.lit("^"), s))
-    key = F.explode(F.array_union(suffixes(F.col("own"), SUFFIX), begun)).alias("key")
-    return rows.select("*", key).select(F.concat_ws("|", "key", *fields).alias("key"), "other", "rep", "lat", "lon", "water", "village")
-
-
 @F.pandas_udf(T.BooleanType())
 def _linked(w1: pd.Series, v1: pd.Series, a1: pd.Series, o1: pd.Series, w2: pd.Series, v2: pd.Series, a2: pd.Series, o2: pd.Series) -> pd.Series:
     out, seen = [], {}
@@ -273,19 +257,11 @@ def points(labels: DataFrame) -> DataFrame:
     near_to = near_names(reps)
     links = _verify(_neighbours(built, near_to, "structure", "side"))
     point = components(built, links)
-    # Labels without structure: the point of their names, if there is only one.
-    all_keys = _keys(built.join(point, "rep").select("point", "lat", "lon", "water", "village", "side").withColumnRenamed("point", "rep"), "side").distinct()
-    hosts = all_keys.groupBy("key", "rep", "water", "village").agg(F.first("lat").alias("lat"), F.first("lon").alias("lon"), F.first("other").alias("other"))
-    w = W.partitionBy("key").orderBy(F.substring("other", 1, 4), "kind", "other", "rep")
-    mixed = hosts.withColumn("kind", F.lit(0)).unionByName(_keys(bare, "side").withColumn("kind", F.lit(1))).withColumn("place", F.row_number().over(w)).withColumn("slot", F.floor(F.col("place") / WINDOW))
-    cols = ("rep", "lat", "lon", "water", "village")
-    left = mixed.where("kind = 1").select("key", "place", *(F.col(c).alias(f"{c}_a") for c in cols), F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1)).alias("slot"))
-    right = mixed.select("key", "slot", "kind", F.col("place").alias("after"), *(F.col(c).alias(f"{c}_b") for c in cols))
-    near = left.join(right, ["key", "slot"]).where((F.abs(F.col("after") - F.col("place")) <= WINDOW) & ((F.col("rep_a") != F.col("rep_b")) | (F.col("kind") == 0)))
-    sure = near.dropDuplicates(["rep_a", "rep_b", "kind", "water_b", "village_b"]).where(_linked(*(F.col(f"{c}_{s}") for s in "ab" for c in ("water", "village", "lat", "lon"))))
-    sure = cut(sure.select("rep_a", "rep_b", "kind"))
-    loose = components(bare, sure.where("kind = 1").select("rep_a", "rep_b"))
-    hosted = sure.where("kind = 0").join(loose, sure["rep_a"] == loose["rep"]).groupBy("point").agg(F.min("rep_b").alias("host"), F.max("rep_b").alias("last")).where("host = last")
+    # Labels without structure: the point of their names, if there is only one among all that have them.
+    loose = components(bare, _verify(_neighbours(bare, near_to, "side")))
+    hosts = _meeting(bare, built, near_to, "side").select(*(F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in ("rep", "lat", "lon", "water", "village")))
+    of_host = _verify(hosts).join(point.select(F.col("rep").alias("rep_b"), F.col("point").alias("host")), "rep_b")
+    hosted = of_host.join(loose, of_host["rep_a"] == loose["rep"]).groupBy("point").agg(F.min("host").alias("host"), F.max("host").alias("last")).where("host = last")
     loose = loose.join(hosted.select("point", "host"), "point", "left").select("rep", F.coalesce("host", "point").alias("point"))
     of = read.join(reps.select("rep", *names), names, "left").join(point.unionByName(loose), "rep", "left")
     return of.select("label_id", F.coalesce("point", "label_id").alias("point"))

@@ -109,6 +109,18 @@ def test_no_pair_is_lost_under_common_ends(spark):
     assert {tuple(r) for r in variants.pairs(spark.createDataFrame([(i, t, None, None, None, None) for i, t in enumerate(texts)], L)).collect()} == linked
 
 
+def test_bare_label_meets_all_points(spark):
+    """A label without structure finds its only point, and none where there are two, however many labels stand between."""
+    rng = random.Random(13)
+    texts = ["Shuturel River - Pirevonagar Weir", "Thudurel River - Zirexonagar", "Gomemoond Drain - Lelete Weir", "Gomemoond Drain - Lelete"]
+    texts += [f"{_between(rng, 'S', 'urel')} River - {_between(rng, 'R', 'onagar')} Weir" for _ in range(40)]
+    # Twenty spellings of one point, then the other point of the same names.
+    texts += [f"Kakuthara Choe - Rezojiquay{a}{b} Bridge" for a in "bcdf" for b in "ghjkm"] + ["Kakuthara Choe - Rezojiquayzz Weir", "Kakuthara Choe - Rezojiquay"]
+    got = {r.label_id: r.point for r in variants.points(spark.createDataFrame([(i, t, None, None, None, None) for i, t in enumerate(texts)], L)).collect()}
+    assert got[1] == got[0] and got[3] == got[2]
+    assert len({got[i] for i in range(44, 64)}) == 1 and len({got[44], got[64], got[65]}) == 3
+
+
 def test_near_pairs_are_all_pairs(spark):
     rng = random.Random(12)
     names = ["".join(rng.choice("abet") for _ in range(rng.randrange(3, 12))) for _ in range(150)] + ["a" * 40, "a" * 50, "ab" * 30, "abeta" + "b" * 30]
