@@ -11,8 +11,8 @@ those of documents voted abusive begin with the sentences whose words stand out,
 in turn (multiple-instance learning), which also drops wrong votes. The sample to fit on is bounded by MAX_FIT
 documents of either class, taken by the hash of their id.
 
-Every word of every sentence is looked up in the words of clean documents; sentences of only common clean words
-(at least COMMON of the clean documents hold each) get the score of the empty sentence and skip the kernel.
+Every sentence is scored, distinct folded sentences once per batch; words that are common in clean documents (at
+least COMMON of them hold each) only choose which sentences the machine is fitted on.
 
 Defined cases: null, empty and blank texts score the machine's bias and are not abusive; without any labelled abusive
 or any clean document, nothing is found; repeated rows count as rows.
@@ -341,10 +341,9 @@ def score_with(machine: Machine | None, documents: DataFrame) -> DataFrame:
                 if machine is not None:
                     for k, text in enumerate(batch.column(2)):
                         for p in pieces(text.as_py()):
-                            if unusual(machine.common, p):
-                                found = windows(p)
-                                owner += [k] * len(found)
-                                texts += found
+                            found = windows(p)
+                            owner += [k] * len(found)
+                            texts += found
                 score = np.full(batch.num_rows, machine.bias if machine else -1.0)
                 count, worst = np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows
                 if texts:

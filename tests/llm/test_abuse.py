@@ -67,3 +67,15 @@ def test_whole_query(spark):
     rates = abuse.rates(df, votes).collect()
     assert sum(r.n_documents for r in rates) == 205
     assert abuse.scored(df, votes.where("false")).where("score > 0").collect() == [] == abuse.scored(df.where("false"), votes).collect()
+
+
+def test_every_sentence_is_scored(spark, machine):
+    """Abuse of common words reaches the machine, also where masked letters fall into common pieces."""
+    texts = ["you miserable m0r0n", "shut your mouth you filthy moron"]
+    words = {w for t in texts for w in abuse.quick_words(t)}
+    everyday = abuse.Machine(machine.landmarks, machine.beta, machine.bias, machine.common | words)
+    df = spark.createDataFrame([(i, "s", t + ".") for i, t in enumerate(texts)], "doc_id long, source string, text string")
+    got = {r.doc_id: (r.score, r.worst) for r in abuse.score_with(everyday, df).collect()}
+    for i, t in enumerate(texts):
+        folded = abuse.windows(t)
+        assert got[i] == (pytest.approx(float(machine.scores(folded)[0]), abs=1e-4), folded[0])
