@@ -80,14 +80,16 @@ _DRAWN = re.compile(r"([^\W\d_])\1{2,}")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W_][ .\-_*]){2,}[^\W_](?![^\W_])")
 _FOREIGN = re.compile(r"[^\x00-\x7f]+")
 _ACCENT = re.compile(r"\\[\"'`^~=.chuvkrbd](?:\{(\w)\}|(?<![chuvkrbd])(\w))|\\[,;! ]")
-_NAMED = re.compile(r"\\(?:[a-z]*cite[a-z]*|(?:eq|page|auto)?ref|label|input|include[a-z]*|usepackage|document[a-z]+|bibliography[a-z]*|bibitem|begin|end|new[a-z]+|def\\[a-z]+)\*?(?:\[[^\]\n]*\])*(?:\{[^{}\n]*\})?")
+_NAMED = re.compile(r"\\(?:[a-z]*cite[a-z]*|(?:eq|page|auto)?ref|label|input|include[a-z]*|usepackage|document[a-z]+|bibliography[a-z]*|bibitem|begin|end|new[a-z]+)\*?(?:\[[^\]\n]*\])*(?:\{[^{}\n]*\})?|\\def\\[a-z]+")
 _COMMAND = re.compile(r"\\[a-z@]+\*?")
 _LINE = re.compile(r"\r?\n[ \t]*%*[ \t]*(?=\S)|[%{}]")
 _CUT = re.compile(r"[.!?;:。！？]+(?=[\s}'\")\]])|\n[ \t\r%]*\n|\}[ \t\r]*\n|\x1f|\\(?:footnote|todo|item|section|caption|thanks|marginpar|title|author)\b|``|''")
 _REMARK = re.compile(r"((?<!\\)%[^\n]*)\n(?![ \t]*%)")
 _QUICK = re.compile(r"[^\W\d_]+")
-_WORD = re.compile(r"[^\W_](?:[^\W_]|[*@$€!|'’](?=[\w*]))*|\*{2,}")
-_MATH = re.compile(r"\$[^$\n]{0,200}\$")
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff"
+_WORD = re.compile(rf"[{_UNSPACED}]|(?![{_UNSPACED}])[^\W_](?:(?![{_UNSPACED}])[^\W_]|[*@$€!|'’](?=[\w*]))*|\*{{2,}}")
+_MATH = re.compile(r"(?<!\\)\$[^$\n]{0,200}(?<!\\)\$")
+_WORDS_IN_MATH = re.compile(r"(?<![\\A-Za-z])[^\W\d_](?:[^\W_]|[*@€!|'’])+")
 _YEAR = re.compile(r"\d{3}")
 
 
@@ -105,17 +107,22 @@ def _repair(m: re.Match) -> str:
         return m[0]
 
 
+def _spoken(m: re.Match) -> str:
+    """The words of a formula."""
+    return f" {' '.join(_WORDS_IN_MATH.findall(m[0]))} "
+
+
 def pieces(text: str | None) -> list[str]:
     """A text in lower case, cut into sentences, whatever part of the source they stand in; markup is kept."""
     if not text:
         return []
-    t = _MATH.sub(" ", text) if "$" in text else text
+    t = _MATH.sub(_spoken, text) if "$" in text else text
     t = t.lower()
     if "\\" in t:
         t = _NAMED.sub("\x1f", t)
     if "%" in t:
         t = _REMARK.sub("\\1\x1f", t)
-    return [p for p in _CUT.split(t) if len(p) > 3]
+    return [p for p in _CUT.split(t) if p and not p.isspace()]
 
 
 def quick_words(piece: str) -> list[str]:
@@ -131,7 +138,7 @@ def windows(piece: str) -> list[str]:
         t = _COMMAND.sub(" ", _ACCENT.sub(lambda m: m[1] or m[2] or " ", t))
     t = _SPACED.sub(lambda m: re.sub(r"[ .\-_*]", "", m[0]), _DRAWN.sub(r"\1", _LINE.sub(" ", t)))
     words = [w for w in map(_unleet, _WORD.findall(t)) if w]
-    if sum(len(w) > 2 for w in words) < 2:
+    if not any(map(str.isalpha, "".join(words))) and "**" not in t:
         return []
     if len(words) <= WINDOW:
         return [" ".join(words)]
@@ -224,6 +231,11 @@ def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 20) ->
     return w[:-1], float(w[-1])
 
 
+def _sentences(piece: str) -> list[str]:
+    """The windows that the machine is fitted on: with two words of three letters or unspaced characters, no lone letters of formulas."""
+    return [w for w in windows(piece) if sum(len(x) > 2 or re.match(f"[{_UNSPACED}]", x) is not None for x in w.split()) >= 2]
+
+
 def fit(documents: list[tuple[str | None, int, int]], seed: int = 7) -> Machine | None:
     """A machine from (text, 0 or 1, number of votes) of labelled documents; None where a class is absent."""
     cut = [(pieces(t), y, n) for t, y, n in documents]
@@ -234,19 +246,19 @@ def fit(documents: list[tuple[str | None, int, int]], seed: int = 7) -> Machine
     quick = Counter(w for ps, _ in bad for w in {x for p in ps for x in _QUICK.findall(p)})
     # Wrong votes bring abusive words into clean documents, so a common word must not be frequent in abusive ones.
     common = frozenset(w for w, n in df.items() if n >= max(2, COMMON * len(clean)) and (quick[w] < ENRICHED_LEAST or quick[w] / len(bad) <= ENRICHED * n / len(clean)))
-    folded = [[*dict.fromkeys(w for p in ps if unusual(common, p) for w in windows(p))] for ps, _ in bad]
+    folded = [[*dict.fromkeys(w for p in ps if unusual(common, p) for w in _sentences(p))] for ps, _ in bad]
     bad_df = Counter(w for ts in folded for w in {x for t in ts for x in t.split()})
 
     def stands_out(t: str) -> float:
         odds = sorted((np.log((bad_df[w] + 0.5) / (len(bad) + 1)) - np.log((df[w] + 0.5) / (len(clean) + 1)) for w in set(t.split())), reverse=True)[:4]
         return sum(odds) / 4 if len(odds) >= 2 else -9.0
 
-    holders = Counter(w for ps in clean for w in {x for p in ps if unusual(common, p) for x in windows(p)})
+    holders = Counter(w for ps in clean for w in {x for p in ps if unusual(common, p) for x in _sentences(p)})
     negative = [*holders]
     rng = np.random.default_rng(seed)
     plain = [*dict.fromkeys(p for ps in clean for p in ps if not unusual(common, p))]
     plain = [plain[i] for i in np.sort(rng.permutation(len(plain))[:PLAIN])]
-    negative = [*dict.fromkeys(negative + [w for p in plain for w in windows(p)])]
+    negative = [*dict.fromkeys(negative + [w for p in plain for w in _sentences(p)])]
     candidates = [(k, t, stands_out(t)) for k, ts in enumerate(folded) for t in ts]
     if not candidates:
         return None

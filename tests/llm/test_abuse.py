@@ -79,3 +79,18 @@ def test_every_sentence_is_scored(spark, machine):
     for i, t in enumerate(texts):
         folded = abuse.windows(t)
         assert got[i] == (pytest.approx(float(machine.scores(folded)[0]), abs=1e-4), folded[0])
+
+
+@pytest.mark.parametrize(
+    ("text", "words"),
+    [
+        ("All is well.\n% morons!\nNext", "morons"),
+        ("\\todo{Idiots.}", "idiots"),
+        ("你是白痴。", "你 是 白 痴"),
+        ("a cost of \\$5 you filthy moron and \\$6 more", "you filthy moron"),
+        ("so $x = \\text{you filthy moron}$ holds", "you filthy moron"),
+        ("\\def\\x{you filthy moron}", "you filthy moron"),
+    ],
+)
+def test_short_and_hidden_pieces_are_kept(text, words):
+    assert any(words in w for p in abuse.pieces(text) for w in abuse.windows(p))
