@@ -149,6 +149,21 @@ def test_spikes_against_brute_force(spark):
     assert {tuple(r) for r in spikes.implausible(df).collect()} == brute(readings)
 
 
+def test_spikes_at_the_same_time_of_day():
+    """Spikes that recur daily are low rank, and found all the same."""
+    import numpy as np
+    import pandas as pd
+
+    n = 8 * 96
+    x = 20 + 3 * np.sin(np.arange(n) * 2 * np.pi / 96)
+    usual = float(np.median(np.abs(np.diff(x))))
+    spiked = list(range(40, n, 96))
+    x[spiked] += 15 * usual
+    frame = pd.DataFrame({"reading_id": range(n), "at": np.arange(n) * 900.0, "x": x, "before": [[]] * n, "after": [[]] * n, "usual": usual})
+    found = spikes._block(frame)
+    assert found["reading_id"].tolist() == spiked and set(found["kind"]) == {"spike"}
+
+
 def test_spikes_of_repeated_rows(spark):
     r = series([7.0, 7.1, 7.0, 7.2, 7.1], parameter="pH") + [(99, 1, "x", "pH", "-", "7.000", dt.datetime(2022, 1, 1), None), (100, None, "x", "pH", "-", "99", None, None), (None, 1, None, None, None, None, None, None)]
     assert {tuple(x) for x in spikes.implausible(spark.createDataFrame(r, R)).collect()} == {(100, "impossible")}
