@@ -5,6 +5,8 @@ least one segment stands unchanged in the typed text, at most k places away. Typ
 windows first, so a name typed a million times is compared once; windows and segments meet in an equality join on the
 substring, and pairs are verified by levenshtein. Entries without a verified window come back through an anti join.
 
+Windows are one to one word more than the longest alias has, as typed texts also part words.
+
 Only the clause that names the sampled water is looked at: what follows a relation (before the confluence with,
 falling into, after meeting, upstream of, above, ...) names another water or a landmark.
 
@@ -35,10 +37,11 @@ LANDMARKS = "bus stand|sewage works|temple steps|pump house|cattle trough|fish m
 
 SQL = """
 WITH aliases_of AS (
-  SELECT stem, min_by(name, struct(folded, name)) AS name, length(stem) AS len, CASE WHEN length(stem) >= {short} THEN {k} ELSE 0 END AS edits
-  FROM (SELECT name, form.stem, form.folded
-        FROM (SELECT name, regexp_replace(regexp_replace(lower(trim(alias)), '(^|[ -])({any_type})\\\\.?(?=$|[ -])', ' '), '[^\\\\p{{L}}\\\\p{{N}}]', '') AS written
-              FROM {aliases} WHERE alias IS NOT NULL AND name IS NOT NULL)
+  SELECT stem, min_by(name, struct(folded, name)) AS name, length(stem) AS len, max(words) AS words, CASE WHEN length(stem) >= {short} THEN {k} ELSE 0 END AS edits
+  FROM (SELECT name, words, form.stem, form.folded
+        FROM (SELECT name, size(filter(split(typeless, '[^\\\\p{{L}}\\\\p{{N}}]+'), x -> x <> '')) AS words, regexp_replace(typeless, '[^\\\\p{{L}}\\\\p{{N}}]', '') AS written
+              FROM (SELECT name, regexp_replace(lower(trim(alias)), '(^|[ -])({any_type})\\\\.?(?=$|[ -])', ' ') AS typeless
+                    FROM {aliases} WHERE alias IS NOT NULL AND name IS NOT NULL))
         LATERAL VIEW explode(array(struct(written AS stem, 0 AS folded), struct(regexp_replace(written, '(?<=[a-z][bcdfgjklpstz])h', '') AS stem, 1 AS folded))) f AS form)
   WHERE stem <> '' GROUP BY stem
 ), parts AS (
@@ -52,12 +55,16 @@ WITH aliases_of AS (
 ), tokens AS (
   SELECT entry_id, filter(split(regexp_replace(clause, '/.*$', ' '), '[^\\\\p{{L}}\\\\p{{N}}]+'), x -> x <> '') AS t
   FROM clauses
+), bounds AS (
+  SELECT min(len - edits) AS least, max(len + edits) AS most, max(words) + 1 AS words FROM aliases_of
 ), windows AS (
-  SELECT entry_id, p AS place, array_join(slice(t, p, n), '') AS w
-  FROM tokens LATERAL VIEW explode(sequence(1, greatest(size(t), 1))) a AS p LATERAL VIEW explode(array(1, 2)) b AS n
-  WHERE p + n - 1 <= size(t)
+  SELECT entry_id, place, w
+  FROM (SELECT entry_id, p AS place, array_join(slice(t, p, n), '') AS w
+        FROM tokens LATERAL VIEW explode(sequence(1, greatest(size(t), 1))) a AS p LATERAL VIEW explode(sequence(1, coalesce((SELECT words FROM bounds), 1))) b AS n
+        WHERE p + n - 1 <= size(t))
+  WHERE length(w) BETWEEN (SELECT least FROM bounds) AND (SELECT most FROM bounds)
 ), typed AS (
-  SELECT DISTINCT w, length(w) AS len FROM windows WHERE length(w) BETWEEN 2 AND 64
+  SELECT DISTINCT w, length(w) AS len FROM windows
 ), pieces AS (
   SELECT w, len, at, substring(w, at + 1, n) AS part
   FROM typed LATERAL VIEW explode(sequence(0, len - 1)) a AS at

@@ -126,3 +126,12 @@ def test_near_pairs_are_all_pairs(spark):
     names = ["".join(rng.choice("abet") for _ in range(rng.randrange(3, 12))) for _ in range(150)] + ["a" * 40, "a" * 50, "ab" * 30, "abeta" + "b" * 30]
     want = {(a, b) for a in names for b in names if variants.alike(a, b) >= variants.RATIO}
     assert set(variants.near_pairs(names, names)) == want
+
+
+def test_names_of_many_words(spark):
+    """Names of three and more words are found, also with one of their words parted."""
+    aliases = spark.createDataFrame([("Patiala Ki Rao", "Patiala Ki Rao", None), ("Great Upper Old Mill Stream", "Great Upper Old Mill Stream", None)], "alias string, name string, note string")
+    typed = ["Patiala Ki Rao at bridge", "patialakirao", "Pati ala ki rao", "great upper old mil stream", "Great Upper", "rao ki patiala"]
+    df = spark.createDataFrame(list(enumerate(typed)), "entry_id long, location string")
+    got = {r.entry_id: r.name for r in canonical.map_names(df, aliases).collect()}
+    assert got == {0: "Patiala Ki Rao", 1: "Patiala Ki Rao", 2: "Patiala Ki Rao", 3: "Great Upper Old Mill Stream", 4: "", 5: ""}
