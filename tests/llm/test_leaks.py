@@ -66,8 +66,9 @@ def test_planted(spark):
     b = spark.createDataFrame([*[(i, "s", t) for i, t in ITEMS], (77, "s", None), (78, "s", "two words"), (79, "s", "")], "item_id long, suite string, text string")
     got = {tuple(r) for r in leaks.leaks(df, b).collect()}
     assert got == {(1, 1), (2, 2), (3, 3), (4, 4), (6, 1), (6, 2), (9, 1), (10, 1)}
-    spans = {(r.doc_id, r.item_id): (r.first_word, r.end_word) for r in leaks.leaked_spans(df, b).collect()}
-    assert spans[1, 1] == (30, 70)
+    spans = {(r.doc_id, r.item_id): (r.first_word, r.end_word, whole[r.first_char : r.end_char]) for r in leaks.leaked_spans(df, b).where("doc_id = 1").collect()}
+    first, end, passage = spans[1, 1]
+    assert (first, end) == (30, 70) and leaks.words(passage) == item(1)
     assert leaks.leaks(df.where("false"), b).collect() == [] == leaks.leaks(df, b.where("false")).collect()
 
 
@@ -77,3 +78,39 @@ def test_shards_don_t_matter(spark, monkeypatch):
     one = sorted(leaks.search_shard(items, docs))
     many = sorted(x for d in docs for x in leaks.search_shard(items, [d]))
     assert one == many and len(one) == 40
+
+
+def test_replaced_words_and_short_items(spark):
+    """Every third word replaced, items of one to five words, and items that stand several times in one document."""
+    rng = random.Random(7)
+    filler = lambda n: " ".join(f"filler{rng.randrange(300)}" for _ in range(n)) + " "
+    long = [f"w{k}" for k in range(40)]
+    items = [(1, " ".join(long)), (2, "alpha beta gamma"), (3, "delta epsilon zeta eta theta"), (4, "iota"), (5, " ".join(f"v{k}" for k in range(7)))]
+    docs = [
+        (1, filler(9) + " ".join(w if k % 3 else "other" for k, w in enumerate(long)) + " " + filler(9)),
+        (2, filler(9) + "Alpha \\emph{beta}\n% gamma " + filler(9) + "delta epsilon zeta eta theta " + filler(3) + "iota"),
+        (3, filler(9) + "alpha gamma beta delta epsilon zeta theta " + filler(3)),
+        (4, filler(5) + " ".join(long) + " " + filler(50) + " ".join(long[:25]) + " " + filler(5) + " ".join(f"v{k}" for k in range(4))),
+        (5, " ".join(w if k % 3 else "other" for k, w in enumerate(long[:30]))),
+        (6, " ".join(long[5:20])),
+    ]
+    df, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(tuple(r) for r in leaks.leaked_spans(df, b).select("doc_id", "item_id", "n_words").collect())
+    assert got == [(1, 1, 26), (2, 2, 3), (2, 3, 5), (2, 4, 1), (4, 1, 25), (4, 1, 40), (4, 5, 4), (5, 1, 20)]
+
+
+def test_places_of_words():
+    texts = ["The \\emph{odd} sym-\n% metry of~the ﬁnal\\textbf{Table} \u00adso\u200bft İx.", "a\r\nb %c", "Caf\u0065\u0301 \u1112\u1161\u11ab 2\u00bd"]
+    for t in texts:
+        places, found = leaks.word_places(t), leaks.words(t)
+        assert len(places) == len(found)
+    places = leaks.word_places(texts[0])
+    assert [texts[0][a:b] for a, b in places[:2]] == ["The", "odd"] and texts[0][slice(*places[2])] == "sym-\n% metry"
+
+
+def test_blocks_of_items_don_t_matter(monkeypatch):
+    docs = [(k, f"pad{k} " * 20 + ITEMS[k % 5][1] + " common0 common3" * (k % 7)) for k in range(40)]
+    items = leaks.Items(ITEMS)
+    one = sorted(leaks.search_shard(items, docs))
+    monkeypatch.setattr(leaks, "MAX_PAIRS", 50)
+    assert sorted(leaks.search_shard(items, docs)) == one
