@@ -24,7 +24,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +33,9 @@ from pyspark.sql import functions as F
 
 from hydroframe.plans.io import only
 
-#: Documents of either class that the machine is fitted on, at most.
+#: Documents of either class that the machine is fitted on, at most, and their characters.
 MAX_FIT = 1500
+MAX_FIT_CHARS = 100_000_000
 #: Sentences of clean documents that the machine is fitted on, at most.
 MAX_CLEAN_SENTENCES = 12_000
 #: Of them, sentences of common words only, at most.
@@ -47,6 +48,8 @@ DIM = 4096
 DECAY, GAP = 0.6, 3
 #: Exponent of the normalised kernel: sharpens similarity to the nearest landmarks.
 POWER = 2
+#: Sentences of one matrix of features, and eigenvectors that score every sentence.
+CHUNK, LEADING = 64, 48
 #: Total weight of a class against the regulariser.
 COST = 20_000.0
 #: Rounds of refinement, folds of each, and the score from which a clean document's sentence counts as a wrong vote.
@@ -80,7 +83,9 @@ _DRAWN = re.compile(r"([^\W\d_])\1{2,}")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W_][ .\-_*]){2,}[^\W_](?![^\W_])")
 _FOREIGN = re.compile(r"[^\x00-\x7f]+")
 _ACCENT = re.compile(r"\\[\"'`^~=.chuvkrbd](?:\{(\w)\}|(?<![chuvkrbd])(\w))|\\[,;! ]")
-_NAMED = re.compile(r"\\(?:[a-z]*cite[a-z]*|(?:eq|page|auto)?ref|label|input|include[a-z]*|usepackage|document[a-z]+|bibliography[a-z]*|bibitem|begin|end|new[a-z]+)\*?(?:\[[^\]\n]*\])*(?:\{[^{}\n]*\})?|\\def\\[a-z]+")
+_NAMED = re.compile(r"\\(?:[a-z]*cite[a-z]*|(?:eq|page|auto)?ref|label|input|include[a-z]*|usepackage|document[a-z]+|bibliography[a-z]*|bibitem|begin|end|new[a-z]+)\*?(?:\[[^\]\n]*\])*(?:\{([^{}\n]*)\})?|\\def\\[a-z]+")
+_KEY_WORD = re.compile(r"(?<![^\W_])[^\W\d_]{2,}(?![^\W_])")
+_THREE_WORDS = re.compile(r"(?:[^\W\d_]{2,}[-_:.+/\s]+){2}[^\W\d_]{2,}")
 _COMMAND = re.compile(r"\\[a-z@]+\*?")
 _LINE = re.compile(r"\r?\n[ \t]*%*[ \t]*(?=\S)|[%{}]")
 _CUT = re.compile(r"[.!?;:。！？]+(?=[\s}'\")\]])|\n[ \t\r%]*\n|\}[ \t\r]*\n|\x1f|\\(?:footnote|todo|item|section|caption|thanks|marginpar|title|author)\b|``|''")
@@ -88,6 +93,8 @@ _REMARK = re.compile(r"((?<!\\)%[^\n]*)\n(?![ \t]*%)")
 _QUICK = re.compile(r"[^\W\d_]+")
 _UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff"
 _WORD = re.compile(rf"[{_UNSPACED}]|(?![{_UNSPACED}])[^\W_](?:(?![{_UNSPACED}])[^\W_]|[*@$€!|'’](?=[\w*]))*|\*{{2,}}")
+_ODD = re.compile(r"[*@$!|']")
+_PLAIN_WORD = re.compile(r"[^\W_]+")
 _MATH = re.compile(r"(?<!\\)\$[^$\n]{0,200}(?<!\\)\$")
 _WORDS_IN_MATH = re.compile(r"(?<![\\A-Za-z])[^\W\d_](?:[^\W_]|[*@€!|'’])+")
 _YEAR = re.compile(r"\d{3}")
@@ -112,6 +119,14 @@ def _spoken(m: re.Match) -> str:
     return f" {' '.join(_WORDS_IN_MATH.findall(m[0]))} "
 
 
+def _argument(m: re.Match) -> str:
+    """The argument of a command that isn't shown, as a piece of its own where a key of it reads as three words or more."""
+    if not m[1] or _THREE_WORDS.search(m[1]) is None:
+        return "\x1f"
+    said = (re.sub(r"[-_:.+/\s]+", " ", key) for key in m[1].split(","))
+    return "\x1f" + "\x1f".join(k for k in said if len(_KEY_WORD.findall(k)) >= 3) + "\x1f"
+
+
 def pieces(text: str | None) -> list[str]:
     """A text in lower case, cut into sentences, whatever part of the source they stand in; markup is kept."""
     if not text:
@@ -119,7 +134,7 @@ def pieces(text: str | None) -> list[str]:
     t = _MATH.sub(_spoken, text) if "$" in text else text
     t = t.lower()
     if "\\" in t:
-        t = _NAMED.sub("\x1f", t)
+        t = _NAMED.sub(_argument, t)
     if "%" in t:
         t = _REMARK.sub("\\1\x1f", t)
     return [p for p in _CUT.split(t) if p and not p.isspace()]
@@ -130,15 +145,30 @@ def quick_words(piece: str) -> list[str]:
     return _QUICK.findall(piece)
 
 
-def windows(piece: str) -> list[str]:
-    """The folded words of a piece: without compatibility forms, accents, look-alikes, invisible, drawn-out and
-    spaced-out characters and digits for letters; joined by blanks, in overlapping windows where there are many."""
-    t = piece if piece.isascii() else _FOREIGN.sub(_letters, piece)
-    if "\\" in t:
-        t = _COMMAND.sub(" ", _ACCENT.sub(lambda m: m[1] or m[2] or " ", t))
+def _folded_words(piece: str) -> list[str]:
+    """The words of a piece without compatibility forms, accents, look-alikes, invisible, drawn-out and spaced-out
+    characters and digits for letters."""
+    t = piece
+    if t.isascii():
+        if "\\" in t:
+            t = _COMMAND.sub(" ", _ACCENT.sub(lambda m: m[1] or m[2] or " ", t))
+        if _ODD.search(t) is None:
+            # Nothing but letters, digits and plain signs: words are runs of them.
+            words = _PLAIN_WORD.findall(t)
+            if [*map(len, words)].count(1) < 3 and _DRAWN.search(t) is None:
+                return words if "".join(words).isalpha() else [x for w in words if (x := w if w.isalpha() else _unleet(w))]
+    else:
+        t = _FOREIGN.sub(_letters, t)
+        if "\\" in t:
+            t = _COMMAND.sub(" ", _ACCENT.sub(lambda m: m[1] or m[2] or " ", t))
     t = _SPACED.sub(lambda m: re.sub(r"[ .\-_*]", "", m[0]), _DRAWN.sub(r"\1", _LINE.sub(" ", t)))
-    words = [w for w in map(_unleet, _WORD.findall(t)) if w]
-    if not any(map(str.isalpha, "".join(words))) and "**" not in t:
+    return [w for w in map(_unleet, _WORD.findall(t)) if w]
+
+
+def windows(piece: str) -> list[str]:
+    """The folded words of a piece joined by blanks, in overlapping windows where there are many."""
+    words = _folded_words(piece)
+    if not (words and words[0].isalpha()) and not any(map(str.isalpha, "".join(words))) and "**" not in piece:
         return []
     if len(words) <= WINDOW:
         return [" ".join(words)]
@@ -165,50 +195,102 @@ _CODES = np.full(0x110000, 0, np.uint8)
 for _k, _ch in enumerate("abcdefghijklmnopqrstuvwxyz*ß' ", 1):
     _CODES[ord(_ch)] = _k
 _CODES[0x3040:0xA000] = 29
-_OTHER = 31
+#: The code between two texts, and the bucket of each three codes; those with a code between texts fall into the last.
+_BETWEEN = 31
+_CODES[0] = _BETWEEN
+_BUCKET = (np.arange(32**3, dtype=np.int64) * 2654435761 >> 7) % DIM
+_BUCKET[(np.arange(32**3)[:, None] // np.array([1, 32, 1024]) % 32 == _BETWEEN).any(1)] = DIM
+_BUCKET = _BUCKET.astype(np.int32)
+
+
+def _counts(texts: list[str]) -> np.ndarray:
+    """Rows of the gap-weighted subsequence map of three characters, hashed to DIM, not normalised."""
+    gap = "\0" * (2 * GAP)
+    part = [f"  {t.replace(chr(0), ' ')}  {gap}" for t in texts]
+    code = _CODES[np.frombuffer("".join(part).encode("utf-32-le", "replace"), np.uint32)].astype(np.int32)
+    n = len(code) - 2 * GAP
+    first = code[:n] << 10
+    row = np.repeat(np.arange(len(part), dtype=np.int32) * (DIM + 1), [len(p) for p in part])[:n]
+    keys = np.empty((GAP * GAP, n), np.int64)
+    k = 0
+    for a in range(1, GAP + 1):
+        two = first + (code[a : n + a] << 5)
+        for b in range(1, GAP + 1):
+            np.add(_BUCKET[two + code[a + b : n + a + b]], row, out=keys[k])
+            k += 1
+    weights = np.repeat([DECAY ** (a + b) for a in range(1, GAP + 1) for b in range(1, GAP + 1)], n)
+    return np.bincount(keys.ravel(), weights, minlength=len(part) * (DIM + 1)).reshape(len(part), DIM + 1)[:, :DIM].astype(np.float32)
 
 
 def kernel_features(texts: list[str]) -> np.ndarray:
     """Rows of the gap-weighted subsequence map of three characters, hashed to DIM and normalised."""
     out = np.zeros((len(texts), DIM), np.float32)
-    for at in range(0, len(texts), 64):
-        part = [f"  {t}  " for t in texts[at : at + 64]]
-        code = _CODES[np.frombuffer("".join(part).encode("utf-32-le"), np.uint32)].astype(np.int64)
-        row = np.repeat(np.arange(len(part)), [len(p) for p in part])
-        n = len(code)
-        keys, weights = [], []
-        for a in range(1, GAP + 1):
-            two = code[: n - a] * 32 + code[a:]
-            for b in range(1, GAP + 1):
-                m = n - a - b
-                if m <= 0:
-                    continue
-                same = row[:m] == row[a + b :]
-                keys.append((((two[:m] * 32 + code[a + b :]) * 2654435761 >> 7) % DIM + row[:m] * DIM)[same])
-                weights.append(np.full(len(keys[-1]), DECAY ** (a + b)))
-        if keys:
-            out[at : at + 64] = np.bincount(np.concatenate(keys), np.concatenate(weights), minlength=len(part) * DIM).reshape(len(part), DIM)
-    norm = np.linalg.norm(out, axis=1, keepdims=True)
-    return out / np.maximum(norm, 1e-9)
-
-
-@dataclass
-class Machine:
-    """A fitted scorer; its size is bounded by LANDMARKS, DIM and MAX_FIT."""
+    for at in range(0, len(texts), CHUNK):
+        x = _counts(texts[at : at + CHUNK])
+        out[at : at + CHUNK] = x / np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x))[:, None], 1e-9)
+    return out
+
 
-    landmarks: np.ndarray
-    beta: np.ndarray
-    bias: float
-    common: frozenset
+class Machine:
+    """A fitted scorer; its size is bounded by LANDMARKS, DIM and MAX_FIT.
+
+    The sum over the landmarks of beta * kernel**2 is a quadratic form, held by its eigenvectors. Its LEADING ones
+    score every sentence; what the others can add is bounded by their greatest eigenvalue and the part of the sentence
+    that they see. Sentences that may be abusive, or the worst of their document, are scored by all of them.
+    """
+
+    def __init__(self, landmarks: np.ndarray, beta: np.ndarray, bias: float, common: frozenset) -> None:
+        if POWER != 2:
+            raise ValueError("the machine is a quadratic form")
+        self.bias, self.common = float(bias), common
+        q, r = np.linalg.qr(landmarks.T.astype(np.float64))
+        values, vectors = np.linalg.eigh((r * beta) @ r.T)
+        order = np.argsort(-np.abs(values))
+        self.values, self.vectors = values[order].astype(np.float32), (q @ vectors[:, order]).astype(np.float32)
+        rest = self.values[LEADING:]
+        self.most, self.least = float(rest.max(initial=0.0)), float(rest.min(initial=0.0))
+
+    def bounds(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The least and the greatest decision value that each sentence can have."""
+        low, high = np.empty(len(texts), np.float32), np.empty(len(texts), np.float32)
+        lead, values = np.ascontiguousarray(self.vectors[:, :LEADING]), self.values[:LEADING]
+        for at in range(0, len(texts), CHUNK):
+            x = _counts(texts[at : at + CHUNK])
+            size = np.maximum(np.einsum("ij,ij->i", x, x), 1e-9)
+            seen = (x @ lead) ** 2
+            f = seen @ values / size + self.bias
+            unseen = np.maximum(1 - seen.sum(1) / size, 0) + 1e-5
+            low[at : at + CHUNK], high[at : at + CHUNK] = f + self.least * unseen - 1e-5, f + self.most * unseen + 1e-5
+        return low, high
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """Decision values of sentences; abusive above 0."""
         out = np.empty(len(texts), np.float32)
-        for at in range(0, len(texts), 512):
-            k = kernel_features(texts[at : at + 512]) @ self.landmarks.T
-            out[at : at + 512] = k**POWER @ self.beta + self.bias
+        for at in range(0, len(texts), CHUNK):
+            out[at : at + CHUNK] = (kernel_features(texts[at : at + CHUNK]) @ self.vectors) ** 2 @ self.values + self.bias
         return out
 
+    def judge(self, texts: list[str], owner: np.ndarray, n: int, clean_too: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(worst score, number of abusive sentences, index of the worst or -1) of n documents, texts[i] being a
+        sentence of owner[i]; without clean_too the score of a document without abusive sentences is the bias."""
+        at = np.fromiter((seen.setdefault(t, len(seen)) for seen in [{}] for t in texts), np.int64, len(texts))
+        unique = list(dict.fromkeys(texts))
+        low, high = self.bounds(unique)
+        floor = np.full(n, -np.inf)
+        np.maximum.at(floor, owner, low[at])
+        asked = (high[at] > 0) | (clean_too & (high[at] >= floor[owner]))
+        exact = np.full(len(unique), -np.inf, np.float32)
+        which = np.unique(at[asked])
+        exact[which] = self.scores([unique[i] for i in which])
+        f = np.where(asked, exact[at], -np.inf)
+        worst, count = np.full(n, -np.inf), np.zeros(n, np.int64)
+        np.maximum.at(worst, owner, f)
+        np.add.at(count, owner, f > 0)
+        first = np.full(n, -1, np.int64)
+        hit = np.flatnonzero(asked & (f == worst[owner]))[::-1]
+        first[owner[hit]] = hit
+        return np.where(first < 0, self.bias, worst), count, first
+
 
 def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 20) -> tuple[np.ndarray, float]:
     """Linear support vector machine with squared hinge loss, by Newton steps with halving."""
@@ -329,21 +411,28 @@ def _balanced(good: np.ndarray, bad: np.ndarray) -> tuple[np.ndarray, float]:
 
 
 def labelled(documents: DataFrame, labels: DataFrame) -> list[tuple[str | None, int, int]]:
-    """(text, majority vote, votes) of at most MAX_FIT documents of either class, by the hash of their id."""
+    """(text, majority vote, votes) of at most MAX_FIT documents of either class, by the hash of their id, and of at
+    most MAX_FIT_CHARS characters; of rows of one id the alphabetically first text counts. One read of the documents."""
     votes = only(labels, "doc_id", "abusive").where("abusive in (0, 1)").groupBy("doc_id").agg(F.avg("abusive").alias("mean"), F.count(F.lit(1)).alias("votes")).where("mean <> 0.5")
-    out = []
-    for y, keep in ((1, F.col("mean") > 0.5), (0, F.col("mean") < 0.5)):
-        ids = votes.where(keep).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_FIT).select("doc_id", "votes")
-        rows = only(documents, "doc_id", "text").join(F.broadcast(ids), "doc_id").where("text is not null").limit(2 * MAX_FIT).collect()
-        out += [(r["text"], y, r["votes"]) for r in sorted(rows, key=lambda r: r["doc_id"])]
-    return out
+    by_hash = votes.select("doc_id", "votes", (F.col("mean") > 0.5).cast("int").alias("y"), F.xxhash64("doc_id").alias("h"))
+    ids = reduce(DataFrame.unionByName, [by_hash.where(f"y = {y}").orderBy("h", "doc_id").limit(MAX_FIT) for y in (0, 1)])
+    # At most 2 * MAX_FIT ids.
+    rows = only(documents, "doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y", "votes", "h").agg(F.min("text").alias("text"))
+    out, left = [], MAX_FIT_CHARS
+    for r in rows.orderBy("h", "doc_id").toLocalIterator():
+        left -= len(r["text"])
+        if left < 0 and out:
+            break
+        out.append((r["doc_id"], r["text"], r["y"], r["votes"]))
+    return [x[1:] for x in sorted(out, key=lambda x: (-x[2], x[0]))]
 
 
 _ROW = "doc_id long, source string, score double, n_abusive long, worst string"
 
 
-def score_with(machine: Machine | None, documents: DataFrame) -> DataFrame:
-    """Score, number of abusive sentences and worst sentence of every document; no shuffle."""
+def score_with(machine: Machine | None, documents: DataFrame, clean_too: bool = True) -> DataFrame:
+    """Score, number of abusive sentences and worst sentence of every document; no shuffle. Without clean_too, documents
+    without abusive sentences get the bias as score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -351,21 +440,18 @@ def score_with(machine: Machine | None, documents: DataFrame) -> DataFrame:
                 batch = whole.slice(at, 512)
                 owner, texts = [], []
                 if machine is not None:
+                    folded: dict[str, list[str]] = {}
                     for k, text in enumerate(batch.column(2)):
                         for p in pieces(text.as_py()):
-                            found = windows(p)
+                            if (found := folded.get(p)) is None:
+                                found = folded[p] = windows(p)
                             owner += [k] * len(found)
                             texts += found
                 score = np.full(batch.num_rows, machine.bias if machine else -1.0)
                 count, worst = np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows
                 if texts:
-                    unique = {t: i for i, t in enumerate(dict.fromkeys(texts))}
-                    f = machine.scores(list(unique))
-                    for k, t in zip(owner, texts):
-                        x = f[unique[t]]
-                        count[k] += x > 0
-                        if worst[k] is None or x > score[k]:
-                            score[k], worst[k] = x, t
+                    score, count, first = machine.judge(texts, np.array(owner), batch.num_rows, clean_too)
+                    worst = [texts[i] if i >= 0 else None for i in first]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array(count), pa.array(worst, pa.string())], names=["doc_id", "source", "score", "n_abusive", "worst"])
 
     return only(documents, "doc_id", "source", "text").mapInArrow(run, _ROW)
@@ -376,7 +462,13 @@ def scored(documents: DataFrame, labels: DataFrame) -> DataFrame:
     return score_with(fit(labelled(documents, labels)), documents)
 
 
+def abusive(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id of every document with an abusive sentence."""
+    return score_with(fit(labelled(documents, labels)), documents, clean_too=False).where("n_abusive > 0").select("doc_id")
+
+
 def rates(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Per source: documents, abusive documents and their share."""
-    s = scored(documents, labels)
-    return s.groupBy("source").agg(F.count(F.lit(1)).alias("n_documents"), F.count_if(F.col("score") > 0).alias("n_abusive"), F.round(F.avg((F.col("score") > 0).cast("double")), 6).alias("rate"))
+    s = score_with(fit(labelled(documents, labels)), documents, clean_too=False)
+    bad = F.col("n_abusive") > 0
+    return s.groupBy("source").agg(F.count(F.lit(1)).alias("n_documents"), F.count_if(bad).alias("n_abusive"), F.round(F.avg(bad.cast("double")), 6).alias("rate"))

@@ -62,6 +62,7 @@ def test_whole_query(spark):
     votes = spark.createDataFrame([(i, "r", int(i in truth), None) for i in range(150)] + [(0, "q", 0, None), (5000, "r", 1, None), (None, None, None, None)], "doc_id long, reviewer string, abusive int, reviewed_at timestamp")
     s = {r.doc_id: r.score for r in abuse.scored(df, votes).collect()}
     found = {i for i, x in s.items() if x > 0}
+    assert {r.doc_id for r in abuse.abusive(df, votes).collect()} == found
     assert len(s) == 205 and 1004 in found and not found & {1000, 1001, 1002, 1003}
     assert len((found & set(range(200))) ^ truth) <= 6
     rates = abuse.rates(df, votes).collect()
@@ -72,10 +73,9 @@ def test_whole_query(spark):
 def test_every_sentence_is_scored(spark, machine):
     """Abuse of common words reaches the machine, also where masked letters fall into common pieces."""
     texts = ["you miserable m0r0n", "shut your mouth you filthy moron"]
-    words = {w for t in texts for w in abuse.quick_words(t)}
-    everyday = abuse.Machine(machine.landmarks, machine.beta, machine.bias, machine.common | words)
     df = spark.createDataFrame([(i, "s", t + ".") for i, t in enumerate(texts)], "doc_id long, source string, text string")
-    got = {r.doc_id: (r.score, r.worst) for r in abuse.score_with(everyday, df).collect()}
+    machine.common |= {w for t in texts for w in abuse.quick_words(t)}
+    got = {r.doc_id: (r.score, r.worst) for r in abuse.score_with(machine, df).collect()}
     for i, t in enumerate(texts):
         folded = abuse.windows(t)
         assert got[i] == (pytest.approx(float(machine.scores(folded)[0]), abs=1e-4), folded[0])
@@ -94,3 +94,24 @@ def test_every_sentence_is_scored(spark, machine):
 )
 def test_short_and_hidden_pieces_are_kept(text, words):
     assert any(words in w for p in abuse.pieces(text) for w in abuse.windows(p))
+
+
+def test_bounds_hold(machine):
+    """The first eigenvectors bound the score, so no sentence that may be abusive, or the worst, is passed over."""
+    rng = random.Random(5)
+    texts = [w for t, _ in corpus(60, 6) for p in abuse.pieces(t) for w in abuse.windows(p)] + ["".join(rng.choice("abcdei st*") for _ in range(rng.randrange(1, 90))) for _ in range(300)] + ["", " "]
+    f = machine.scores(texts)
+    low, high = machine.bounds(texts)
+    assert (low <= f).all() and (f <= high).all()
+    owner = np.array([rng.randrange(40) for _ in texts])
+    worst, count, first = machine.judge(texts, owner, 41)
+    for k in range(40):
+        mine = f[owner == k]
+        assert worst[k] == pytest.approx(float(mine.max()), abs=1e-5) and count[k] == (mine > 0).sum() and owner[first[k]] == k
+    assert worst[40] == pytest.approx(machine.bias) and first[40] == -1
+
+
+def test_arguments_of_commands_are_read():
+    """What isn't shown counts where it reads as words; keys don't."""
+    got = [w for p in abuse.pieces("As in \\label{you-filthy-moron}\\cite{smith2020,jones} text \\begin{itemize}.") for w in abuse.windows(p)]
+    assert "you filthy moron" in got and not any("smith" in w or "itemize" in w for w in got)
