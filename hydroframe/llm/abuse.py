@@ -89,6 +89,8 @@ _THREE_WORDS = re.compile(r"(?:[^\W\d_]{2,}[-_:.+/\s]+){2}[^\W\d_]{2,}")
 _COMMAND = re.compile(r"\\[a-z@]+\*?")
 _LINE = re.compile(r"\r?\n[ \t]*%*[ \t]*(?=\S)|[%{}]")
 _CUT = re.compile(r"[.!?;:。！？]+(?=[\s}'\")\]])|\n[ \t\r%]*\n|\}[ \t\r]*\n|\x1f|\\(?:footnote|todo|item|section|caption|thanks|marginpar|title|author)\b|``|''")
+#: One or two quoted words belong to the sentence about them; longer quotations stand alone.
+_QUOTED = re.compile(r"``\s*([^\s`']+(?:\s+[^\s`']+)?)\s*''")
 _REMARK = re.compile(r"((?<!\\)%[^\n]*)\n(?![ \t]*%)")
 _QUICK = re.compile(r"[^\W\d_]+")
 _UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff"
@@ -135,6 +137,8 @@ def pieces(text: str | None) -> list[str]:
     t = t.lower()
     if "\\" in t:
         t = _NAMED.sub(_argument, t)
+    if "``" in t:
+        t = _QUOTED.sub(r" \1 ", t)
     if "%" in t:
         t = _REMARK.sub("\\1\x1f", t)
     return [p for p in _CUT.split(t) if p and not p.isspace()]

@@ -115,3 +115,10 @@ def test_arguments_of_commands_are_read():
     """What isn't shown counts where it reads as words; keys don't."""
     got = [w for p in abuse.pieces("As in \\label{you-filthy-moron}\\cite{smith2020,jones} text \\begin{itemize}.") for w in abuse.windows(p)]
     assert "you filthy moron" in got and not any("smith" in w or "itemize" in w for w in got)
+
+
+def test_quoted_words_stay_in_their_sentence():
+    """One or two quoted words are read with what is said about them; a quoted sentence stands alone."""
+    text = "Annotators marked the token ``imbecile'' as hostile. He wrote ``you filthy moron'' on it."
+    got = [w for p in abuse.pieces(text) for w in abuse.windows(p)]
+    assert got == ["annotators marked the token imbecile as hostile", "he wrote", "you filthy moron", "on it"]
