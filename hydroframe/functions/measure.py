@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import datetime
+import math
 import re
 from collections.abc import Iterable, Mapping
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,6 +78,7 @@ class Parameters:
             if full in self.keys:
                 self.keys.setdefault(short, self.keys[full])
         self._seen: dict[str | None, tuple[str | None, str, str]] = {}
+        self._contexts: dict[tuple, tuple] = {}
 
     def _lookup(self, text: str) -> str | None:
         key = _key(text)
@@ -98,6 +101,22 @@ class Parameters:
             got = self._seen[text] = self._find(text)
         return got
 
+    def context(self, parameter: str | None, unit: str | None, remarks: str | None) -> tuple:
+        """(name, variant, kind, common unit, stated unit, factor, shift, whether converted) of what surrounds a value:
+        a unit in the parameter's text holds before the unit column, that before the remarks."""
+        key = (parameter, unit, remarks)
+        if (got := self._contexts.get(key)) is None:
+            if len(self._contexts) > 65536:
+                self._contexts.clear()
+            name, variant, tail = self.find(parameter)
+            common, kind = self.listed.get(name, ("", None))
+            stated, change = None, None
+            if kind == "number":
+                m = _REMARK.search(remarks or "")
+                stated, change = next(((c.strip(), x) for c in (tail, unit, m[1] if m else "") if not is_missing(c) and (x := conversion(c, common, name))), (None, None))
+            got = self._contexts[key] = name, variant, kind, common, stated, *(change or (1.0, 0.0)), differs(change)
+        return got
+
     def _find(self, text: str | None) -> tuple[str | None, str, str]:
         if text is None or not text.strip():
             return None, "", ""
@@ -133,24 +152,20 @@ def read_cell(parameters: Parameters, parameter: str | None, unit: str | None, v
     A unit written after the value holds before one in the parameter's text, that before the unit column, that
     before the remarks; texts that aren't units of the parameter's dimension state nothing.
     """
-    name, variant, tail = parameters.find(parameter)
-    common, kind = parameters.listed.get(name, ("", None))
+    name, variant, kind, common, stated, factor, shift, converted = parameters.context(parameter, unit, remarks)
+    number = bound = day = text = common_value = None
+    if kind == "number" and value is not None and PLAIN_NUMBER.match(value) and math.isfinite(number := float(value)):
+        return name, variant, kind, False, True, number, False, stated, common, factor, shift, converted, factor * number + shift, None, None
+    number = None
     missing = is_missing(value)
     plain = not missing and PLAIN_NUMBER.match(value) is not None
-    number = bound = day = text = stated = common_value = None
-    factor, shift, converted = 1.0, 0.0, False
-    rest = ""
     if kind == "number":
+        rest = ""
         if not missing and (n := parse_number(value)):
             number, rest, bound = n
-        for candidate in (rest.strip("()[] "), tail, unit, None):
-            if candidate is None:
-                m = _REMARK.search(remarks or "")
-                candidate = m[1] if m else ""
-            change = None if is_missing(candidate) else conversion(candidate, common, name)
-            if change:
-                stated, (factor, shift), converted = candidate.strip(), change, differs(change)
-                break
+            own = rest.strip("()[] ")
+            if not is_missing(own) and (change := conversion(own, common, name)):
+                stated, (factor, shift), converted = own, change, differs(change)
         if number is not None and rest and parse_unit(rest.strip("()[] ")) is None and (re.match(r"[-/.:]\s*\d", rest) or re.match(r"[A-Za-z]{3,}\s*\d", rest)):
             number = bound = None  # a date or a range among the numbers
         if number is not None:
@@ -171,30 +186,31 @@ def load_parameters(parameters: DataFrame) -> Parameters:
     return Parameters(r.asDict() for r in rows)
 
 
-def reading(parameters: Parameters, parameter: Column, unit: Column, value: Column, remarks: Column | None = None) -> Column:
-    """READING of each row, by an Arrow batch function; equal cells of a batch are read once."""
+def reading(parameters: Parameters, parameter: Column, unit: Column, value: Column, remarks: Column | None = None, fields: Iterable[str] = ()) -> Column:
+    """READING of each row, or only the named fields of it, by an Arrow batch function; equal cells of a batch are read
+    once."""
+    at = [READING.fieldNames().index(f) for f in fields] or list(range(len(READING.fields)))
+    shape = T.StructType([READING.fields[i] for i in at])
+    nullable = {T.DoubleType(): "Float64", T.BooleanType(): "boolean"}
 
-    @F.pandas_udf(READING)
+    @F.pandas_udf(shape)
     def read(p: pd.Series, u: pd.Series, v: pd.Series, r: pd.Series) -> pd.DataFrame:
-        seen: dict[tuple, tuple] = {}
-        out = []
-        for cell in zip(p, u, v, r):
-            if (got := seen.get(cell)) is None:
-                got = seen[cell] = read_cell(parameters, *cell)
-            out.append(got)
-        frame = pd.DataFrame(out, columns=READING.fieldNames())
-        for c in ("number", "common_value", "factor", "shift"):
-            frame[c] = frame[c].astype("Float64")
-        for c in ("missing", "plain", "bound", "converted"):
-            frame[c] = frame[c].astype("boolean")
-        return frame
+        seen: dict[tuple, int] = {}
+        which = [seen.setdefault(cell, len(seen)) for cell in zip(p, u, v, r)]
+        columns = list(zip(*(read_cell(parameters, *cell) for cell in seen)))
+        index = np.array(which, np.int64)
+        out = {}
+        for i, f in zip(at, shape.fields):
+            c = pd.array(columns[i] if columns else [], dtype=nullable.get(f.dataType, object))
+            out[f.name] = pd.Series(c.take(index) if len(index) else c)
+        return pd.DataFrame(out)
 
     return read(parameter, unit, value, F.lit(None).cast("string") if remarks is None else remarks)
 
 
-def readings(measurements: DataFrame, parameters: DataFrame | Parameters, keep: Iterable[str] = ("row_id",)) -> DataFrame:
-    """keep columns of measurements plus the fields of READING."""
+def readings(measurements: DataFrame, parameters: DataFrame | Parameters, keep: Iterable[str] = ("row_id",), fields: Iterable[str] = ()) -> DataFrame:
+    """keep columns of measurements plus the fields of READING, or the named ones."""
     listed = parameters if isinstance(parameters, Parameters) else load_parameters(parameters)
     plain = only(measurements, *dict.fromkeys([*keep, "parameter", "unit", "value", "remarks"]))
-    m = plain.select(*keep, reading(listed, F.col("parameter"), F.col("unit"), F.col("value"), F.col("remarks")).alias("reading"))
+    m = plain.select(*keep, reading(listed, F.col("parameter"), F.col("unit"), F.col("value"), F.col("remarks"), fields).alias("reading"))
     return m.select(*keep, "reading.*")

@@ -26,4 +26,4 @@ def to_common_units(measurements: DataFrame, parameters: DataFrame | Parameters)
 
 def rows_converted(measurements: DataFrame, parameters: DataFrame | Parameters) -> DataFrame:
     """row_id of every non-missing value whose stated unit differs from the common unit in scale or zero point."""
-    return to_common_units(measurements, parameters).where("converted and not missing").select("row_id")
+    return readings(measurements, parameters, ("row_id",), ("kind", "missing", "converted")).where("kind = 'number' and converted and not missing").select("row_id")
