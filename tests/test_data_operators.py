@@ -83,11 +83,30 @@ def test_states_merge_like_one_scan(spark, parameters):
     m = spark.createDataFrame(rows(*((1, k, "Chloride", "mg/l", str(k)) for k in range(100))), M)
     whole = profile.states(m, parameters)
     parts = profile.states(m.where("row_id <= 30"), parameters).unionByName(profile.states(m.where("row_id > 30"), parameters))
-    keys = ("feed", "load_id", "parameter", "kind")
+    keys = profile.KEYS
     show = lambda s: profile.merge_states(s, *keys).select(*keys, "n_rows", "min_value", "max_value", F.hll_sketch_estimate("value_texts"), F.kll_sketch_get_quantile_double("level", F.lit(0.5))).collect()
     assert show(whole) == show(parts)
 
 
+def test_a_new_load_needs_no_older_rows(spark, parameters, tmp_path):
+    """Stored states and those of a new load give what a scan of everything gives, and the plan reads only the states."""
+    cells = [(load, k, "Chloride", "mg/l" if load < 8 or k % 2 else "mg/L.", None if load == 8 and k % 2 else str(10 + k % 5)) for load in range(1, 9) for k in range(40)]
+    m = spark.createDataFrame(rows(*cells), M)
+    profile.states(m.where("load_id < 8"), parameters).write.parquet(str(tmp_path / "states"))
+    stored, new = spark.read.parquet(str(tmp_path / "states")), profile.states(m.where("load_id = 8"), parameters)
+    found = profile.departing(stored.unionByName(new))
+    want = {tuple(r) for r in profile.departing_loads(m, parameters).collect()}
+    assert {tuple(r) for r in found.collect()} == want == {(8, "value", "missing"), (8, "unit", "categories")}
+    assert all("states" in f for f in stored.inputFiles())
+
+
+def test_one_scan(spark, parameters):
+    """The states are one aggregate over one reading of the table."""
+    m = spark.createDataFrame(rows((1, 1, "Chloride", "mg/l", "5")), M)
+    plan = profile.states(m, parameters)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 R = "reading_id long, probe_id long, location string, parameter string, unit string, value string, read_at timestamp, received_at timestamp"
 
 
@@ -197,10 +216,43 @@ def test_casts():
     assert drift.cast("month", "2021-05-18") == 5 and drift.cast("year", "FY 2017-18") == 2017 and drift.cast("depth", "1.4 m") == 1.4 and drift.cast("month", "-") is None
 
 
-def test_content_alone_finds_renames():
-    v = lambda f, cells: drift.Version(f, [{"kind": drift.cell_kind(c), "mask": drift._bucket(drift.mask(c)), "word": drift._bucket(c.lower()), "decimals": 1, "n": 1} for c in cells], None, None, None)
-    old, new = {"wherefrom": v("wherefrom", ["Alpha Weir", "Beta Weir"])}, {"spot": v("spot", ["Alpha Weir", "Beta Weir"])}
-    assert drift.steps(old, new) == [("spot", "renamed", "wherefrom")]
+def field(name, cells):
+    counts, numbers = [0] * drift._SLOTS, []
+    for c in cells:
+        slots, x = drift.cell_slots(c)
+        for k in slots:
+            counts[k] += 1
+        numbers += [] if x is None else [x]
+    return drift.Field(name, counts, min(numbers, default=None), max(numbers, default=None))
+
+
+def test_content_alone_decides():
+    places, mine = ["Alpha Weir", "Beta Weir"], ["12.5", "13.25"]
+    old, new = {"wherefrom": field("wherefrom", places), "depth": field("depth", mine)}, {"spot": field("spot", places), "level": field("level", mine)}
+    assert sorted(drift.steps(old, new)) == [("level", "renamed", "depth"), ("spot", "renamed", "wherefrom")]
+    # Two known headers of one field with other content are no rename.
+    assert drift.steps({"site": field("site", places)}, {"station": field("station", ["7", "8"])}) == [("site", "removed", "site"), ("station", "added", "station")]
+    assert drift.fingerprint(old) == drift.fingerprint(dict(reversed(old.items()))) != drift.fingerprint(new)
+
+
+def test_late_header_and_versions(spark):
+    a = [*(f"Remark {i}" for i in range(9)), *body(["Station", "Value", "Extra thing"], [["Alpha Weir", "1.5", "x1"], ["Beta Weir", "2.5", "x2"]])]
+    b = body(["Station", "Value", "Extra thing"], [["Alpha Weir", "1.0", "x1"], ["Beta Weir", "2.0", "x2"]], ";")
+    c = body(["Site", "Value", "Year"], [["Alpha Weir", "1.0", "2020-01-01"], ["Beta Weir", "2.0", "2020-01-02"]])
+    df = spark.createDataFrame(files(a, b, c), L)
+    v = {r.file_no: r for r in drift.versions(df).collect()}
+    assert [v[n].version for n in (1, 2, 3)] == [1, 1, 2] and v[1].fingerprint == v[2].fingerprint != v[3].fingerprint
+    assert v[2].steps == "" and v[3].steps == "added year; removed extrathing; renamed station to site"
+    u = drift.unified(df).orderBy("file_id", "line_no").collect()
+    assert len(u) == 6 and u[0].location == "Alpha Weir" and u[0].other == {"extrathing": "x1"} and u[4].other == {}
+
+
+def test_headers_of_many_files(spark, monkeypatch):
+    """Beyond the bound lines and headers are joined, with the same result."""
+    df = spark.createDataFrame(files(body(["A", "B", "C"], [["x", "1", "2"]]), body(["A", "B", "D"], [["x", "1", "2020-01-01"]])), L)
+    want = {tuple(r) for r in drift.changes(df).collect()}
+    monkeypatch.setattr(drift, "MAX_SENT", 1)
+    assert {tuple(r) for r in drift.changes(df).collect()} == want == {(2, "c", "removed"), (2, "d", "added")}
 
 
 def test_empty_tables(spark, parameters):
