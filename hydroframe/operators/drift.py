@@ -1,41 +1,46 @@
 """Delivered files whose schema drifts, read into one table, with every change reported (problem 4).
 
-A file's schema version is its fingerprint: fields with their majority type and a bounded profile of their content.
-Per feed, the versions are chained by explicit steps: keep, rename (content moved under another header), add, remove
-and retype. Every line is then routed through the chain of its file: rename to the canonical field, default where
-the field is absent, cast to the canonical type. Lines are parsed and profiled in Arrow batches and combined before
-the shuffle; only profiles (a row per field and file) are grouped by feed.
-
-Defined cases: null and blank lines, and lines without file, feed or number, carry no cells; lines shorter than the header leave the rest null, surplus cells
-are dropped; a line repeated within its file counts; of several files with one feed and file_no the smallest file_id
-holds; a file without a header line, or whose predecessor is absent, reports no change; a column without non-missing
-cells has no type and retypes nothing.
+The schema of a file has a fingerprint: its fields with their majority type, beside bounded histograms of their content
+(types, forms, words, decimals, magnitudes). Per feed, files are chained by explicit steps: keep, rename (content moved under
+another header, by likeness of content alone), add, remove and retype; a file with steps begins a new version. Every
+line is then routed through the chain of its file: rename to the canonical field, default where the field is absent,
+cast to the canonical type; known headers (a fixed list) only say which canonical field a chain begins at. Lines are
+parsed and counted in Arrow batches, and counts summed in the JVM before and after the shuffle; only profiles (a row
+per field and file) are grouped by feed.
+
+Defined cases: null and blank lines, and lines without file, feed or number, carry no cells; a header may stand at any
+line, what precedes it is no data; lines shorter than the header leave the rest null, surplus cells are dropped; a line
+repeated within its file counts; of several files with one feed and file_no the smallest file_id holds; a file without a
+header line, or whose predecessor is absent, reports no change; a column without non-missing cells has no type and
+retypes nothing.
 """
 
 from __future__ import annotations
 
 import csv
+import hashlib
+import itertools
 import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from hydroframe.functions.units import is_missing
-from hydroframe.plans.io import only
+from hydroframe.plans.io import cut, only
 
 SEPARATORS = ",;|\t"
-#: A header stands within so many lines of the file's beginning.
+#: Lines in which headers are looked for first; files without one there are searched whole.
 HEADER_WITHIN = 6
+#: Files whose headers and routes (a short row a file) are sent to every task; beyond, lines and headers are joined by a shuffle.
+MAX_SENT = 50_000
 #: Length of the hashed profiles of masks and values.
 BUCKETS = 64
 #: Content likeness from which a vanished and a new column are one.
-ALIKE = 0.6
-#: The same, where the fixed synonyms below also say so.
-ALIKE_NAMED = 0.2
+ALIKE = 0.55
 
 # Canonical fields and the headers known for them, letters and digits only.
 FIELDS = {
@@ -93,19 +98,37 @@ def find_header(lines: list[tuple[int, str]]) -> tuple[int, str, list[str]] | No
     return None
 
 
-def headers(raw_lines: DataFrame) -> DataFrame:
-    """(file_id, header_line, separator, fields) of every file with a header."""
-    first = only(raw_lines, "file_id", "line_no", "line").where(F.col("line").isNotNull() & F.col("file_id").isNotNull() & (F.col("line_no") <= HEADER_WITHIN)).select("file_id", "line_no", "line").distinct()
-    w = W.partitionBy("file_id").orderBy("line_no", "line")
-    first = first.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= HEADER_WITHIN)
-    grouped = first.groupBy("file_id").agg(F.collect_list(F.struct("line_no", "line")).alias("lines"))
+_HEADER = "file_id long, header_line int, separator string, fields array<string>"
+
+
+def _first_header(lines: DataFrame) -> DataFrame:
+    """The header of every file of the given lines that has one; lines that can be none don't leave their batch."""
 
     def pick(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(i, *h) for i, lines in zip(f["file_id"], f["lines"]) if (h := find_header([(x["line_no"], x["line"]) for x in lines]))]
-            yield pd.DataFrame(rows, columns=["file_id", "header_line", "separator", "fields"])
+            best: dict[int, tuple] = {}
+            for i, no, line in zip(f["file_id"], f["line_no"], f["line"]):
+                if (i not in best or (no, line) < best[i][0]) and (h := find_header([(no, line)])):
+                    best[i] = ((no, line), h)
+            yield pd.DataFrame([(i, *key, *h[1:]) for i, (key, h) in best.items()], columns=["file_id", "header_line", "line", "separator", "fields"])
+
+    found = lines.mapInPandas(pick, "file_id long, header_line int, line string, separator string, fields array<string>")
+    return found.groupBy("file_id").agg(F.min_by(F.struct("header_line", "separator", "fields"), F.struct("header_line", "line")).alias("h")).select("file_id", "h.*")
+
 
-    return grouped.mapInPandas(pick, "file_id long, header_line int, separator string, fields array<string>")
+def headers(raw_lines: DataFrame) -> DataFrame:
+    """(file_id, header_line, separator, fields) of every file with a header, wherever it stands."""
+    lines = only(raw_lines, "file_id", "line_no", "line").where("file_id is not null and line_no is not null and trim(line) <> ''").select("file_id", F.col("line_no").cast("int").alias("line_no"), "line")
+    early = cut(_first_header(lines.where(F.col("line_no") <= HEADER_WITHIN)))
+    without = cut(lines.select("file_id").distinct().join(early.select("file_id"), "file_id", "left_anti"))
+    if without.isEmpty():
+        return early
+    return cut(early.unionByName(_first_header(lines.join(without, "file_id", "left_semi"))))
+
+
+def beside(lines: DataFrame, per_file: DataFrame) -> DataFrame:
+    """Lines with the row of their file, which is sent to the tasks if there are at most MAX_SENT files."""
+    return lines.join(F.broadcast(per_file) if per_file.limit(MAX_SENT + 1).count() <= MAX_SENT else per_file, "file_id")
 
 
 def cell_kind(cell: str) -> str:
@@ -113,51 +136,90 @@ def cell_kind(cell: str) -> str:
     return "number" if _NUMBER.match(cell) else "date" if _ISO.match(cell) else "text"
 
 
-def mask(cell: str) -> str:
-    """The form of a cell: runs of digits, of lower and of upper case letters collapsed."""
-    return re.sub(r"a+( a+)*", "a", re.sub(r"[^\W\d_]", "a", re.sub(r"\d+", "9", cell)))
+_RUN = re.compile(r"([^\W\d_]+)|(\d+)|(\s+)|(.)", re.S)
+_MONTH = re.compile(r"(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?$", re.I)
+#: Runs of a cell that its form tells.
+_FORM_RUNS = 6
+
+
+def form(cell: str) -> str:
+    """The form of a cell: its first runs of letters (with the case of the first) and digits with lengths up to 4, its
+    blanks and other signs."""
+    out = []
+    for m in itertools.islice(_RUN.finditer(cell), _FORM_RUNS):
+        letters, digits, blank, sign = m.groups()
+        out.append(f"{'A' if letters[0].isupper() else 'a'}{min(len(letters), 4)}" if letters else f"9{min(len(digits), 4)}" if digits else "_" if blank else sign)
+    return "".join(out)
+
+
+def sort_of(cell: str, kind: str) -> int:
+    """What a cell looks like: 0 a date; 1 a decimal, 2 a number up to twelve, 3 a year, 4 another whole number; 5 a
+    month's name, 6 a text with digits, 7 with signs of units, 8 one word, 9 several."""
+    if kind == "date":
+        return 0
+    if kind == "number":
+        whole = re.fullmatch(r"[-+]?\d{1,9}", cell)
+        return 1 if not whole else 2 if 1 <= int(cell) <= 12 else 3 if 1900 <= int(cell) < 2100 else 4
+    if _MONTH.match(cell):
+        return 5
+    return 6 if re.search(r"\d", cell) else 7 if re.search(r"[/%°µ]", cell) else 8 if len(cell.split()) == 1 else 9
 
 
 def lines_with_header(raw_lines: DataFrame) -> DataFrame:
     """Every data line beside the header of its file."""
     h = headers(raw_lines)
     body = only(raw_lines, "file_id", "feed", "file_no", "line_no", "line").where((F.trim("line") != "") & F.col("feed").isNotNull() & F.col("file_no").isNotNull())
-    return body.join(h, "file_id").where(F.col("line_no") > F.col("header_line"))
+    return beside(body, h).where(F.col("line_no") > F.col("header_line"))
+
 
+_KINDS = ("number", "date", "text")
+#: Where the histograms of a field begin: types, forms, words, decimals, magnitudes, sorts; and their end.
+_AT = (0, 3, 3 + BUCKETS, 3 + 2 * BUCKETS, 13 + 2 * BUCKETS, 25 + 2 * BUCKETS)
+_SLOTS = 35 + 2 * BUCKETS
+_PROFILE = "file_id long, feed string, file_no int, pos int, field string, counts array<long>, low double, high double"
+#: Different cells that a task remembers.
+_REMEMBERED = 200_000
 
-_PROFILE = "file_id long, feed string, file_no int, pos int, field string, kind string, mask int, word int, decimals int, n long, low double, high double, total double"
+
+def cell_slots(cell: str) -> tuple[tuple[int, ...], float | None]:
+    """(slots of the histograms that a cell counts in, its number); no slots where it is missing."""
+    if is_missing(cell):
+        return (), None
+    kind = cell_kind(cell)
+    x = float(cell) if kind == "number" else None
+    slots = (_AT[0] + _KINDS.index(kind), _AT[1] + _bucket(form(cell)), _AT[2] + _bucket(cell.lower()), _AT[5] + sort_of(cell, kind))
+    if x is None or not math.isfinite(x):
+        return slots, None
+    magnitude = min(max(math.floor(math.log10(abs(x))) + 4, 1), 11) if x else 0
+    return (*slots, _AT[3] + min(len(cell.partition(".")[2]), 9), _AT[4] + magnitude), x
 
 
 def profiles(lines: DataFrame) -> DataFrame:
-    """One row per file and field: type counts and hashed profiles of its content."""
+    """One row per file and field: counts of types, forms, words, decimals, magnitudes and sorts, and the range of the numbers."""
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, tuple] = {}
         for f in frames:
-            seen: dict[tuple, list] = {}
+            seen: dict[int, tuple] = {}
             for file_id, feed, no, line, separator, fields in zip(f["file_id"], f["feed"], f["file_no"], f["line"], f["separator"], f["fields"]):
-                cells = split_line(line, separator)
-                for pos, field in enumerate(fields):
-                    cell = cells[pos] if pos < len(cells) else ""
-                    if is_missing(cell):
-                        key, x = (file_id, feed, no, pos, field, None, 0, 0, 0), None
-                    else:
-                        kind = cell_kind(cell)
-                        x = float(cell) if kind == "number" else None
-                        x = x if x is not None and math.isfinite(x) else None
-                        decimals = len(cell.partition(".")[2]) if kind == "number" else 0
-                        key = (file_id, feed, no, pos, field, kind, _bucket(mask(cell)), _bucket(cell.lower()), min(decimals, 9))
-                    s = seen.setdefault(key, [0, None, None, 0.0])
-                    s[0] += 1
-                    if x is not None:
-                        s[1], s[2], s[3] = x if s[1] is None else min(s[1], x), x if s[2] is None else max(s[2], x), s[3] + x
-            yield pd.DataFrame([(*k, *v) for k, v in seen.items()], columns=[c.split()[0] for c in _PROFILE.split(", ")])
+                if (file := seen.get((file_id, feed, no))) is None:
+                    file = seen[file_id, feed, no] = (fields, [[0] * _SLOTS for _ in fields], [[math.inf, -math.inf] for _ in fields])
+                for cell, counts, numbers in zip(split_line(line, separator), file[1], file[2]):
+                    if (got := known.get(cell)) is None:
+                        if len(known) > _REMEMBERED:
+                            known.clear()
+                        got = known[cell] = cell_slots(cell)
+                    for slot in got[0]:
+                        counts[slot] += 1
+                    if (x := got[1]) is not None:
+                        numbers[0], numbers[1] = min(x, numbers[0]), max(x, numbers[1])
+            rows = [(*key, pos, field, c, *(n if n[0] <= n[1] else (None, None))) for key, (fields, counts, numbers) in seen.items() for pos, (field, c, n) in enumerate(zip(fields, counts, numbers))]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _PROFILE.split(", ")])
 
     parts = lines.select("file_id", "feed", F.col("file_no").cast("int").alias("file_no"), "line", "separator", "fields").mapInPandas(count, _PROFILE)
-    key = ["file_id", "feed", "file_no", "pos", "field"]
-    small = parts.groupBy(*key, "kind", "mask", "word", "decimals").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("total").alias("total"))
-    return small.groupBy(*key).agg(
-        F.collect_list(F.when(F.col("kind").isNotNull(), F.struct("kind", "mask", "word", "decimals", "n"))).alias("content"), F.min("low").alias("low"), F.max("high").alias("high"), (F.sum("total") / F.sum(F.when(F.col("kind") == "number", F.col("n")))).alias("mean")
-    )
+    sums = [F.sum(F.col("counts")[i]).alias(f"c{i}") for i in range(_SLOTS)]
+    whole = parts.groupBy("file_id", "feed", "file_no", "pos", "field").agg(*sums, F.min("low").alias("low"), F.max("high").alias("high"))
+    return whole.select("file_id", "feed", "file_no", "pos", "field", F.array(*(f"c{i}" for i in range(_SLOTS))).alias("counts"), "low", "high")
 
 
 def _bucket(text: str) -> int:
@@ -167,48 +229,51 @@ def _bucket(text: str) -> int:
     return (h ^ h >> 15) % BUCKETS
 
 
-def _cosine(a: dict, b: dict) -> float:
-    dot = sum(v * b.get(k, 0) for k, v in a.items())
-    return dot / math.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values())) if a and b else 0.0
+def _cosine(a: np.ndarray, b: np.ndarray) -> float:
+    both = float(a @ a) * float(b @ b)
+    return float(a @ b) / math.sqrt(both) if both else 0.0
 
 
-class Version:
+class Field:
     """One field of one file: its majority type and its content profile."""
 
-    def __init__(self, field: str, content: list, low: float, high: float, mean: float) -> None:
-        self.field, self.low, self.high, self.mean = field, low, high, mean
-        self.counts: dict[str, dict] = {"kind": {}, "mask": {}, "word": {}, "decimals": {}}
-        for c in content:
-            for k, d in self.counts.items():
-                d[c[k]] = d.get(c[k], 0) + int(c["n"])
-        kinds = self.counts["kind"]
-        self.kind = max(sorted(kinds), key=lambda k: kinds[k]) if kinds else None
+    def __init__(self, name: str, counts: np.ndarray, low: float | None, high: float | None) -> None:
+        self.name, self.low, self.high = name, low, high
+        kinds, *rest = np.split(np.asarray(counts, np.float64), _AT[1:])
+        self.form, self.words, self.decimals, self.magnitude, self.sort = rest
+        self.kind = _KINDS[int(kinds.argmax())] if kinds.any() else None
+        #: How many of the cells differ, as far as the buckets tell.
+        self.variety = np.count_nonzero(self.words) / min(kinds.sum(), BUCKETS) if self.kind else 0.0
 
-    def alike(self, other: Version) -> float:
+    def alike(self, other: Field) -> float:
         """Likeness of content from 0 to 1; 0 across types."""
         if self.kind is None or self.kind != other.kind:
             return 0.0
-        form, words = _cosine(self.counts["mask"], other.counts["mask"]), _cosine(self.counts["word"], other.counts["word"])
+        words, sort = _cosine(self.words, other.words), _cosine(self.sort, other.sort)
+        variety = min(self.variety, other.variety) / max(self.variety, other.variety)
         if self.kind != "number":
-            return 0.5 * form + 0.5 * words if self.kind == "text" else form
-        decimals = _cosine(self.counts["decimals"], other.counts["decimals"])
-        both = [x for x in (self.low, self.high, other.low, other.high) if x is not None and not math.isnan(x)]
-        if len(both) < 4:
-            return 0.0
-        span = max(both) - min(both)
-        overlap = max(0.0, min(self.high, other.high) - max(self.low, other.low)) / span if span else 1.0
-        ratio = min(abs(self.mean), abs(other.mean)) / max(abs(self.mean), abs(other.mean), 1e-12) if self.mean * other.mean >= 0 else 0.0
-        return 0.35 * decimals + 0.15 * words + 0.25 * overlap + 0.25 * max(ratio, 0.0)
+            same_form = _cosine(self.form, other.form)
+            return 0.3 * same_form + 0.35 * sort + 0.2 * words + 0.15 * variety if self.kind == "text" else 0.5 * same_form + 0.5 * variety
+        ends = [x for x in (self.low, self.high, other.low, other.high) if x is not None and not math.isnan(x)]
+        overlap = 0.0
+        if len(ends) == 4:
+            span = max(ends) - min(ends)
+            overlap = max(0.0, min(self.high, other.high) - max(self.low, other.low)) / span if span else 1.0
+        return 0.25 * _cosine(self.decimals, other.decimals) + 0.25 * _cosine(self.magnitude, other.magnitude) + 0.2 * sort + 0.15 * variety + 0.15 * max(overlap, words)
+
+
+def fingerprint(fields: dict[str, Field]) -> str:
+    """A short hash of a schema: its fields, in any order, with their majority types."""
+    return hashlib.sha256("\n".join(f"{name}\t{fields[name].kind or ''}" for name in sorted(fields)).encode("utf-8", "replace")).hexdigest()[:16]
 
 
-def steps(old: dict[str, Version], new: dict[str, Version]) -> list[tuple[str, str, str]]:
-    """(field, kind, former field) from one version of a file's schema to the next."""
+def steps(old: dict[str, Field], new: dict[str, Field]) -> list[tuple[str, str, str]]:
+    """(field, kind, former field) from one file's schema to the next; the likest contents are one column first."""
     gone, came = sorted(set(old) - set(new)), sorted(set(new) - set(old))
-    scored = sorted(((CANONICAL.get(a, a) == CANONICAL.get(b, b), old[a].alike(new[b]), a, b) for a in gone for b in came), key=lambda x: (-x[0], -x[1], x[2:]))
+    scored = sorted(((-old[a].alike(new[b]), a, b) for a in gone for b in came))
     out, moved = [], {}
-    for named, score, a, b in scored:
-        other = a in CANONICAL and b in CANONICAL and not named
-        if a not in moved and b not in moved.values() and not other and score >= (ALIKE_NAMED if named else ALIKE):
+    for score, a, b in scored:
+        if a not in moved and b not in moved.values() and -score >= ALIKE:
             moved[a] = b
             out.append((b, "renamed", a))
     out += [(a, "removed", a) for a in gone if a not in moved]
@@ -217,20 +282,28 @@ def steps(old: dict[str, Version], new: dict[str, Version]) -> list[tuple[str, s
     return out
 
 
-_CHAIN = "file_id long, field string, kind string, former string, canonical string"
+_CHAIN = "feed string, file_no int, file_id long, version int, fingerprint string, field string, kind string, former string, canonical string"
 
 
 def chain(profile: DataFrame) -> DataFrame:
-    """The steps of every file (kind and former field), and where each of its fields goes (kind null, canonical)."""
+    """Per file its version and fingerprint, with the steps that lead to it (kind and former field), and where each of
+    its fields goes (kind null, canonical)."""
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        rows, before, route = [], None, {}
-        for no, f in sorted(frame.groupby("file_no"), key=lambda x: x[0]):
-            f = f[f["file_id"] == f["file_id"].min()].sort_values("pos")
-            file_id = int(f["file_id"].iloc[0])
-            now = {r.field: Version(r.field, list(r.content), r.low, r.high, r.mean) for r in f.itertuples() if r.field}
+        files: dict[int, dict[int, list[tuple]]] = {}
+        for no, file_id, *rest in zip(frame["file_no"], frame["file_id"], frame["pos"], frame["field"], frame["counts"], frame["low"], frame["high"]):
+            files.setdefault(int(no), {}).setdefault(int(file_id), []).append(tuple(rest))
+        rows, before, route, version, feed = [], None, {}, 0, frame["feed"].iloc[0]
+        for no in sorted(files):
+            file_id = min(files[no])
+            now = {}
+            for _, field, *content in sorted(files[no][file_id], key=lambda r: r[0]):
+                if field:
+                    now[field] = Field(field, *content)
             direct = before is not None and no == before[0] + 1
             changes = steps(before[1], now) if before else []
+            version += before is None or bool(changes)
+            own = (feed, no, file_id, version, fingerprint(now))
             former = {b: a for b, kind, a in changes if kind == "renamed"}
             taken: set[str] = set()
             fresh = {}
@@ -239,8 +312,8 @@ def chain(profile: DataFrame) -> DataFrame:
                 if target not in taken:
                     taken.add(target)
                     fresh[field] = target
-                    rows.append((file_id, field, None, former.get(field), target))
-            rows += [(file_id, *c, None) for c in changes if direct]
+                    rows.append((*own, field, None, former.get(field), target))
+            rows += [(*own, *c, None) for c in changes if direct]
             before, route = (no, now), fresh
         return pd.DataFrame(rows, columns=[c.split()[0] for c in _CHAIN.split(", ")])
 
@@ -252,6 +325,14 @@ def changes(raw_lines: DataFrame) -> DataFrame:
     return chain(profiles(lines_with_header(raw_lines))).where("kind is not null").select("file_id", "field", "kind").distinct()
 
 
+def versions(raw_lines: DataFrame) -> DataFrame:
+    """(feed, file_no, file_id, version, fingerprint, n_fields, steps) of every file; steps are its migration from the
+    preceding file, as text."""
+    step = F.when(F.col("kind").isNotNull(), F.concat("kind", F.lit(" "), F.when(F.col("kind") == "renamed", F.concat("former", F.lit(" to "))).otherwise(""), "field"))
+    c = chain(profiles(lines_with_header(raw_lines)))
+    return c.groupBy("feed", "file_no", "file_id", "version", "fingerprint").agg(F.count_if(F.col("kind").isNull()).alias("n_fields"), F.array_join(F.array_sort(F.collect_list(step)), "; ").alias("steps"))
+
+
 _MONTHS = {m: i + 1 for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split())}
 _DMS = re.compile(r"(\d+(?:\.\d+)?)\s*(?:deg|°|d)\w*\s*(\d+(?:\.\d+)?)?\s*(?:min|'|m)?\w*\s*(\d+(?:\.\d+)?)?\s*(?:sec|\"|s)?\w*\s*([NSEW])?\s*$", re.I)
 
@@ -308,5 +389,5 @@ def unified(raw_lines: DataFrame) -> DataFrame:
                 frame[n] = frame[n].astype("Int64" if kind == "int" else "Float64")
             yield frame
 
-    joined = lines.join(routes, "file_id").select("file_id", "feed", F.col("file_no").cast("int").alias("file_no"), F.col("line_no").cast("int").alias("line_no"), "line", "separator", "fields", "route")
+    joined = beside(lines, cut(routes)).select("file_id", "feed", F.col("file_no").cast("int").alias("file_no"), F.col("line_no").cast("int").alias("line_no"), "line", "separator", "fields", "route")
     return joined.mapInPandas(route, schema)
