@@ -1,8 +1,10 @@
 """Entity-attribute-value rows into one typed row per entity (problem 6).
 
 RDD combineByKey: the combiner of an entity is a dict of slot registers; merging two registers is associative and
-of constant size (winner, smallest and largest number, smallest and largest text, day), so duplicates are resolved
-on the map side and an entity that holds a third of all rows moves as one combiner per map task.
+of constant size (winner, smallest and largest number, smallest and largest text, day). Cells are read and merged
+within their Arrow batch already, so that a row per entity and batch goes to the RDD; duplicates are then resolved on
+the map side, and an entity that holds a third of all rows moves as one combiner per map task. The merged batches are
+written once to the shared folder, so that a lost executor doesn't cause all cells to be read again.
 
 Defined cases: the smallest row_id wins a cell; missing values fill no cell, but their entity still gets a row;
 rows without entity or of unlisted parameters fill nothing (the latter are in unlisted()); a number against a text
@@ -12,15 +14,17 @@ disagrees, '<x' counts as x; an empty table gives an empty result with the full
 from __future__ import annotations
 
 import datetime
+import pickle
+from collections.abc import Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark import RDD
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hydroframe.functions.measure import Parameters, load_parameters, readings
-from hydroframe.plans.io import only
+from hydroframe.functions.measure import Parameters, load_parameters, read_cell
+from hydroframe.plans.io import cut, only
 
 #: Two numbers of a cell agree if they differ by no more than this share of the larger.
 TOLERANCE = 0.01
@@ -66,23 +70,35 @@ def slots(parameters: Parameters) -> list[tuple[str, str]]:
 def combined(measurements: DataFrame, parameters: Parameters) -> RDD:
     """(sample_id, {slot: register})."""
     known = {s for s, _ in slots(parameters)}
-    plain = only(measurements, "row_id", "sample_id", "parameter", "unit", "value", "remarks").where("sample_id is not null")
-    r = readings(plain, parameters, ("row_id", "sample_id"))
-    slot = F.when(F.col("variant") == "", F.col("parameter")).otherwise(F.concat("parameter", F.lit(" ("), "variant", F.lit(")")))
-    cells = r.select("sample_id", "row_id", F.when(~F.col("missing"), slot).alias("slot"), "common_value", F.col("day").cast("string").alias("day"), "text")
-
-    def register(row: Any) -> dict[str, Register]:
-        name = row[2]
-        if name not in known:
-            return {}
-        other = row[4] or row[5]
-        return {name: (row[1], row[3] if row[3] is not None else other, row[3], row[3], other, other)}
-
-    rows = cells.rdd
-    rows.setName("cells of " + ", ".join(sorted(measurements.inputFiles())[:3]))
-    pairs = rows.map(lambda row: (row[0], register(row)))
+    names = ["sample_id", "row_id", "parameter", "unit", "value", "remarks"]
+    plain = only(measurements, *names).where("sample_id is not null")
+
+    def merge_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            entities: dict[int, dict[str, Register]] = {}
+            read: dict[tuple, tuple] = {}
+            for sample, row, *cell in zip(*(c.to_pylist() for c in batch.columns)):
+                cells = entities.setdefault(sample, {})
+                if (got := read.get(key := tuple(cell))) is None:
+                    got = read[key] = slot_and_values(parameters, known, *cell)
+                slot, number, other = got
+                if slot is not None:
+                    r = (row, number if number is not None else other, number, number, other, other)
+                    cells[slot] = merge_register(cells[slot], r) if slot in cells else r
+            yield pa.RecordBatch.from_arrays([pa.array(list(entities), pa.int64()), pa.array([pickle.dumps(c, pickle.HIGHEST_PROTOCOL) for c in entities.values()], pa.binary())], names=["sample_id", "cells"])
+
+    merged = cut(plain.mapInArrow(merge_batch, "sample_id long, cells binary"))
     parts = max(int(measurements.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return pairs.combineByKey(lambda c: c, merge_cells, merge_cells, parts)
+    return merged.rdd.map(lambda row: (row[0], pickle.loads(row[1]))).combineByKey(lambda c: c, merge_cells, merge_cells, parts)
+
+
+def slot_and_values(parameters: Parameters, known: set[str], parameter: str | None, unit: str | None, value: str | None, remarks: str | None) -> tuple[str | None, float | None, str | None]:
+    """(slot, number in the common unit, day or text) of a cell; no slot where it fills none."""
+    name, variant, _, missing, *_, number, day, text = read_cell(parameters, parameter, unit, value, remarks)
+    slot = f"{name} ({variant})" if variant else name
+    if missing or slot not in known:
+        return None, None, None
+    return slot, number, None if number is not None else day.isoformat() if day else text
 
 
 def wide(measurements: DataFrame, parameters: DataFrame) -> DataFrame:
