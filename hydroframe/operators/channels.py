@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from hydroframe.functions import text as X
-from hydroframe.functions.names import name_base, name_similarity
+from hydroframe.functions.names import base_similarity, name_base
 from hydroframe.operators import graph
 from hydroframe.plans.io import cut
 
@@ -65,7 +65,7 @@ def match_stations(stations: DataFrame, lines: DataFrame, limit_km: float = 2.0)
     far = cut(nearby_lines(stations, segments(lines), max(limit_km, NAME_FAR_KM)))
     j = far.join(stations.select("station", F.col("name").alias("own")), "station").join(lines.select("line_id", F.col("name").alias("line_name")), "line_id")
     j = j.withColumn("base_a", name_base("own")).withColumn("base_b", name_base("line_name"))
-    j = j.withColumn("likeness", F.when((F.col("base_a") == "") | (F.col("base_b") == ""), 0.0).when(F.col("base_a") == F.col("base_b"), 1.0).otherwise(name_similarity("own", "line_name")))
+    j = j.withColumn("likeness", F.when((F.col("base_a") == "") | (F.col("base_b") == ""), 0.0).when(F.col("base_a") == F.col("base_b"), 1.0).otherwise(base_similarity(F.col("base_a"), F.col("base_b"), NAME_LIKENESS)))
     near = F.col("metres") <= limit_km * 1000
     named = F.col("likeness") >= NAME_LIKENESS
     grade = F.when(named & near, 0).when(named, 1).when(near, 2)

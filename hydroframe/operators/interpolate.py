@@ -7,7 +7,7 @@ pair every target with every station, and their station side is small (checked b
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -22,7 +22,10 @@ MAX_STATIONS = 5_000
 REACHES_KM: tuple[float | None, ...] = (2.0, 4.0, 8.0, 16.0, 32.0, None)
 FALLBACK_KM = 8.0
 GRID = 192
+LEAST_SPAN, PAD = 0.01, 0.08
 RANGE_FACTORS, NUGGETS = (0.5, 1.0, 2.0, 4.0), (0.1, 0.3, 0.6)
+# Parts of tail-up, tail-down and straight-line correlation in the mixed models.
+MIXES = ((0.5, 0.5, 0.0), (0.5, 0.0, 0.5), (0.0, 0.5, 0.5), (1 / 3, 1 / 3, 1 / 3), (0.6, 0.2, 0.2), (0.2, 0.6, 0.2), (0.2, 0.2, 0.6))
 MIN_KRIGING = 50
 
 
@@ -70,11 +73,18 @@ def idw(pairs: DataFrame, by: Sequence[str], power: float = 2.0, share: Column |
     return g.withColumn("estimate", F.when(F.col("nearest_m") < 1, F.col("exact")).otherwise(F.col("mean"))).drop("exact", "mean")
 
 
-def leave_one_out(stations: DataFrame, limit_km: float | None, power: float = 2.0, on: Sequence[str] = ("surface",)) -> DataFrame:
-    """Each station with the estimate of the others within the limit, null where none is, and the others' mean."""
+def leave_one_out(stations: DataFrame, limit_km: float | None, power: float = 2.0, on: Sequence[str] = ("surface",), relations: DataFrame | None = None) -> DataFrame:
+    """Each station with the estimate of the others within the limit, null where none is, and the others' mean; along
+    the water where relations are given."""
+    check_positive(power, "power")
+    if limit_km is not None:
+        check_positive(limit_km, "limit_km")
     stations = stations.select(*on, "id", "lat", "lon", "value")
-    pairs = (all_pairs(stations, stations, on) if limit_km is None else near_pairs(stations, stations, limit_km, on)).where(F.col("id") != F.col("s_id"))
-    e = idw(pairs, [*on, "id"], power).select(*on, "id", "estimate", "n_stations")
+    if relations is not None:
+        pairs = linked_pairs(stations, relations, on).where(F.lit(True) if limit_km is None else F.col("d") <= limit_km * 1000)
+    else:
+        pairs = (all_pairs(stations, stations, on) if limit_km is None else near_pairs(stations, stations, limit_km, on)).where(F.col("id") != F.col("s_id"))
+    e = idw(pairs, [*on, "id"], power, None if relations is None else F.col("share")).select(*on, "id", "estimate", "n_stations")
     totals = stations.groupBy(*on).agg(F.sum("value").alias("_s"), F.count(F.lit(1)).alias("_n"))
     j = stations.join(totals, list(on)).join(e, [*on, "id"], "left")
     return j.withColumn("others_mean", F.try_divide(F.col("_s") - F.col("value"), F.col("_n") - 1)).drop("_s", "_n")
@@ -90,20 +100,31 @@ def validation(loo: DataFrame, on: Sequence[str] = ("surface",), digits: int = 4
     return g.select(*on, "n_stations", "n_checked", *(F.round(c, digits).alias(c) for c in ("rmse", "mae", "baseline_rmse")), skill.alias("skill"))
 
 
-def choose_reach(stations: DataFrame, power: float = 2.0, reaches: Sequence[float | None] = REACHES_KM, on: Sequence[str] = ("surface",)) -> DataFrame:
+def linked_pairs(stations: DataFrame, relations: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Every station of a surface with the others that flow connects it with: id, s_id, s_value, d, share."""
+    mine = stations.select(*on, "id").join(relations.where("relation <> 'UNCONNECTED' AND share > 0 AND target <> station"), F.col("id") == F.col("target"))
+    return mine.select(*on, "id", F.col("station").alias("s_id"), F.col("distance").alias("d"), "share").join(stations.select(*on, F.col("id").alias("s_id"), F.col("value").alias("s_value")), [*on, "s_id"])
+
+
+def choose_reach(stations: DataFrame, power: float = 2.0, reaches: Sequence[float | None] = REACHES_KM, on: Sequence[str] = ("surface",), relations: DataFrame | None = None) -> DataFrame:
     """(reach_km, n_surfaces, score, baseline, chosen): rmse over the population deviation, averaged over surfaces.
 
+    Distances are straight, or along the water where relations (target, station, relation, distance, share) are given.
+
     Surfaces count with three stations and some spread; a station without estimate counts with the others' mean. All
     limits are searched in one pass at the widest finite one; errors are compared after rounding, ties go to the
     shorter reach; without any surface the fallback is chosen.
     """
     st = stations.select(*on, "id", "lat", "lon", "value")
-    finite = [r for r in reaches if r is not None]
-    parts = near_pairs(st, st, max(finite), on).where(F.col("id") != F.col("s_id"))
+    check_positive(power, "power")
+    finite = [check_positive(r, "reach") for r in reaches if r is not None]
+    share = None if relations is None else F.col("share")
+    every_pair = None if relations is None else linked_pairs(st, relations, on)
+    parts = near_pairs(st, st, max(finite), on).where(F.col("id") != F.col("s_id")) if every_pair is None else every_pair
     wide = parts.withColumn("reach_km", F.explode(F.array(*map(F.lit, finite)))).where(F.col("d") <= F.col("reach_km") * 1000)
-    e = idw(wide, [*on, "id", "reach_km"], power)
+    e = idw(wide, [*on, "id", "reach_km"], power, share)
     if None in reaches:
-        far = idw(all_pairs(st, st, on).where(F.col("id") != F.col("s_id")), [*on, "id"], power).withColumn("reach_km", F.lit(-1.0))
+        far = idw(all_pairs(st, st, on).where(F.col("id") != F.col("s_id")) if every_pair is None else every_pair, [*on, "id"], power, share).withColumn("reach_km", F.lit(-1.0))
         e = e.unionByName(far)
     stats = st.groupBy(*on).agg(F.sum("value").alias("_s"), F.count(F.lit(1)).alias("_n"), F.stddev_pop("value").alias("_sd")).where("_n >= 3 and _sd > 0")
     every = st.join(stats, list(on)).withColumn("reach_km", F.explode(F.array(*(F.lit(-1.0 if r is None else float(r)) for r in reaches))))
@@ -117,12 +138,16 @@ def choose_reach(stations: DataFrame, power: float = 2.0, reaches: Sequence[floa
 
 
 def extent(stations: DataFrame, on: Sequence[str] = ("surface",), digits: int = 6) -> DataFrame:
-    """Padded box per surface: 8 % more on each side, at least 0.01 degrees, clamped to Earth."""
+    """Padded box per surface: widened to 0.01 degrees where it is less, then 8 % more on each side, clamped to Earth."""
     g = stations.groupBy(*on).agg(*(f(c).alias(f"{n}_{c}") for c in ("lat", "lon") for f, n in ((F.min, "min"), (F.max, "max"))))
     out = list(on)
     for c, edge in (("lat", 90.0), ("lon", 180.0)):
-        pad = F.greatest((F.col(f"max_{c}") - F.col(f"min_{c}")) * 0.08, F.lit(0.01))
-        out += [F.round(F.greatest(F.col(f"min_{c}") - pad, F.lit(-edge)), digits).alias(f"min_{c}"), F.round(F.least(F.col(f"max_{c}") + pad, F.lit(edge)), digits).alias(f"max_{c}")]
+        low, high = F.col(f"min_{c}"), F.col(f"max_{c}")
+        span = F.greatest(high - low, F.lit(LEAST_SPAN))
+        half = span * (0.5 + PAD)
+        narrow = high - low < LEAST_SPAN
+        low, high = F.when(narrow, (low + high) / 2 - half).otherwise(low - span * PAD), F.when(narrow, (low + high) / 2 + half).otherwise(high + span * PAD)
+        out += [F.round(F.greatest(low, F.lit(-edge)), digits).alias(f"min_{c}"), F.round(F.least(high, F.lit(edge)), digits).alias(f"max_{c}")]
     return g.select(*out)
 
 
@@ -211,7 +236,7 @@ def fit_river_kriging(d: np.ndarray, share: np.ndarray, linked: np.ndarray, stra
     if not variance > 0 or not len(known):
         return None
     support = ((share > 0) if model == "tail_up" else linked) & off & (d <= limit_m)
-    mixes = [(a, b, 1 - a - b) for a, b in ((0.6, 0.2), (0.2, 0.6), (0.2, 0.2), (0.4, 0.4), (0.4, 0.2), (0.2, 0.4), (1 / 3, 1 / 3))] if model == "mixed" else [(0.0, 0.0, 0.0)]
+    mixes = MIXES if model == "mixed" else [(0.0, 0.0, 0.0)]
     best: dict[str, object] | None = None
     for factor in RANGE_FACTORS:
         reach = float(np.median(known)) * factor
@@ -236,6 +261,68 @@ def fit_river_kriging(d: np.ndarray, share: np.ndarray, linked: np.ndarray, stra
     return best
 
 
+def krige_targets(stations: DataFrame, relations: DataFrame, targets: DataFrame, model: str, limit_km: float = 1e6, on: str = "surface") -> DataFrame:
+    """(surface, target, estimate, confidence) by the fitted river model of every surface: confidence is one less the
+    share of the standard deviation that is left, and a target without support within the limit has neither.
+
+    stations: surface, id, lat, lon, value; relations: target, station, distance, share among stations and from targets
+    to stations; targets: target, lat, lon. A surface is one dense solve of at most MAX_STATIONS stations; its targets
+    come in parts, so any number of them is worked through.
+    """
+    most = stations.groupBy(on).count().agg(F.max("count")).first()[0] or 0
+    if most > MAX_STATIONS:
+        raise ValueError(f"a dense solve has at most {MAX_STATIONS} stations")
+    kinds, kind_t = dict(stations.dtypes), dict(targets.dtypes)["target"]
+    inner = stations.select(on, F.col("id").alias("target")).join(relations, "target").join(stations.select(on, F.col("id").alias("station")), [on, "station"])
+    own = stations.join(inner.groupBy(on, F.col("target").alias("id")).agg(F.collect_list(F.struct("station", "distance", "share")).alias("pairs")), [on, "id"], "left")
+    solved = own.groupBy(on).agg(F.sort_array(F.collect_list(F.struct("id", "lat", "lon", "value", "pairs"))).alias("all"))
+    outer = targets.join(relations.select(F.col("target"), "station", "distance", "share"), "target").join(stations.select(on, F.col("id").alias("station")), "station")
+    asked = outer.groupBy(on, "target", "lat", "lon").agg(F.collect_list(F.struct("station", "distance", "share")).alias("pairs"))
+
+    def matrices(rows: list, pairs: list, at: dict) -> tuple[np.ndarray, np.ndarray]:
+        d, share = np.full((len(rows), len(at)), np.inf), np.zeros((len(rows), len(at)))
+        for i, ps in enumerate(pairs):
+            for p in ps if ps is not None else []:
+                if p["station"] in at:
+                    d[i, at[p["station"]]], share[i, at[p["station"]]] = p["distance"], p["share"]
+        return d, share
+
+    def straight(lat: np.ndarray, lon: np.ndarray, lat2: np.ndarray, lon2: np.ndarray) -> np.ndarray:
+        la, lo, la2, lo2 = map(np.radians, (lat, lon, lat2, lon2))
+        a = np.sin((la[:, None] - la2) / 2) ** 2 + np.cos(la)[:, None] * np.cos(la2) * np.sin((lo[:, None] - lo2) / 2) ** 2
+        return 2 * X.EARTH_M * np.arcsin(np.sqrt(np.clip(a, 0, 1)))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fits: dict = {}
+        for f in frames:
+            for name, part in f.groupby(on):
+                if name not in fits:
+                    all_ = part["all"].iloc[0]
+                    at = {r["id"]: i for i, r in enumerate(all_)}
+                    v, lat, lon = (np.array([r[c] for r in all_], float) for c in ("value", "lat", "lon"))
+                    d, share = matrices(all_, [r["pairs"] for r in all_], at)
+                    np.fill_diagonal(d, 0)
+                    np.fill_diagonal(share, 1)
+                    away = straight(lat, lon, lat, lon)
+                    fits[name] = at, v, lat, lon, d, share, away, fit_river_kriging(np.where(np.isfinite(d), d, 0.0), share, np.isfinite(d), away, v, model, limit_km * 1000)
+                at, v, lat, lon, d, share, away, fit = fits[name]
+                if fit is None:
+                    continue
+                variance = float(v.var(ddof=1))
+                sill, nugget = variance * (1 - fit["nugget"]), variance * fit["nugget"]
+                cov = covariance(model, share, np.isfinite(d), d, away, fit["range_km"] * 1000, fit["mix"])
+                cov = (cov + cov.T) / 2 * sill
+                np.fill_diagonal(cov, variance)
+                td, tshare = matrices(list(part["target"]), list(part["pairs"]), at)
+                to = covariance(model, tshare, np.isfinite(td), td, straight(part["lat"].to_numpy(float), part["lon"].to_numpy(float), lat, lon), fit["range_km"] * 1000, fit["mix"]) * sill
+                estimate, left = krige(cov, v, to, sill, nugget)
+                ok = ((tshare > 0 if model == "tail_up" else np.isfinite(td)) & (td <= limit_km * 1000)).any(1)
+                out = pd.DataFrame({on: part[on].to_numpy(), "target": part["target"].to_numpy(), "estimate": estimate, "confidence": np.clip(1 - np.sqrt(left / variance), 0, 1)})
+                yield out[ok]
+
+    return asked.join(solved, on).mapInPandas(run, f"{on} {kinds[on]}, target {kind_t}, estimate double, confidence double")
+
+
 def choose_method(relations: DataFrame, stations: DataFrame, limit_km: float = 1e6, power: float = 2.0, least: int = MIN_KRIGING, on: str = "surface") -> DataFrame:
     """Per surface the method with the least error on the stations that all can estimate; ties go to river_idw.
 
@@ -286,24 +373,25 @@ def choose_method(relations: DataFrame, stations: DataFrame, limit_km: float = 1
     return rows.groupBy(on).applyInPandas(run, f"{on} {kinds[on]}, method string, n_stations int, n_common int, rmse double, note string, chosen boolean")
 
 
-def paint(points: DataFrame, box: DataFrame, size: int = GRID, on: Sequence[str] = ("surface",)) -> DataFrame:
-    """(surface, row, col, estimate, gap_m): estimated points along channels as ribbons on the grid of each surface.
+def paint(points: DataFrame, box: DataFrame, size: int = GRID, on: Sequence[str] = ("surface",), columns: Sequence[str] = ("estimate",)) -> DataFrame:
+    """(surface, row, col, columns, gap_m): estimated points along channels as ribbons on the grid of each surface.
 
     A ribbon is at least 200 m or three quarters of a cell wide to either side; the nearest point gives a cell its
-    value, a station's own point first. points: surface, lat, lon, estimate, station (bool); box as from extent().
+    values, a station's own point first. points: surface, lat, lon, columns, station (bool); box as from extent().
     """
     p = points.join(box, list(on))
     dy, dx = (F.col("max_lat") - F.col("min_lat")) / (size - 1), (F.col("max_lon") - F.col("min_lon")) / (size - 1)
-    k = F.cos(F.radians("lat"))
+    k = F.cos(F.radians((F.col("max_lat") + F.col("min_lat")) / 2))
     p = p.withColumn("cy", dy * X.DEGREE_M).withColumn("cx", dx * X.DEGREE_M * k).withColumn("half", F.greatest(F.lit(200.0), 0.75 * F.greatest("cy", "cx")))
-    p = p.withColumn("r0", F.rint((F.col("max_lat") - F.col("lat")) / dy).cast("int")).withColumn("c0", F.rint((F.col("lon") - F.col("min_lon")) / dx).cast("int"))
+    p = p.withColumn("fr", (F.col("max_lat") - F.col("lat")) / dy).withColumn("fc", (F.col("lon") - F.col("min_lon")) / dx)
+    p = p.withColumn("r0", F.rint("fr").cast("int")).withColumn("c0", F.rint("fc").cast("int"))
     spread = lambda centre, cell: F.explode(F.sequence(F.col(centre) - F.ceil(F.col("half") / F.col(cell)).cast("int"), F.col(centre) + F.ceil(F.col("half") / F.col(cell)).cast("int")))
     p = p.withColumn("row", spread("r0", "cy")).withColumn("col", spread("c0", "cx")).where(F.col("row").between(0, size - 1) & F.col("col").between(0, size - 1))
-    gap = X.flat_m(F.col("lat"), F.col("lon"), F.col("max_lat") - F.col("row") * dy, F.col("min_lon") + F.col("col") * dx)
+    gap = F.hypot((F.col("row") - F.col("fr")) * F.col("cy"), (F.col("col") - F.col("fc")) * F.col("cx"))
     own = F.col("station") & (F.col("row") == F.col("r0")) & (F.col("col") == F.col("c0"))
-    p = p.withColumn("gap", gap).where((F.col("gap") <= F.col("half")) | own).withColumn("first", F.when(own, 0).otherwise(1))
-    g = p.groupBy(*on, "row", "col").agg(F.min_by(F.struct("estimate", "gap"), F.struct("first", "gap", "estimate")).alias("b"))
-    return g.select(*on, "row", "col", F.round("b.estimate", 4).alias("estimate"), F.round("b.gap", 1).alias("gap_m"))
+    p = p.withColumn("gap", gap).where((~F.col("station") & (F.col("gap") <= F.col("half"))) | own).withColumn("first", F.when(own, 0).otherwise(1))
+    g = p.groupBy(*on, "row", "col").agg(F.min_by(F.struct(*columns, "gap"), F.struct("first", F.round("gap", 6).alias("gap"), *columns)).alias("b"))
+    return g.select(*on, "row", "col", *(F.round(F.col("b")[c], 4).alias(c) for c in columns), F.round("b.gap", 1).alias("gap_m"))
 
 
 def surfaces(values: DataFrame, limit_km: float, power: float = 2.0, decay_km: float | None = None) -> DataFrame:

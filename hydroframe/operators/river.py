@@ -17,18 +17,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from hydroframe.functions import text as X
-from hydroframe.operators import channels, graph, interpolate
+from hydroframe.functions import names
+from hydroframe.operators import channels, graph, interpolate, network
 from hydroframe.plans.io import cut
+from hydroframe.sources.tables import with_row_id
 
 JOIN_M = 30.0
 T_JOIN_M = 100.0
+LABEL_JUNCTION_M = 500.0
 #: Edges of a connected part that is oriented by one call.
 MAX_EDGES = 500_000
 MAX_OUTLETS = 40
 LOW_SPREAD_M, LOW_BAND_M = 5.0, 3.0
 # Kinds and names of lines that keep their drawn direction.
 CANAL_KINDS = ["canal", "ditch", "drain", "irrigation", "aqueduct"]
-CANAL_NAME = r"(?i)\b(canal|minor|distributary|branch|feeder|link)\b"
+CANAL_NAME = r"(?i)\b(?:CANAL|NAHAR|NEHAR|BRANCH|DISTRIBUTARY|DISTY|FEEDER|MINOR)\b"
+# Shares of the water that lines take where it divides, by words of their names; other canals, rivers.
+RANKS = [(r"(?i)\bMINOR\b", 1.0), (r"(?i)\b(?:DISTRIBUTARY|DISTY)\b", 2.0), (r"(?i)\bBRANCH\b", 4.0)]
+CANAL_RANK, RIVER_RANK = 8.0, 16.0
 RELATIONS = ("DOWN", "UP", "UNCONNECTED")
 
 
@@ -39,9 +45,11 @@ def is_canal(kind: Column, name: Column) -> Column:
 
 def split_rank(kind: Column, name: Column) -> Column:
     """The weight of a line where water divides and no discharges are known: rivers before main, branch and minor canals."""
-    text = F.lower(F.concat_ws(" ", kind, name))
-    rank = F.when(~is_canal(kind, name), 16.0).when(text.contains("main"), 8.0).when(text.contains("branch"), 4.0).when(text.contains("distributary"), 2.0).when(text.contains("minor"), 1.0)
-    return rank.otherwise(8.0)
+    text = F.coalesce(name, F.lit(""))
+    rank = F.when(~is_canal(kind, text), RIVER_RANK)
+    for words, weight in RANKS:
+        rank = rank.when(text.rlike(words), weight)
+    return rank.otherwise(CANAL_RANK)
 
 
 def cut_lines(lines: DataFrame) -> DataFrame:
@@ -68,7 +76,7 @@ def cut_lines(lines: DataFrame) -> DataFrame:
 def raw_edges(lines: DataFrame) -> DataFrame:
     """(edge, line_id, up, down, length, from_m, to_m, canal, area, discharge): edges in drawn direction between merged
     nodes, a T-junction's end joining the cut it made."""
-    parts = cut(cut_lines(lines).withColumn("edge", F.col("line_id") * 1000 + F.col("part")))
+    parts = cut(with_row_id(cut_lines(lines).orderBy("line_id", "part"), "edge"))
     ends = parts.select(F.explode(F.array(F.struct((F.col("edge") * 2).alias("node"), F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct((F.col("edge") * 2 + 1).alias("node"), F.col("x2").alias("x"), F.col("y2").alias("y")))).alias("e")).select("e.*")
     step = T_JOIN_M / X.DEGREE_M
     a = ends.withColumn("r", F.floor(F.col("y") / step)).withColumn("c", F.floor(F.col("x") / (3 * step)))
@@ -196,34 +204,48 @@ def build(lines: DataFrame, stations: DataFrame, limit_km: float = 2.0, junction
         share = F.coalesce(F.try_divide(weight, F.sum(weight).over(into)), 1 / F.count(F.lit(1)).over(into))
     flow = flow.withColumn("share", share)
     position = on.join(flow.select("edge", "from_m", "to_m", "turned", "length"), "edge").select("station", "edge", F.least(F.greatest(F.when(F.col("turned"), F.col("along") - F.col("from_m")).otherwise(F.col("to_m") - F.col("along")), F.lit(0.0)), F.col("length")).alias("t"))
-    return cut(flow.select("edge", "up", "down", "length", "share", "canal")), cut(position)
+    placed = flow.join(o.select("edge", "line_id"), "edge")
+    return cut(placed.select("edge", "up", "down", "length", "share", "canal", "line_id", "from_m", "to_m", "turned")), cut(position)
 
 
-def _reach(edges: DataFrame, starts: DataFrame, limit_m: float, towards: str) -> DataFrame:
-    """(station, node, distance, share) of the nodes within the limit: least distance, sum of the shares over paths.
+def locate(points: DataFrame, edges: DataFrame, lines: DataFrame) -> DataFrame:
+    """points (edge, t, ...) with lat and lon; edges as from build(). An interval join keyed by line."""
+    along = F.when(F.col("turned"), F.col("from_m") + F.col("t")).otherwise(F.col("to_m") - F.col("t"))
+    p = points.join(edges.select("edge", "line_id", "from_m", "to_m", "turned"), "edge").withColumn("along", along)
+    s = channels.segments(lines)
+    j = p.join(s, "line_id").where((F.col("along") >= F.col("before") - 1e-6) & (F.col("along") <= F.col("before") + s["length"] + 1e-6))
+    k = F.when(s["length"] > 0, (F.col("along") - F.col("before")) / s["length"]).otherwise(0.0)
+    at = F.min_by(F.struct((F.col("y1") + k * (F.col("y2") - F.col("y1"))).alias("lat"), (F.col("x1") + k * (F.col("x2") - F.col("x1"))).alias("lon")), "seg")
+    return j.groupBy(*points.columns).agg(at.alias("_p")).select(*points.columns, F.col("_p.lat").alias("lat"), F.col("_p.lon").alias("lon"))
 
-    starts: station, node, distance, share. Distances first; shares then flow over the reached nodes only, in either
-    direction multiplied by the share of every edge they pass.
+
+def below_named_junctions(positions: DataFrame, edges: DataFrame, lines: DataFrame, labels: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """positions with every station whose label says that it lies downstream of a water moved just below the junction
+    of that water, if it lies within 500 m above it; moved says which.
+
+    labels: station, label; edges as from build(). Stations with such labels walk down junction by junction.
     """
-    here, there = ("up", "down") if towards == "down" else ("down", "up")
-    way = edges.select(F.col(here).alias("node"), F.col(there).alias("next"), "length", F.col("share").alias("factor"))
-    best = cut(starts.select("station", "node", "distance").where(F.col("distance") <= limit_m))
-    front = best
-    for _ in range(10 * graph.ROUNDS):
-        offer = front.join(way, "node").where(F.col("distance") + F.col("length") <= limit_m).groupBy("station", F.col("next").alias("node")).agg(F.min(F.col("distance") + F.col("length")).alias("offered"))
-        front = cut(offer.join(best, ["station", "node"], "left").where("distance IS NULL OR offered < distance - 1e-9").select("station", "node", F.col("offered").alias("distance")))
-        if front.isEmpty():
-            break
-        best = cut(best.unionByName(front).groupBy("station", "node").agg(F.min("distance").alias("distance")))
-    flow = cut(starts.select("station", "node", "share").join(best.select("station", "node"), ["station", "node"], "left_semi"))
-    total = flow
-    for _ in range(10 * graph.ROUNDS):
-        flow = flow.join(way, "node").groupBy("station", F.col("next").alias("node")).agg(F.sum(F.col("share") * F.col("factor")).alias("share"))
-        flow = cut(flow.join(best.select("station", "node"), ["station", "node"], "left_semi"))
-        if flow.isEmpty():
-            break
-        total = cut(total.unionByName(flow).groupBy("station", "node").agg(F.sum("share").alias("share")))
-    return best.join(total, ["station", "node"])
+    said = labels.select("station", F.trim(F.regexp_extract("label", network.DOWNSTREAM_OF, 1)).alias("said")).where("said <> ''")
+    said = said.withColumn("said", F.coalesce(F.nullif(names.parse_water_body("said"), F.lit("")), F.col("said")))
+    said = (said if aliases is None else names.canonical_names(said, "said", aliases)).withColumn("a", names.name_base("said"))
+    named = edges.join(lines.select("line_id", F.col("name").alias("line_name")), "line_id").withColumn("b", names.name_base("line_name"))
+    named = cut(named.select("edge", "up", "down", "length", "canal", "line_name", "b"))
+    like = cut(names.near_bases(said.select(F.col("a").alias("base")), named.select(F.col("b").alias("base")), network.REFERENCE_LIKENESS))
+    at = positions.join(named.select("edge", "down"), "edge").join(said.select("station", "a"), "station")
+    front = cut(at.select("station", "a", F.col("down").alias("node"), F.col("edge").alias("came"), F.col("t").alias("distance")).where(F.col("distance") <= LABEL_JUNCTION_M))
+    first = named.groupBy(F.col("up").alias("node")).agg(F.min_by(F.struct("edge", "length", "down"), F.struct("canal", "edge")).alias("below"))
+    moved: DataFrame | None = None
+    while not front.isEmpty():
+        here = front.join(first, "node")
+        joining = front.join(named.select(F.col("down").alias("node"), F.col("edge").alias("e"), "b", "line_name"), "node").where("e <> came").join(like.select("a", "b"), ["a", "b"]).groupBy("station").agg(F.min_by("line_name", "e").alias("moved"))
+        found = cut(here.join(joining, "station").select("station", F.col("below.edge").alias("edge"), F.greatest(F.col("below.length") - 1, F.lit(0.0)).alias("t"), "moved"))
+        moved = found if moved is None else moved.unionByName(found)
+        on = here.join(found.select("station"), "station", "left_anti").select("station", "a", F.col("below.down").alias("node"), F.col("below.edge").alias("came"), (F.col("distance") + F.col("below.length")).alias("distance"))
+        front = cut(on.where(F.col("distance") <= LABEL_JUNCTION_M))
+    if moved is None:
+        return positions.withColumn("moved", F.lit(None).cast("string"))
+    rest = positions.join(moved.select("station"), "station", "left_anti").withColumn("moved", F.lit(None).cast("string"))
+    return rest.unionByName(moved.select(*positions.columns, "moved"))
 
 
 def flow_segments(edges: DataFrame, positions: DataFrame, limit_km: float, tree: bool = False) -> DataFrame:
@@ -234,8 +256,8 @@ def flow_segments(edges: DataFrame, positions: DataFrame, limit_km: float, tree:
     row = lambda df, lo, hi, base, slope, share, relation: df.select("station", "edge", lo.alias("lo"), hi.alias("hi"), base.alias("base"), F.lit(float(slope)).alias("slope"), share.alias("share"), F.lit(relation).alias("relation"))
     z, one = F.lit(0.0), F.lit(1.0)
     own = row(p, z, F.col("t"), F.col("t"), -1, one, "DOWN").unionByName(row(p, F.col("t"), F.col("length"), -F.col("t"), 1, one, "UP"))
-    d = cut(_reach(edges, p.select("station", F.col("down").alias("node"), F.col("t").alias("distance"), "share"), limit, "down"))
-    u = cut(_reach(edges, p.select("station", F.col("up").alias("node"), (F.col("length") - F.col("t")).alias("distance"), F.lit(1.0).alias("share")), limit, "up"))
+    d = cut(graph.reach(edges, p.select("station", F.col("down").alias("node"), F.col("t").alias("distance"), "share"), limit, "down"))
+    u = cut(graph.reach(edges, p.select("station", F.col("up").alias("node"), (F.col("length") - F.col("t")).alias("distance"), F.lit(1.0).alias("share")), limit, "up"))
     e = edges.select("edge", "up", "down", "length", F.col("share").alias("own"))
     below = d.join(e, d["node"] == e["up"])
     down = row(below, z, F.col("length"), F.col("distance") + F.col("length"), -1, F.col("share"), "DOWN")
@@ -248,7 +270,7 @@ def flow_segments(edges: DataFrame, positions: DataFrame, limit_km: float, tree:
         side = d.join(e, d["node"] == e["down"]).select("station", "node", "edge", "up", "length", "distance")
         side = cut(side.join(passed, (side["station"] == passed["station"]) & (side["node"] == passed["node"]) & (side["edge"] == passed["via"]), "left_anti"))
         first = row(side, z, F.col("length"), F.col("distance"), 1, z, "UNCONNECTED")
-        more = _reach(edges, side.select("station", F.col("up").alias("node"), (F.col("distance") + F.col("length")).alias("distance"), z.alias("share")), limit, "up")
+        more = graph.reach(edges, side.select("station", F.col("up").alias("node"), (F.col("distance") + F.col("length")).alias("distance"), z.alias("share")), limit, "up")
         rest = row(more.join(e, more["node"] == e["down"]), z, F.col("length"), F.col("distance"), 1, z, "UNCONNECTED")
         out = out.unionByName(first).unionByName(rest)
     return out

@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hydroframe.functions import names
 from hydroframe.operators import standardize
 from hydroframe.sources import tables
 
 
+#: Functions under SQL names; water-body names and likeness are column functions of functions.names.
+FUNCTIONS = (
+    "haversine_m(lat1 DOUBLE, lon1 DOUBLE, lat2 DOUBLE, lon2 DOUBLE) RETURNS DOUBLE RETURN 2 * 6371000.0D * asin(sqrt(least(1.0D, greatest(0.0D, pow(sin((radians(lat2) - radians(lat1)) / 2), 2) + cos(radians(lat1)) * cos(radians(lat2)) * pow(sin((radians(lon2) - radians(lon1)) / 2), 2)))))",
+    "clean_text(t STRING) RETURNS STRING RETURN trim(regexp_replace(translate(coalesce(t, ''), '\u2013\ufeff\u00c2', '-'), '[\\\\s\u00a0]+', ' '))",
+)
+#: Bytes of an uploaded file, at most.
+MAX_UPLOAD = 10 * 1024 * 1024
+
+
 class Registry:
     """Named standard tables; one is active. Tables are lazy plans and stay unchanged when combined."""
 
@@ -18,8 +27,8 @@ class Registry:
         self.spark = spark
         self.tables: dict[str, tuple[str, DataFrame]] = {}
         self.active: str | None = None
-        spark.udf.register("parse_water_body", names.parse_water_body)
-        spark.udf.register("name_similarity", names.name_similarity)
+        for sql in FUNCTIONS:
+            spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION " + sql)
 
     def register(self, name: str, df: DataFrame) -> str:
         """Adds a standard table, makes it active, and returns its id."""
@@ -30,8 +39,10 @@ class Registry:
         return key
 
     def upload(self, path: str, name: str | None = None, rows: int | str = "all") -> str:
-        """Reads a file of any supported form, reshapes and standardises it."""
+        """Reads a file of any supported form and at most MAX_UPLOAD bytes, reshapes and standardises it."""
         limit = tables.check_rows(rows)
+        if os.path.getsize(path) > MAX_UPLOAD:
+            raise ValueError(f"an uploaded file has at most {MAX_UPLOAD} bytes; read larger ones from a folder")
         raw = tables.with_row_id(tables.wide_to_long(tables.read_upload(self.spark, path)))
         raw = raw if limit is None else raw.where(f"row_id <= {limit}")
         return self.register(name or path.rsplit("/", 1)[-1], standardize.standardize(raw, path.rsplit("/", 1)[-1]))

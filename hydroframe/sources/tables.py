@@ -11,9 +11,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
-from pyspark.sql import types as T
 
 from hydroframe.functions import text as X
+from hydroframe.plans.io import cut
 
 #: Rows that a limited scan takes unless told otherwise.
 DEFAULT_ROWS = 400
@@ -39,9 +39,19 @@ def check_rows(rows: int | str) -> int | None:
 
 
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
-    """Numbers rows 1..n in file order without moving them into one task: counts per partition, then offsets."""
-    schema = T.StructType([T.StructField(name, T.LongType()), *df.schema.fields])
-    return df.sparkSession.createDataFrame(df.rdd.zipWithIndex().map(lambda x: (x[1] + 1, *x[0])), schema, verifySchema=False)
+    """Numbers rows 1..n in file order, in the JVM and without moving them into one task: rows are written once to the
+    shared folder, counted per partition (one number each goes to the driver), and numbered from their partition's
+    offset. Order and partitions of the written rows are fixed, so numbers don't change when a task runs again."""
+    rows = cut(df.select(F.monotonically_increasing_id().alias("_at"), *(F.col(f"`{c}`") for c in df.columns if c != name)))
+    part = F.shiftright("_at", 33)
+    counts = {r["p"]: r["n"] for r in rows.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    offsets, total = [], 0
+    for p in sorted(counts):
+        offsets.append((p, total - (p << 33) + 1))
+        total += counts[p]
+    # One row per partition.
+    shift = F.broadcast(df.sparkSession.createDataFrame(offsets, "_part long, _shift long"))
+    return rows.join(shift, part == F.col("_part")).select((F.col("_at") + F.col("_shift")).alias(name), *(F.col(f"`{c}`") for c in df.columns if c != name))
 
 
 def sniff_separator(head: str) -> str:
@@ -53,9 +63,18 @@ def sniff_separator(head: str) -> str:
         return max(SEPARATORS, key=first.count) if any(s in first for s in SEPARATORS) else ","
 
 
+def has_broken_cells(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted cell holds a line break: a line with an odd number of quotes (one pass over splits)."""
+    quotes = F.length("value") - F.length(F.translate("value", '"', ""))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
 def read_delimited(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
-    """A delimited file or folder with header, all columns text, names and cells cleaned."""
-    raw = spark.read.csv(path, header=True, sep=separator, inferSchema=False, multiLine=True, escape='"', encoding="UTF-8")
+    """A delimited file or folder with header, all columns text, names and cells cleaned.
+
+    Files are split between tasks, but for those with line breaks inside cells, which only a whole reading can cut.
+    """
+    raw = spark.read.csv(path, header=True, sep=separator, inferSchema=False, multiLine=has_broken_cells(spark, path), escape='"', encoding="UTF-8")
     names = spark.range(1).select(*(X.clean(F.lit(c)).alias(f"c{i}") for i, c in enumerate(raw.columns))).first()
     return raw.toDF(*(f"_c{i}" for i in range(len(raw.columns)))).select(*(X.clean(F.col(f"_c{i}")).alias(n) for i, n in enumerate(names)))
 

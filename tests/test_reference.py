@@ -86,13 +86,31 @@ def test_station_intervals(spark):
 
 
 @pytest.mark.parametrize(("label", "want"), [("HUDIARA DRAIN AT VILL. DHAHUKE (WHERE IT ENTERS PAKISTAN), PUNJAB", "Hudiara Drain"), ("BRIDGE ON TUNG DHAB DRAIN, FATENGARH CHURIAN ROAD", "Tung Dhab Drain"), ("RIVER BEAS U/S BEFORE CONF. OF MANALSU NALLAH", "Beas"), ("NCP06 - N-choe before confluence with Ghaggar", "N-Choe"), ("3BRD", ""), (None, "")])
-def test_water_bodies(label, want):
-    assert names.water_body(label) == want
+def test_water_bodies(spark, label, want):
+    assert spark.range(1).select(names.parse_water_body(F.lit(label))).first()[0] == want
 
 
-def test_likeness():
-    assert min(names.similarity(*p) for p in (("Budha Nallah", "Budda Nala"), ("Sutlej", "Satluj"), ("Lassara Drain", "Lissara Nala"))) >= 0.8
-    assert names.similarity("Attawa Choa", "Tangori Choe") < 0.8 and names.similarity("", "x") == 0
+def test_likeness(spark):
+    like = lambda a, b: spark.range(1).select(names.name_similarity(F.lit(a), F.lit(b))).first()[0]
+    assert min(like(*p) for p in (("Budha Nallah", "Budda Nala"), ("Sutlej", "Satluj"), ("Lassara Drain", "Lissara Nala"))) >= 0.8
+    assert like("Attawa Choa", "Tangori Choe") < 0.8 and like("", "x") == 0 and like("Hudiara Drain", "Hudiara Nala") == 1 and like("Ghaggar River", "Upper Ghaggar Nadi") == 0.9 and like(None, "x") == 0
+
+
+def test_near_names_meet(spark):
+    """Blocking by letter pairs loses no pair of names that are 0.85 alike or more."""
+    rng = np.random.default_rng(8)
+    bases = sorted({"".join(rng.choice(list("abdeghi"), rng.integers(1, 9))) for _ in range(120)} | {"budha", "budda", "upper budha", "sirhind", "sirhand"})
+    df = spark.createDataFrame([(b,) for b in bases], "base string")
+    got = {(r.a, r.b): round(r.likeness, 6) for r in names.near_bases(df, df, 0.85).collect()}
+    both = df.select(F.col("base").alias("a")).crossJoin(df.select(F.col("base").alias("b")))
+    want = {(r.a, r.b): round(r.x, 6) for r in both.select("a", "b", names.base_similarity(F.col("a"), F.col("b")).alias("x")).where("x >= 0.85").collect()}
+    assert got == want and len(want) > len(bases)
+
+
+def test_canonical_names(spark):
+    aliases = tables.alias_table(spark.createDataFrame([("Attawa Choe", "N-Choe"), ("Nchoe", "N-Choe")], "alias string, name string"))
+    df = spark.createDataFrame([(1, "Attawa Choa"), (2, "Hudiara Drain"), (3, None), (4, "N-choe")], "i int, name string")
+    assert {r.i: r.name for r in names.canonical_names(df, "name", aliases).collect()} == {1: "N-Choe", 2: "Hudiara Drain", 3: None, 4: "N-Choe"}
 
 
 def test_label_merge(spark):
@@ -109,12 +127,42 @@ def test_label_merge(spark):
 
 
 def test_screening(spark):
-    r = [("s", "1", "f", 1, "pH(max)", 9.5), ("s", "1", "f", 2, "pH", 7.0), ("s", "1", "f", 3, "NO3-N", 60.0), ("s", "2", "f", 4, "pH", 9.1), ("s", "2", "f", 5, "DO(min)", 6.0), ("s", "3", "f", 6, "Colour", 1.0)]
+    r = [("s", "1", "f", 1, "pH(max)", 9.5), ("s", "1", "f", 2, "pH", 7.0), ("s", "1", "f", 3, "NO3-N", 60.0), ("s", "2", "f", 4, "pH", 9.1), ("s", "2", "f", 5, "DO(min)", 6.0), ("s", "3", "f", 6, "Colour", 1.0), ("s", "4", "f", 7, "T-Coliform", 50.0), ("s", "5", "f", 8, "Total Coliform", 50.0), ("s", "5", "f", 9, "Faecal Coliform", 0.0)]
     got = {(x["sample"], x.use_case): x for x in screening.screen(spark.createDataFrame(r, "station string, sample string, file_name string, row_id int, parameter string, numeric_value double")).collect()}
     a = got["1", "human_consumption"]
-    assert a.status == "caution" and a.confirmed == ["pH via pH"] and a.proxy == ["nitrate via NO3-N"] and not a.core_reasons
+    assert a.status == "safe" and a.label == "Pass" and a.confirmed == ["pH via pH"] and a.proxy == ["Nitrate via NO3-N"] and not a.core_reasons and "TDS" in a.missing and "Nitrate" not in a.missing
     assert got["2", "bathing"].status == "unsafe" and got["2", "bathing"].core_reasons == ["pH 9.1 outside 6.5-8.5"]
-    assert got["3", "bathing"].status == "unknown" and len(got) == 12
+    assert got["3", "bathing"].status == "unknown" and len(got) == 20
+    assert got["4", "bathing"].core_reasons == ["Total coliform 50 MPN/100mL should be 0"] and got["5", "bathing"].status == "safe"
+
+
+def test_rules(spark):
+    def judged(use, strict=True, **values):
+        row = spark.range(1).select(screening.judge(use, {k: F.lit(float(v)) for k, v in values.items()}, strict).alias("j")).first().j
+        return row.status, row.core_reasons + row.extended_reasons
+
+    assert judged("agriculture", pH=9, boron=1, chloride=200) == ("unsafe", ["pH 9 outside 6.0-8.5", "Chloride 200 mg/L may be restrictive for chloride-sensitive crops"])
+    assert judged("agriculture", pH=7, chloride=200)[0] == "caution" and judged("agriculture", pH=7.2) == ("safe", []) and judged("agriculture", chloride=10)[0] == "unknown"
+    assert judged("agriculture", pH=7, rsc=3, bicarbonate=700)[1] == ["RSC 3 meq/L exceeds 2.5 meq/L"] and len(judged("agriculture", pH=7, rsc=2, bicarbonate=700, carbonate=130)[1]) == 2
+    assert judged("human_consumption", turbidity=3)[1] == ["Turbidity 3 NTU exceeds 1 NTU"] and judged("human_consumption", False, turbidity=3)[0] == "safe"
+    assert judged("human_consumption", e_coli=1) == ("unsafe", ["E. coli detected"]) and judged("bathing", e_coli=1) == ("caution", ["E. coli detected"])
+
+
+def test_stations_of_a_period(spark):
+    r = [("s", "f", 202301, 2023, 1, 1, "pH", 9.5), ("s", "f", 202405, 2024, 5, 2, "pH", 7.0), ("t", "f", 202405, 2024, 5, 3, "pH", 7.0)]
+    df = spark.createDataFrame(r, "station string, file_name string, sort_key int, year int, month_index int, row_id int, parameter string, numeric_value double")
+    state = lambda **k: {x.station: (x.status, x.reasons) for x in screening.screen_stations(df, "bathing", **k).collect()}
+    assert state() == {"s": ("safe", []), "t": ("safe", [])}
+    assert state(year=2023) == {"s": ("unsafe", ["pH 9.5 outside 6.5-8.5"]), "t": ("unknown", [screening.NO_SAMPLE])}
+    assert state(month=2)["s"] == ("unknown", [screening.NO_SAMPLE])
+
+
+def test_scales(spark):
+    v = spark.createDataFrame([("DO", 3.0), ("DO (min)", 6.0), ("DO", None), ("Boron(B)", 1.0), ("T-Coliform", 5.0), ("Colour", 1.0)], "parameter string, value double")
+    got = [(r.scale, r.status) for r in screening.on_scales(v, "aquatic_life").collect()]
+    assert sorted(got, key=str) == sorted([("do", "unsafe"), ("do", "safe"), ("do", "unknown"), ("boron", None), ("total_coliform", "unsafe"), ("colour", None)], key=str)
+    r = screening.on_scales(v.where("parameter = 'Boron(B)'"), "agriculture").first()
+    assert (r.status, r.low, r.high, r.axis.low, r.axis.high) == ("safe", None, 2.0, 0.0, 4.0)
 
 
 def test_straight_lines(spark):
@@ -173,8 +221,28 @@ def test_flow(spark):
     assert {x.edge: round(x.share, 4) for x in g.collect()} == {1: 1.0, 2: 1.0, 3: 0.75, 4: 0.25, 5: 1.0}
     d = {x.node: (x.distance, x.share) for x in graph.downstream(g, spark.createDataFrame([(1,)], "node int"), 100.0).collect()}
     assert d[4] == (20.0, 1.0) and d[5] == (21.0, 1.0)
-    with pytest.raises(ValueError):
-        graph.flow_shares(spark.createDataFrame([(1, 1, 2, 1.0, None), (2, 2, 1, 1.0, None)], "edge int, up int, down int, length double, weight double"))
+    chain = spark.createDataFrame([(i, i, i + 1, 10.0, 1.0) for i in range(90)], "edge int, up int, down int, length double, share double")
+    start = spark.createDataFrame([(0,)], "node int")
+    assert graph.downstream(chain, start, 1e6).count() == 91 and graph.outlet_distance(chain, spark.createDataFrame([(90,)], "node int")).count() == 91
+    with pytest.raises(Exception, match="cycle"):
+        graph.flow_shares(spark.createDataFrame([(1, 1, 2, 1.0, None), (2, 2, 1, 1.0, None)], "edge int, up int, down int, length double, weight double")).collect()
+
+
+def test_large_graphs_give_the_same(spark, monkeypatch):
+    """Level by level, as for graphs that tasks can't hold."""
+    rng = np.random.default_rng(4)
+    rows = [(i, i, int(rng.integers(i + 1, min(i + 4, 41))), float(rng.integers(1, 9)), None) for i in range(40)] + [(100 + i, i, i + 1, 3.0, 2.0) for i in range(0, 39, 3)]
+    e = spark.createDataFrame(rows, "edge int, up int, down int, length double, weight double")
+    starts = spark.createDataFrame([(0, 0, 0.0, 1.0), (7, 7, 2.0, 0.5), (7, 9, 0.0, 0.25)], "station int, node int, distance double, share double")
+
+    def all_results():
+        f = graph.flow_shares(e)
+        tables_ = (f.select("edge", "flow", "share"), graph.reach(f, starts, 25.0, "down"), graph.reach(f, starts, 25.0, "up"), graph.outlet_distance(e, e.where("edge = 39").select(F.col("down").alias("node"))))
+        return [sorted(tuple(round(x, 9) for x in r) for r in t.collect()) for t in tables_]
+
+    want = all_results()
+    monkeypatch.setattr(graph, "MAX_HELD", 3)
+    assert all_results() == want
 
 
 def test_channels(spark):
@@ -225,6 +293,8 @@ def test_files_and_registry(spark, tmp_path, csv_file):
     tables.write_measurements(reg.select(one), str(tmp_path / "out"))
     assert tables.read_delimited(spark, str(tmp_path / "out")).columns[:5] == ["SrNo", "Parameter", "Unit", "Date", "Value"]
     assert tables.to_csv_text(spark.range(2)) == "id\n0\n1\n"
+    r = spark.sql("SELECT clean_text(' a\u2013b\u00a0 c') AS t, haversine_m(30, 76, 30.1, 76) AS m").first()
+    assert r.t == "a-b c" and abs(r.m - 11119.5) < 1
     reg.reset()
     assert reg.list() == []
 
