@@ -179,6 +179,52 @@ def valid_position(lat: Column, lon: Column) -> Column:
 
 
 def axis_end(kind: Column, fixed_low: Column, fixed_high: Column, low: Column, high: Column, value: Column) -> Column:
-    """struct(low, high) of a scale's axis: fixed ends, else room around the thresholds and the value."""
-    top = F.greatest(F.coalesce(high, low) * 1.6, F.coalesce(value, F.lit(0.0)) * 1.15, F.lit(1.0))
-    return F.struct(F.coalesce(fixed_low, F.when(kind == "range", F.least(low - (high - low) * 0.5, value)), F.lit(0.0)).alias("low"), F.coalesce(fixed_high, F.when(kind == "range", F.greatest(high + (high - low) * 0.5, value)), top).alias("high"))
+    """struct(low, high) of a scale's axis: fixed ends (the upper one giving way to the value); for a range three quarters
+    of its width, or one, around it, and a quarter of that around the value; else from zero to 1.6 times the threshold,
+    1.15 times the value, or one above the threshold."""
+    room = F.greatest((high - low) * 0.75, F.lit(1.0))
+    fixed = fixed_low.isNotNull() & fixed_high.isNotNull()
+    threshold = F.when(kind == "min", low).otherwise(high)
+    least = F.when(fixed, fixed_low).when(kind == "range", F.greatest(F.lit(0.0), F.least(low - room, value - room * 0.25))).otherwise(F.coalesce(fixed_low, F.lit(0.0)))
+    most = F.when(fixed, F.greatest(fixed_high, value)).when(kind == "range", F.greatest(high + room, value + room * 0.25)).otherwise(F.greatest(threshold * 1.6, F.coalesce(value * 1.15, F.lit(0.0)), threshold + 1))
+    return F.struct(least.alias("low"), most.alias("high"))
+
+
+def compact_number(c: Column) -> Column:
+    """A number for display: two decimals, one from 10, none from 1,000 (with separators), and from 10,000 a power such
+    as 1.5E+4; NA where there is none."""
+    plain = lambda n: F.regexp_replace(F.format_number(F.round(c, n), n), r"(\.\d*?)0+$|\.0*$", "$1")
+    tidy = lambda n: F.regexp_replace(plain(n), r"\.$", "")
+    size = F.abs(c)
+    power = F.floor(F.log10(size)).cast("int")
+    mantissa = F.round(c / F.pow(F.lit(10.0), power), 2)
+    # Rounding up to ten moves the power.
+    over = F.abs(mantissa) >= 10
+    mantissa, power = F.when(over, mantissa / 10).otherwise(mantissa), F.when(over, power + 1).otherwise(power)
+    digits = F.regexp_replace(F.regexp_replace(F.format_string("%.2f", mantissa), r"0+$", ""), r"\.$", "")
+    scaled = F.concat(digits, F.lit("E+"), power.cast("string"))
+    return F.when(c.isNull() | F.isnan(c) | (size == float("inf")), "NA").when(size >= 10000, scaled).when(size >= 1000, F.format_number(F.round(c, 0), 0)).when(size >= 10, tidy(1)).otherwise(tidy(2))
+
+
+# Positions and colours (red, green, blue, opacity) of the map's ramp.
+RAMP = [(0.0, (29, 78, 216, 88)), (0.18, (8, 145, 178, 112)), (0.42, (5, 150, 105, 138)), (0.68, (234, 179, 8, 164)), (1.0, (220, 38, 38, 188))]
+#: Ratio of a positive range's ends from which its scale is logarithmic.
+LOG_FROM = 100.0
+
+
+def ramp_position(value: Column, low: Column, high: Column) -> Column:
+    """Where a value lies between low and high, 0 to 1; by logarithms where the range is positive and wide."""
+    wide = (low > 0) & (high > 0) & (high / low >= LOG_FROM)
+    logs = (F.log10(value) - F.log10(low)) / F.coalesce(F.nullif(F.log10(high) - F.log10(low), F.lit(0.0)), F.lit(1.0))
+    plain = (value - low) / F.coalesce(F.nullif(high - low, F.lit(0.0)), F.lit(1.0))
+    x = F.when(wide, logs).otherwise(plain)
+    return F.when(value.isNull() | F.isnan(value), 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(x, F.lit(0.0)))))
+
+
+def ramp_color(position: Column) -> Column:
+    """array(red, green, blue, opacity) of a position on the ramp."""
+    out = F.array(*map(F.lit, RAMP[-1][1]))
+    for (a, left), (b, right) in reversed(list(zip(RAMP, RAMP[1:]))):
+        amount = (position - a) / (b - a)
+        out = F.when(position <= b, F.array(*(F.floor(left[k] + (right[k] - left[k]) * amount + 0.5).cast("int") for k in range(4)))).otherwise(out)
+    return out

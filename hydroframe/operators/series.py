@@ -28,6 +28,35 @@ def trend(records: DataFrame) -> DataFrame:
     return records.where("numeric_value is not null").select("location", "parameter", m.alias("midpoint"), "numeric_value", "row_id").withColumn("n", F.row_number().over(w))
 
 
+def rain_rows(records: DataFrame) -> DataFrame:
+    """The precipitation rows of records."""
+    return records.where(F.lower("parameter").rlike("precipitation|rainfall") & F.col("numeric_value").isNotNull())
+
+
+def rain_bars(records: DataFrame, daily: DataFrame | None = None) -> DataFrame:
+    """(location, date_start, date_end, midpoint, width_s, rain, source): one bar per location and period, from the
+    table's own precipitation rows, or where it has none from daily values (place, day, value) over the periods of the
+    shown records; without values a period has no bar.
+
+    Of several rows of one location and period the first holds. A bar is 0.8 of its period wide, at least of a day.
+    """
+    keys = ["location", "date_start", "date_end"]
+    own = rain_rows(records).groupBy(*keys).agg(F.min_by("numeric_value", "row_id").alias("rain"))
+    if daily is None or not own.isEmpty():
+        bars = own.withColumn("source", F.lit("table"))
+    else:
+        shown = records.where("numeric_value is not null").groupBy(*keys).agg(F.min("row_id").alias("id")).select("id", *keys)
+        sums = period_sums(shown.select("id", F.col("location").alias("place"), F.col("date_start").alias("start"), F.col("date_end").alias("end")), daily).select("id", F.col("total").alias("rain"))
+        bars = shown.join(sums, "id").select(*keys, "rain", F.lit("weather").alias("source")).where("rain is not null")
+    seconds = F.greatest(F.datediff("date_end", "date_start") * 86_400, F.lit(86_400))
+    return bars.select(*keys, X.midpoint(F.col("date_start"), F.col("date_end")).alias("midpoint"), (seconds * 0.8).alias("width_s"), "rain", "source")
+
+
+def with_rain(points: DataFrame, bars: DataFrame) -> DataFrame:
+    """points (location, date_start, date_end, ...) with the rain of their period, null where there is none."""
+    return points.join(bars.select("location", "date_start", "date_end", "rain"), ["location", "date_start", "date_end"], "left")
+
+
 def yearly(records: DataFrame, digits: int = 4) -> DataFrame:
     """One value per station, family and year: the mean of whole-year rows if there are any, else of the others."""
     whole = F.col("date_precision") == "year"

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hydroframe.functions import text as X
+from hydroframe.plans.io import cut
 
 OUTPUT_COLUMNS = ["SrNo", "Parameter", "Unit", "Date", "Value", "Data Source", "Location", "Latitude", "Longitude"]
 REQUIRED = ["Parameter", "Value", "Location", "Latitude", "Longitude"]
@@ -102,10 +103,23 @@ def X_clean(text: str) -> str:
     return " ".join(text.replace("﻿", "").replace("Â", "").replace("–", "-").split())
 
 
-def load_csv(spark, path: str, rows: int | str = 400) -> DataFrame:
-    """A validated standard table from a CSV file."""
+def load_csv(spark, path: str, rows: int | str = 400, merge_stations: bool = True) -> DataFrame:
+    """A validated standard table from a CSV file; variants of one station's label become one."""
     from pathlib import Path
 
     from hydroframe.sources.tables import read_measurements
 
-    return validate(standardize(read_measurements(spark, path, rows), Path(path).name))
+    table = standardize(read_measurements(spark, path, rows), Path(path).name)
+    return validate(merged_stations(table)[0] if merge_stations else table)
+
+
+def merged_stations(standard: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The standard table with merged labels, and the report (name, merged)."""
+    from hydroframe.operators import identity
+
+    places = standard.select("row_id", F.col("Location").alias("location"), X.frame_number(F.col("Latitude")).alias("latitude"), X.frame_number(F.col("Longitude")).alias("longitude"))
+    label = identity.labels(places)
+    into = cut(identity.merge_groups(label, identity.candidate_pairs(label)))
+    merged = standard.join(into.select(F.col("location").alias("Location"), "merged_into"), "Location", "left").withColumn("Location", F.coalesce("merged_into", "Location"))
+    report = into.groupBy(F.col("merged_into").alias("name")).agg(F.array_sort(F.collect_list("location")).alias("merged"))
+    return merged.select(*standard.columns), report

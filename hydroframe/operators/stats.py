@@ -13,17 +13,51 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from hydroframe.functions import text as X
+from hydroframe.functions.names import canonical_names, parse_water_body
+from hydroframe.plans.io import cut
+from hydroframe.sources.tables import with_row_id
 
 QUARTILES = (0.0, 0.25, 0.5, 0.75, 1.0)
+#: Ranges that a group's values are cut into to find its quantiles.
+RANGES = 64
+#: Years of a station by year map.
+MAX_YEARS = 10_000
 
 
 def describe(df: DataFrame, by: str, value: str, digits: int = 6) -> DataFrame:
     """count, mean, std (sample), min, quartiles, max of value per group; a group without numbers keeps count 0."""
-    q = F.percentile(value, F.array(*map(F.lit, QUARTILES)))
     names = ("min", "q1", "median", "q3", "max")
-    return df.groupBy(F.col(by).alias("parameter")).agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), q.alias("q")).select(
-        "parameter", "count", F.round("mean", digits).alias("mean"), F.round("std", digits).alias("std"), *(F.round(F.col("q")[i], digits).alias(n) for i, n in enumerate(names))
-    )
+    g = df.groupBy(F.col(by).alias("parameter")).agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
+    q = quantiles(df.withColumn("_by", F.struct(F.col(by).alias("v"))), ["_by"], value)
+    j = g.withColumn("_by", F.struct(F.col("parameter").alias("v"))).join(q, "_by", "left")
+    return j.select("parameter", "count", F.round("mean", digits).alias("mean"), F.round("std", digits).alias("std"), *(F.round(F.col("q")[i], digits).alias(n) for i, n in enumerate(names)))
+
+
+def quantiles(df: DataFrame, by: Sequence[str], value: str, at: Sequence[float] = QUARTILES) -> DataFrame:
+    """(by, q): exact quantiles of value per group, interpolated between ranks, for few groups of any number of rows.
+
+    Values are counted first; each group's values are cut into RANGES ranges by a sketch, so no task holds a group. Ranks
+    are found from the sums of the ranges, and only the ranges that hold one are looked into.
+    """
+    d = df.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    d = cut(d)
+    bounds = d.groupBy(*by).agg(F.sum("_n").alias("_total"), F.percentile_approx("_v", [k / RANGES for k in range(1, RANGES)], F.lit(10 * RANGES)).alias("_cuts"))
+    part = d.join(bounds, list(by)).withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))))
+    sums = part.groupBy(*by, "_total", "_part").agg(F.sum("_n").alias("_size"))
+    w = W.partitionBy(*by).orderBy("_part")
+    sums = sums.withColumn("_end", F.sum("_size").over(w))
+    wanted = F.array(*(F.struct(F.lit(i).alias("i"), (F.lit(p) * (F.col("_total") - 1)).alias("rank")) for i, p in enumerate(at)))
+    asked = bounds.select(*by, F.explode(wanted).alias("w"))
+    ends = asked.select(*by, "w.i", "w.rank", F.explode(F.array_distinct(F.array(F.floor("w.rank"), F.ceil("w.rank")))).alias("k"))
+    held = ends.join(sums.select(*by, "_part", (F.col("_end") - F.col("_size")).alias("_begin"), "_end"), list(by)).where((F.col("k") >= F.col("_begin")) & (F.col("k") < F.col("_end")))
+    parts = held.select(*by, "_part", "_begin").distinct()
+    inside = part.select(*by, "_part", "_v", "_n").join(parts, [*by, "_part"])
+    inside = inside.withColumn("_to", F.col("_begin") + F.sum("_n").over(W.partitionBy(*by, "_part").orderBy("_v")))
+    found = held.join(inside.select(*by, "_part", "_v", "_n", "_to"), [*by, "_part"]).where((F.col("k") < F.col("_to")) & (F.col("k") >= F.col("_to") - F.col("_n")))
+    frac = F.col("rank") - F.floor("rank")
+    q = found.groupBy(*by, "i").agg(F.max(F.when(F.col("k") == F.floor("rank"), F.col("_v"))).alias("lo"), F.max(F.when(F.col("k") == F.ceil("rank"), F.col("_v"))).alias("hi"), F.first(frac).alias("f"))
+    q = q.select(*by, "i", F.when(F.col("f") == 0, F.col("lo")).otherwise(F.col("lo") * (1 - F.col("f")) + F.col("hi") * F.col("f")).alias("v"))
+    return q.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("q"))
 
 
 def boxplots(df: DataFrame, station: Column, family: Column, year: Column, month: Column, value: Column, digits: int = 4) -> DataFrame:
@@ -36,7 +70,7 @@ def boxplots(df: DataFrame, station: Column, family: Column, year: Column, month
 def distribution(df: DataFrame, by: Sequence[str], value: str, digits: int = 4) -> DataFrame:
     """Box statistics per group with mean, iqr and whiskers at the extreme values within 1.5 iqr."""
     d = df.where(F.col(value).isNotNull())
-    g = d.groupBy(*by).agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.percentile(value, F.array(*map(F.lit, QUARTILES))).alias("q"))
+    g = d.groupBy(*by).agg(F.count(value).alias("count"), F.avg(value).alias("mean")).join(quantiles(d, by, value), list(by))
     fences = g.select(*by, (F.col("q")[1] - 1.5 * (F.col("q")[3] - F.col("q")[1])).alias("low"), (F.col("q")[3] + 1.5 * (F.col("q")[3] - F.col("q")[1])).alias("high"))
     inside = d.join(fences, list(by)).where(F.col(value).between(F.col("low"), F.col("high"))).groupBy(*by).agg(F.min(value).alias("lower_whisker"), F.max(value).alias("upper_whisker"))
     r = lambda c, n: F.round(c, digits).alias(n)
@@ -53,7 +87,11 @@ def summary(df: DataFrame, station: str, parameter: str, has_position: Column) -
 def station_year_means(df: DataFrame, station: str, year: str, value: str, digits: int = 4) -> DataFrame:
     """Mean per station and year over the scaffold of all stations and all years; empty cells are null."""
     cells = df.groupBy(station, year).agg(F.round(F.avg(value), digits).alias("mean"), F.count(value).alias("n"))
-    frame = df.select(station).distinct().join(F.broadcast(df.select(year).distinct()), how="cross")
+    years = [r[0] for r in df.select(year).distinct().limit(MAX_YEARS + 1).collect()]
+    if len(years) > MAX_YEARS:
+        raise ValueError(f"a map has at most {MAX_YEARS} years")
+    axis = F.array(*(F.lit(y).cast(dict(df.dtypes)[year]) for y in sorted(years, key=lambda y: (y is not None, y)))) if years else F.array().cast(f"array<{dict(df.dtypes)[year]}>")
+    frame = df.select(station).distinct().withColumn(year, F.explode(axis))
     return frame.join(cells, [station, year], "left").select(station, year, "mean", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -124,6 +162,44 @@ def station_values(df: DataFrame, digits: int = 4) -> DataFrame:
     return g.select("period", "family", "station", "unit", F.round(low, digits).alias("lower"), F.round(high, digits).alias("upper"), F.round(F.coalesce((low + high) / 2, low, high), digits).alias("value"), kind.alias("kind"), "sample_count", "year_count")
 
 
+def popup_means(df: DataFrame, station: str, lat: str, lon: str, value: str, digits: int = 4) -> DataFrame:
+    """The mean of every station at every position it is recorded at."""
+    return df.where(F.col(value).isNotNull()).groupBy(station, lat, lon).agg(F.round(F.avg(value), digits).alias("mean"))
+
+
+def station_table(df: DataFrame, station: str, lat: str, lon: str, row_id: str, water_body: str | None = None, aliases: DataFrame | None = None) -> DataFrame:
+    """(station, latitude, longitude, water_body, parsed): one row a station, with its first valid position, its most
+    frequent water body (the first by name of equals, '' unknown) and the one its name says, both by their preferred
+    names if aliases (base, name) are given."""
+    ok = X.valid_position(F.col(lat), F.col(lon))
+    body = F.lit("") if water_body is None else F.trim(F.coalesce(water_body, F.lit("")))
+    d = df.where(F.trim(F.coalesce(F.col(station), F.lit(""))) != "").select(F.col(station).alias("station"), F.when(ok, F.struct(F.col(lat).alias("latitude"), F.col(lon).alias("longitude"))).alias("p"), F.col(row_id).alias("r"), body.alias("b"))
+    names = d.groupBy("station", "b").agg(F.min_by("p", F.when(F.col("p").isNotNull(), F.col("r"))).alias("p"), F.min(F.when(F.col("p").isNotNull(), F.col("r"))).alias("r"), F.count(F.lit(1)).alias("n"))
+    g = names.groupBy("station").agg(F.min_by("p", "r").alias("p"), F.min_by("b", F.when(F.col("b") != "", F.struct(-F.col("n"), "b"))).alias("b"))
+    out = g.select("station", "p.latitude", "p.longitude", F.coalesce("b", F.lit("")).alias("water_body"), parse_water_body("station").alias("parsed"))
+    return out if aliases is None else canonical_names(canonical_names(out, "water_body", aliases), "parsed", aliases)
+
+
+def elevation_ranks(stations: DataFrame) -> DataFrame:
+    """(station, elevation, rank): stations of known height from the highest down, equals by name; stations of unknown
+    height have no rank. The order comes from a range sort, no single task holds all."""
+    known = stations.where("elevation is not null and not isnan(elevation)").orderBy(F.col("elevation").desc(), "station").select("station", "elevation")
+    ranked = with_row_id(known, "rank").select("station", "elevation", "rank")
+    return ranked.unionByName(stations.where("elevation is null or isnan(elevation)").select("station", "elevation", F.lit(None).cast("long").alias("rank")))
+
+
+def records_in_order(records: DataFrame) -> DataFrame:
+    """Records by location group, parameter, sort key and file, equals in file order (a range sort)."""
+    return records.orderBy("location_group", "parameter", "sort_key", "file_name", "row_id")
+
+
+def head(df: DataFrame, n: int = 5, order_by: str = "row_id") -> DataFrame:
+    """The first n rows in an order (a top-k report)."""
+    if isinstance(n, bool) or not isinstance(n, int) or n < 0:
+        raise ValueError("n is a number of rows")
+    return df.orderBy(order_by).limit(n)
+
+
 def best_rows(df: DataFrame, by: Sequence[str], *order: Column) -> DataFrame:
     """The first row of each group in an order."""
     return df.withColumn("_rank", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where("_rank = 1").drop("_rank")

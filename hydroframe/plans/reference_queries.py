@@ -12,9 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydroframe.functions import names
+from hydroframe.functions import names, utm
 from hydroframe.functions import text as X
-from hydroframe.operators import channels, graph, identity, interpolate, network, river, screening, series, standardize, stats
+from hydroframe.operators import channels, graph, identity, interpolate, network, river, screening, series, standardize, stats, surfaces
 from hydroframe.plans.io import table
 from hydroframe.sources import tables
 from hydroframe.streaming import measurements as streaming
@@ -133,18 +133,19 @@ def station_values_interval(spark: SparkSession, d: str) -> DataFrame:
     return stats.station_values(_items(spark, d).select("row_id", F.substring("family", 1, 1).alias("family"), tag.alias("variant"), F.lit("u").alias("unit"), "station", "year", "value"))
 
 
-_CELLS = ["feed", "parameter", "unit", "month", "value", "data_source", "year", "location", "remarks"]
+_CELLS = ["row_id", "load_id", "feed", "sample_id", "sr_no", "parameter", "unit", "month", "value", "data_source", "year", "location", "latitude", "longitude", "remarks", "loaded_at"]
 
 
 def _missing(c: str) -> str:
-    m = f"lower(trim(coalesce({c}, ''))) IN ('', 'na', 'n/a', 'null', 'none', 'nan')"
+    m = f"lower(trim(coalesce({c}::VARCHAR, ''))) IN ('', 'na', 'n/a', 'null', 'none', 'nan')"
     return m + " AND lower(trim(parameter)) <> 'ph'" if c == "unit" else m
 
 
 @query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) FILTER ({_missing(c)}) AS missing FROM measurements" for c in _CELLS))
 def missing_cells(spark: SparkSession, d: str) -> DataFrame:
     """missing cells of every column in one pass."""
-    return standardize.missing_cells(table(spark, d, "measurements").select(*_CELLS).withColumnRenamed("parameter", "Parameter")).withColumn("column_name", F.lower("column_name"))
+    m = table(spark, d, "measurements").select(*_CELLS).withColumnsRenamed({"parameter": "Parameter", "row_id": "number"})
+    return standardize.missing_cells(m).withColumn("column_name", F.lower(F.when(F.col("column_name") == "number", "row_id").otherwise(F.col("column_name"))))
 
 
 @query("SELECT count(*) AS records, count(DISTINCT location) AS locations, count(DISTINCT parameter) AS parameters, count(*) FILTER (coalesce(latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180, false)) AS mapped, count(*) FILTER (NOT coalesce(latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180, false)) AS unmapped FROM measurements")
@@ -153,10 +154,13 @@ def dataset_summary(spark: SparkSession, d: str) -> DataFrame:
     return stats.summary(table(spark, d, "measurements"), "location", "parameter", X.valid_position(F.col("latitude"), F.col("longitude")))
 
 
-@query("SELECT row_id, trim(regexp_replace(translate(coalesce(unit, ''), '–Â', '-'), '\\s+', ' ', 'g')) AS unit, trim(regexp_replace(translate(coalesce(remarks, ''), '–Â', '-'), '\\s+', ' ', 'g')) AS remarks FROM measurements")
+_TEXTS = ["feed", "parameter", "unit", "month", "value", "data_source", "year", "location", "remarks"]
+
+
+@query("SELECT row_id, " + ", ".join(f"trim(regexp_replace(translate(coalesce({c}, ''), '–﻿Â', '-'), '[\\s\u00a0]+', ' ', 'g')) AS {c}" for c in _TEXTS) + " FROM measurements")
 def clean_texts(spark: SparkSession, d: str) -> DataFrame:
-    """C1."""
-    return table(spark, d, "measurements").select("row_id", X.clean(F.col("unit")).alias("unit"), X.clean(F.col("remarks")).alias("remarks"))
+    """C1 over every text column."""
+    return table(spark, d, "measurements").select("row_id", *(X.clean(F.col(c)).alias(c) for c in _TEXTS))
 
 
 @query(
@@ -188,21 +192,43 @@ _MONTH_CASE = "CASE " + " ".join(f"WHEN lower(trim(month)) = '{k}' THEN {v}" for
 
 @query(
     f"""WITH m AS (SELECT DISTINCT month, year FROM measurements), y AS (SELECT *, TRY_CAST(regexp_extract(trim(coalesce(year, '')), '^((19|20)\\d\\d)(\\.0)?$', 1) AS INT) AS yy, CASE WHEN trim(coalesce(month, '')) <> '' THEN {_MONTH_CASE} END AS mm FROM m),
-    r AS (SELECT month, year, mm, make_date(yy, coalesce(mm, 1), 1) AS date_start, CASE WHEN mm IS NULL THEN make_date(yy, 12, 31) ELSE last_day(make_date(yy, mm, 1)) END AS date_end FROM y WHERE yy IS NOT NULL)
-    SELECT month, year, date_start::VARCHAR AS date_start, date_end::VARCHAR AS date_end, CASE WHEN mm IS NULL THEN 'year' ELSE 'month' END AS date_precision, (year(date_start) * 100 + CASE WHEN mm IS NULL THEN 0 ELSE month(date_start) END)::INT AS sort_key,
-           CASE WHEN mm IS NULL THEN '' ELSE strftime(date_start, '%b') END AS month_label FROM r"""
+    r AS (SELECT month, year, mm, make_date(yy, coalesce(mm, 1), 1) AS date_start, CASE WHEN mm IS NULL THEN make_date(yy, 12, 31) ELSE last_day(make_date(yy, mm, 1)) END AS date_end FROM y)
+    SELECT month, year, date_start::VARCHAR AS date_start, date_end::VARCHAR AS date_end, CASE WHEN date_start IS NULL THEN NULL WHEN mm IS NULL THEN 'year' ELSE 'month' END AS date_precision, (year(date_start) * 100 + CASE WHEN mm IS NULL THEN 0 ELSE month(date_start) END)::INT AS sort_key,
+           CASE WHEN date_start IS NULL THEN NULL WHEN mm IS NULL THEN '' ELSE strftime(date_start, '%b') END AS month_label FROM r"""
 )
 def date_ranges(spark: SparkSession, d: str) -> DataFrame:
     """Months and years as ranges with precision, sort key and label."""
     m = table(spark, d, "measurements").select("month", "year").distinct().withColumn("r", X.date_range(F.lit(""), F.col("year"), F.col("month"), F.lit("")))
-    m = m.where("r is not null").select("month", "year", "r.*")
+    m = m.select("month", "year", "r.*")
     return m.select("*", X.sort_key(F.col("date_start"), F.col("date_precision")).alias("sort_key"), X.month_label(F.col("date_start"), F.col("date_precision")).alias("month_label")).withColumns({c: F.col(c).cast("string") for c in ("date_start", "date_end")})
 
 
-@query("SELECT label_id, coalesce(nullif(regexp_replace(regexp_replace(lower(location), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'location') AS slug, CASE WHEN regexp_matches(location, '\\b(u\\s*/\\s*s|upstream)\\b', 'i') AND NOT regexp_matches(location, '\\b(d\\s*/\\s*s|downstream)\\b', 'i') THEN 'US' WHEN regexp_matches(location, '\\b(d\\s*/\\s*s|downstream)\\b', 'i') AND NOT regexp_matches(location, '\\b(u\\s*/\\s*s|upstream)\\b', 'i') THEN 'DS' ELSE '' END AS marker, list_aggregate(list_sort(list_distinct(regexp_extract_all(upper(location), '[A-Z0-9]+'))), 'string_agg', ' ') AS tokens FROM site_labels WHERE NOT regexp_matches(location, '[0-9]\\.[0-9]')")
+def _written(day: str, other: str) -> list[str]:
+    return [f"strftime({day}, '%d-%m-%Y')", f"strftime({day}, '%Y-%m-%d')", f"strftime({day}, '%d/%m/%Y')", f"strftime({day}, '%m/%d/%Y')", f"'[' || strftime({day}, '%d-%m-%Y') || ', ' || strftime({other}, '%d-%m-%Y') || ']'", f"strftime({other}, '%d-%m-%Y') || ' / ' || strftime({day}, '%d-%m-%Y')", "'31-02-2020'", "'soon'"]
+
+
+@query(
+    "WITH w AS (SELECT o_orderkey AS id, o_orderdate::DATE AS a, (o_orderdate + INTERVAL 40 DAY)::DATE AS b FROM orders), t AS (SELECT id, CASE id % 8 "
+    + " ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(_written("a", "b")))
+    + """ END AS t, a, b FROM w), p AS (SELECT *, coalesce(try_strptime(t, '%d-%m-%Y'), try_strptime(t, '%Y-%m-%d'), try_strptime(t, '%d/%m/%Y'), try_strptime(t, '%m/%d/%Y'))::DATE AS day FROM t)
+    SELECT id, t AS date_text, CASE WHEN id % 8 = 4 THEN a ELSE day END::VARCHAR AS date_start, CASE WHEN id % 8 = 4 THEN b ELSE day END::VARCHAR AS date_end, CASE WHEN id % 8 = 4 THEN 'month' WHEN day IS NOT NULL THEN 'day' END AS date_precision FROM p"""
+)
+def date_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Days and ranges as written, in the order that notations are tried; reversed and unreadable ones are rejected."""
+    k, a = F.col("o_orderkey"), F.to_date("o_orderdate")
+    b = F.to_date(F.col("o_orderdate") + F.expr("INTERVAL 40 DAY"))
+    f = lambda c, form: F.date_format(c, form)
+    texts = [f(a, "dd-MM-yyyy"), f(a, "yyyy-MM-dd"), f(a, "dd/MM/yyyy"), f(a, "MM/dd/yyyy"), F.concat(F.lit("["), f(a, "dd-MM-yyyy"), F.lit(", "), f(b, "dd-MM-yyyy"), F.lit("]")), F.concat(f(b, "dd-MM-yyyy"), F.lit(" / "), f(a, "dd-MM-yyyy")), F.lit("31-02-2020"), F.lit("soon")]
+    t = table(spark, d, "orders").select(k.alias("id"), F.element_at(F.array(*texts), (k % 8 + 1).cast("int")).alias("date_text"))
+    r = t.withColumn("r", X.date_range(F.col("date_text"), F.lit(""), F.lit(""), F.lit("")))
+    return r.select("id", "date_text", F.col("r.date_start").cast("string").alias("date_start"), F.col("r.date_end").cast("string").alias("date_end"), "r.date_precision")
+
+
+@query("SELECT label_id, coalesce(nullif(regexp_replace(regexp_replace(lower(location), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'location') AS slug, CASE WHEN regexp_matches(location, '\\b(u\\s*/\\s*s|upstream)\\b', 'i') AND NOT regexp_matches(location, '\\b(d\\s*/\\s*s|downstream)\\b', 'i') THEN 'US' WHEN regexp_matches(location, '\\b(d\\s*/\\s*s|downstream)\\b', 'i') AND NOT regexp_matches(location, '\\b(u\\s*/\\s*s|upstream)\\b', 'i') THEN 'DS' ELSE '' END AS marker, list_aggregate(list_sort(list_distinct(regexp_extract_all(regexp_replace(regexp_replace(upper(location), '(^|[^A-Z0-9])\\d{1,3}\\.\\d+($|[^A-Z0-9])', '\\1 \\2', 'g'), '(^|[^A-Z0-9])\\d{1,3}\\.\\d+($|[^A-Z0-9])', '\\1 \\2', 'g'), '[A-Z0-9]+'))), 'string_agg', ' ') AS tokens FROM (SELECT label_id, CASE WHEN label_id % 3 = 0 THEN location || ' 30.97, 76.5' ELSE location END AS location FROM site_labels)")
 def label_words(spark: SparkSession, d: str) -> DataFrame:
     """C16 to C18."""
-    s = table(spark, d, "site_labels").where(~F.col("location").rlike(r"[0-9]\.[0-9]"))
+    # A third of the labels gets pasted coordinates.
+    s = table(spark, d, "site_labels").withColumn("location", F.when(F.col("label_id") % 3 == 0, F.concat("location", F.lit(" 30.97, 76.5"))).otherwise(F.col("location")))
     return s.select("label_id", X.slug(F.col("location")).alias("slug"), X.flow_marker(F.col("location")).alias("marker"), F.array_join(X.label_tokens(F.col("location")), " ").alias("tokens"))
 
 
@@ -212,22 +238,22 @@ def keys_and_numbers(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", X.short_number(F.col("p_retailprice")).alias("price"), X.scale_key(F.col("p_name"), {"boron b": "boron"}).alias("key"))
 
 
-@query(f"WITH s AS ({_STATIONS}) SELECT a.id AS a, b.id AS b, round({_d('a', 'b')}, 3) AS metres, round(sqrt(pow((b.lon - a.lon) * 111320.0 * cos(radians((a.lat + b.lat) / 2)), 2) + pow((b.lat - a.lat) * 111320.0, 2)), 3) AS flat_metres FROM s a JOIN s b ON b.id = a.id + 1")
+@query(f"WITH s AS ({_STATIONS}) SELECT a.id AS a, b.id AS b, round({_d('a', 'b')}, 3) AS metres, round(sqrt(pow((b.lon - a.lon) * 111320.0 * cos(radians((a.lat + b.lat) / 2)), 2) + pow((b.lat - a.lat) * 111320.0, 2)), 3) AS flat_metres FROM s a JOIN s b ON a.surface = b.surface AND a.id < b.id")
 def station_distances(spark: SparkSession, d: str) -> DataFrame:
-    """C24, C25 between neighbours by key."""
+    """C24, C25 between all stations of a surface."""
     s = _stations(spark, d)
-    b = s.select(F.col("id").alias("b"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
-    j = s.join(b, F.col("b") == F.col("id") + 1)
+    b = s.select("surface", F.col("id").alias("b"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
+    j = s.join(b, "surface").where("id < b")
     c = [F.col(x) for x in ("lat", "lon", "lat2", "lon2")]
     return j.select(F.col("id").alias("a"), "b", F.round(X.haversine_m(*c), 3).alias("metres"), F.round(X.flat_m(*c), 3).alias("flat_metres"))
 
 
-@query("SELECT row_number() OVER (ORDER BY part, key) AS sr_no, name FROM (SELECT 0 AS part, n_nationkey AS key, n_name AS name FROM nation UNION ALL SELECT 1, r_regionkey, r_name FROM region)")
+@query("SELECT row_number() OVER (ORDER BY part, key)::BIGINT AS sr_no, name, 'Both' AS location, unit FROM (SELECT 0 AS part, n_nationkey AS key, n_name AS name, NULL AS unit FROM nation UNION ALL SELECT 1, r_regionkey, r_name, 'mg/l' FROM region)")
 def concat_renumber(spark: SparkSession, d: str) -> DataFrame:
-    """UNION ALL with new numbers."""
-    a = table(spark, d, "nation").select(F.lit(0).alias("part"), F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"))
-    b = table(spark, d, "region").select(F.lit(1).alias("part"), F.col("r_regionkey").alias("key"), F.col("r_name").alias("name"))
-    return tables.with_row_id(a.unionByName(b).orderBy("part", "key"), "sr_no").select("sr_no", "name")
+    """UNION ALL of standard tables with new numbers, one station for all, columns by name."""
+    std = lambda t, k, n: table(spark, d, t).select((F.col(k) + 1).cast("long").alias("row_id"), (F.col(k) + 1).cast("long").alias("SrNo"), F.col(n).alias("Parameter"), F.lit("1").alias("Value"), F.lit("x").alias("Location"), F.lit("30").alias("Latitude"), F.lit("76").alias("Longitude"))
+    both = standardize.concat(std("nation", "n_nationkey", "n_name"), std("region", "r_regionkey", "r_name").withColumn("Unit", F.lit("mg/l")), station="Both")
+    return both.select(F.col("SrNo").alias("sr_no"), F.col("Parameter").alias("name"), F.col("Location").alias("location"), F.col("Unit").alias("unit"))
 
 
 @query(
@@ -243,20 +269,32 @@ def wide_to_long_intervals(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH p AS (SELECT location AS station, round(latitude, 6) AS lat, round(longitude, 6) AS lon, count(*) AS n, min(row_id) AS f FROM measurements WHERE latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180 AND location IS NOT NULL GROUP BY ALL),
+    f"""WITH m AS (SELECT row_id, location, latitude + CASE WHEN row_id % 1000 = 7 THEN 0.02 ELSE 0 END AS latitude, longitude FROM measurements), p AS (SELECT location AS station, round(latitude, 6) AS lat, round(longitude, 6) AS lon, count(*) AS n, min(row_id) AS f FROM m WHERE latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180 AND location IS NOT NULL GROUP BY ALL),
     s AS (SELECT a.station, max({_d('a', 'b')}) AS spread FROM p a JOIN p b USING (station) GROUP BY 1), u AS (SELECT station, count(*) AS positions, sum(n)::BIGINT AS n_rows, arg_min(lat, f) AS used_latitude, arg_min(lon, f) AS used_longitude FROM p GROUP BY 1)
     SELECT station, positions, n_rows, round(spread, 1) AS spread_m, used_latitude, used_longitude FROM u JOIN s USING (station) WHERE spread >= 500"""
 )
 def coordinate_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    """F6 over measurements."""
-    return stats.position_conflicts(table(spark, d, "measurements").where("location is not null"), "location", "latitude", "longitude", "row_id")
+    """F6 over measurements, every thousandth row of which is moved by two kilometres."""
+    m = table(spark, d, "measurements").where("location is not null").withColumn("latitude", F.col("latitude") + F.when(F.col("row_id") % 1000 == 7, 0.02).otherwise(0.0))
+    return stats.position_conflicts(m, "location", "latitude", "longitude", "row_id")
 
 
 def _label_rows(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "site_labels").select(F.col("label_id").alias("row_id"), F.upper("location").alias("location"), "latitude", "longitude")
 
 
-@query()
+_LABELS_SQL = r"""r AS (SELECT label_id, upper(location) AS location, latitude, longitude FROM site_labels),
+    l AS (SELECT location, median(latitude) AS lat, median(longitude) AS lon, min(label_id) AS first FROM r WHERE trim(location) <> '' AND latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180 GROUP BY 1),
+    t AS (SELECT *, list_distinct(regexp_extract_all(regexp_replace(regexp_replace(location, '(^|[^A-Z0-9])\d{1,3}\.\d+($|[^A-Z0-9])', '\1 \2', 'g'), '(^|[^A-Z0-9])\d{1,3}\.\d+($|[^A-Z0-9])', '\1 \2', 'g'), '[A-Z0-9]+')) AS tokens,
+          regexp_matches(location, '(^|[^A-Z0-9])\d{1,3}\.\d+($|[^A-Z0-9])') OR list_contains(['OF','INTO','AT','ON','FALLING','TO','AND','WITH','IN','NEAR','FROM'], regexp_extract(location, '[A-Z0-9]+')) AS fragment FROM l)""".replace("\\\\", "\\")
+
+
+@query(
+    f"""WITH {_LABELS_SQL}, p AS (SELECT a.location AS location_a, b.location AS location_b, sqrt(pow((b.lon - a.lon) * 111320.0 * cos(radians((a.lat + b.lat) / 2)), 2) + pow((b.lat - a.lat) * 111320.0, 2)) AS m,
+        CASE WHEN len(a.tokens) <= len(b.tokens) THEN a.tokens ELSE b.tokens END AS s, CASE WHEN len(a.tokens) <= len(b.tokens) THEN b.tokens ELSE a.tokens END AS g, CASE WHEN len(a.tokens) <= len(b.tokens) THEN a.fragment ELSE b.fragment END AS piece
+        FROM t a JOIN t b ON a.first < b.first AND abs(a.lat - b.lat) < 0.02 AND abs(a.lon - b.lon) < 0.05), x AS (SELECT *, list_filter(g, lambda w: NOT list_contains(s, w)) AS more FROM p)
+    SELECT location_a, location_b, round(m, 3) AS metres FROM x WHERE len(s) >= 2 AND list_has_all(g, s) AND len(more) <= 3 AND (piece OR NOT list_has_any(more, {identity.SITE_WORDS!r})) AND (m <= 150 OR (m <= 1000 AND len(s) >= 3))"""
+)
 def label_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Sub-labels near each other."""
     return identity.candidate_pairs(identity.labels(_label_rows(spark, d)))
@@ -308,14 +346,15 @@ def choose_reach(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH s AS ({_STATIONS}), x AS (SELECT surface, min(lat) AS a, max(lat) AS b, min(lon) AS c, max(lon) AS e FROM s GROUP BY 1),
-    b AS (SELECT surface, round(greatest(a - greatest((b - a) * 0.08, 0.01), -90), 6) AS min_lat, round(least(b + greatest((b - a) * 0.08, 0.01), 90), 6) AS max_lat, round(greatest(c - greatest((e - c) * 0.08, 0.01), -180), 6) AS min_lon, round(least(e + greatest((e - c) * 0.08, 0.01), 180), 6) AS max_lon FROM x),
-    g AS (SELECT surface, i AS "row", j AS col, max_lat - i * (max_lat - min_lat) / 15 AS lat, min_lon + j * (max_lon - min_lon) / 15 AS lon FROM b, range(16) t(i), range(16) u(j)),
+    w AS (SELECT surface, CASE WHEN b - a < 0.01 THEN (a + b) / 2 - 0.005 ELSE a END AS a, CASE WHEN b - a < 0.01 THEN (a + b) / 2 + 0.005 ELSE b END AS b, CASE WHEN e - c < 0.01 THEN (c + e) / 2 - 0.005 ELSE c END AS c, CASE WHEN e - c < 0.01 THEN (c + e) / 2 + 0.005 ELSE e END AS e FROM x),
+    b AS (SELECT surface, round(greatest(a - (b - a) * 0.08, -90), 6) AS min_lat, round(least(b + (b - a) * 0.08, 90), 6) AS max_lat, round(greatest(c - (e - c) * 0.08, -180), 6) AS min_lon, round(least(e + (e - c) * 0.08, 180), 6) AS max_lon FROM w),
+    g AS (SELECT surface, i AS "row", j AS col, max_lat - i * (max_lat - min_lat) / 191 AS lat, min_lon + j * (max_lon - min_lon) / 191 AS lon FROM b, range(192) t(i), range(192) u(j)),
     p AS (SELECT g.surface, g."row", g.col, s.id, s.value, {_d('g', 's')} AS d FROM g JOIN s USING (surface))
     SELECT surface, "row"::INT AS "row", col::INT AS col, round(CASE WHEN min(d) < 1 THEN arg_min(value, (d, id)) ELSE sum(value / pow(greatest(d, 1.0) / 1000, 2)) / sum(1 / pow(greatest(d, 1.0) / 1000, 2)) END, 4) AS estimate, round(min(d), 1) AS nearest_m FROM p GROUP BY ALL"""
 )
 def grid_idw(spark: SparkSession, d: str) -> DataFrame:
-    """The grid of every surface, here 16 by 16."""
-    return interpolate.grid(_stations(spark, d), 16)
+    """The grid of every surface."""
+    return interpolate.grid(_stations(spark, d))
 
 
 @query()
@@ -419,7 +458,12 @@ def status_counts(spark: SparkSession, d: str) -> DataFrame:
     return scale_status(spark, d).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(
+    f"""WITH s AS ({_STATIONS}), v AS (SELECT surface, id, lat, lon, 'upper' AS bound, value + 10 AS value FROM s UNION ALL SELECT surface, id, lat, lon, 'lower', value FROM s WHERE id % 3 <> 0),
+    p AS (SELECT a.surface, a.bound, a.id, b.id AS bid, b.value, {_d('a', 'b')} AS d FROM v a JOIN v b ON a.surface = b.surface AND a.bound = b.bound AND a.id <> b.id),
+    e AS (SELECT surface, bound, id, CASE WHEN min(d) < 1 THEN arg_min(value, (d, bid)) ELSE sum(value / pow(greatest(d, 1.0) / 1000, 2)) / sum(1 / pow(greatest(d, 1.0) / 1000, 2)) END AS estimate, max(exp(-3 * d / 60000)) AS confidence FROM p WHERE d <= 60000 GROUP BY ALL)
+    SELECT 'all_years' AS period, v.surface::VARCHAR AS family, v.bound, v.id, v.value, round(e.estimate, 4) AS estimate, round(e.confidence, 4) AS confidence FROM v LEFT JOIN e USING (surface, bound, id)"""
+)
 def bounds_surfaces(spark: SparkSession, d: str) -> DataFrame:
     """Leave-one-out runs of both bounds."""
     s = _stations(spark, d)
@@ -427,7 +471,7 @@ def bounds_surfaces(spark: SparkSession, d: str) -> DataFrame:
     return interpolate.surfaces(v, 60.0).select("period", "family", "bound", "id", "value", F.round("estimate", 4).alias("estimate"), F.round("confidence", 4).alias("confidence"))
 
 
-@query()
+@query("SELECT n_nationkey::BIGINT AS line_id, n_nationkey::BIGINT AS channel FROM nation")
 def line_channels(spark: SparkSession, d: str) -> DataFrame:
     """K5: touching lines of one name."""
     return channels.channels(_lines(spark, d))
@@ -464,15 +508,47 @@ def latest_samples(spark: SparkSession, d: str) -> DataFrame:
     return screening.latest(e).select("station", "event_id")
 
 
-@query()
+_KINDS = ["pH", "Turbidity", "DO", "BOD", "Chloride", "NO3-N", "Faecal Coliform", "T-Coliform (max)", "pH (min)"]
+_KNOWN = "coalesce(ph, ph_min) AS p, tu, dox, bod, cl, fc, tc"
+
+
+def _reason(text: str, value: str) -> str:
+    a, b = text.split("{}")
+    return f"'{a}' || CASE WHEN {value} = floor({value}) THEN {value}::BIGINT::VARCHAR ELSE {value}::VARCHAR END || '{b}'"
+
+
+def _use_sql(use: str, core: list[tuple[str, str]], extended: list[tuple[str, str]], known: str) -> str:
+    texts = lambda rules: "concat_ws('; ', " + ", ".join(f"CASE WHEN {c} THEN {t} END" for c, t in rules) + ")" if rules else "''"
+    return f"SELECT station, sample, '{use}' AS use_case, {texts(core)} AS core_reasons, {texts(extended)} AS extended_reasons, {known} AS known FROM k"
+
+
+@query(
+    "WITH e AS (SELECT user_id AS station, strftime(ts, '%Y%m%d') AS sample, event_id, event_id % 9 AS kind, floor(value % 12 * 4) / 4 AS v FROM events), s AS (SELECT station, sample, "
+    + ", ".join(f"arg_min(v, event_id) FILTER (kind = {k} AND v IS NOT NULL) AS {n}" for k, n in enumerate(["ph", "tu", "dox", "bod", "cl", "no3", "fc", "tc", "ph_min"]))
+    + f" FROM e GROUP BY ALL), k AS (SELECT station, sample, {_KNOWN} FROM s), j AS ("
+    + " UNION ALL ".join([
+        _use_sql("human_consumption", [("p < 6.5 OR p > 8.5", _reason("pH {} outside 6.5-8.5", "p")), ("tu > 1", _reason("Turbidity {} NTU exceeds 1 NTU", "tu")), ("tc > 0", _reason("Total coliform {} MPN/100mL should be 0", "tc"))], [("cl > 250", _reason("Chloride {} mg/L exceeds 250 mg/L desirable limit", "cl"))], "coalesce(p, tu, tc) IS NOT NULL"),
+        _use_sql("agriculture", [("p < 6 OR p > 8.5", _reason("pH {} outside 6.0-8.5", "p"))], [("cl > 140", _reason("Chloride {} mg/L may be restrictive for chloride-sensitive crops", "cl"))], "p IS NOT NULL"),
+        _use_sql("aquatic_life", [("p < 6.5 OR p > 8.5", _reason("pH {} outside 6.5-8.5", "p")), ("dox < 4", _reason("DO {} mg/L below 4.0 mg/L", "dox"))], [("bod > 3", _reason("BOD {} mg/L exceeds 3.0 mg/L", "bod")), ("tu > 25", _reason("Turbidity {} NTU is high for healthy stream habitat", "tu"))], "coalesce(p, dox) IS NOT NULL"),
+        _use_sql("bathing", [("p < 6.5 OR p > 8.5", _reason("pH {} outside 6.5-8.5", "p")), ("dox < 5", _reason("DO {} mg/L below 5.0 mg/L", "dox")), ("bod > 3", _reason("BOD {} mg/L exceeds 3.0 mg/L", "bod")), ("fc > 0", _reason("Fecal coliform {} MPN/100mL should be 0", "fc")), ("fc IS NULL AND tc > 0", _reason("Total coliform {} MPN/100mL should be 0", "tc"))], [("tu > 10", _reason("Turbidity {} NTU is high for safe/pleasant bathing", "tu"))], "coalesce(p, dox, bod, fc, tc) IS NOT NULL"),
+    ])
+    + ") SELECT station, sample, use_case, CASE WHEN NOT known THEN 'unknown' WHEN core_reasons <> '' THEN 'unsafe' WHEN extended_reasons <> '' THEN 'caution' ELSE 'safe' END AS status, core_reasons, extended_reasons FROM j"
+)
 def screened_samples(spark: SparkSession, d: str) -> DataFrame:
-    """Every sample under every use."""
-    kinds = ["pH", "Turbidity", "DO", "BOD", "Chloride", "NO3-N", "Faecal Coliform"]
+    """Every sample under every use, plain readings before max before min."""
     e = table(spark, d, "events")
-    p = F.element_at(F.array(*map(F.lit, kinds)), (F.pmod(F.xxhash64("event_type", "event_id"), F.lit(len(kinds))) + 1).cast("int"))
-    r = e.select(F.col("user_id").alias("station"), F.date_format("ts", "yyyyMMdd").alias("sample"), F.lit("f").alias("file_name"), F.col("event_id").alias("row_id"), p.alias("parameter"), (F.col("value") % 12).alias("numeric_value"))
-    s = screening.screen(r)
-    return s.select("station", "sample", "use_case", "status", *(F.array_join(c, "; ").alias(c) for c in ("core_reasons", "extended_reasons", "confirmed", "proxy")))
+    p = F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("event_id") % 9 + 1).cast("int"))
+    r = e.select(F.col("user_id").alias("station"), F.date_format("ts", "yyyyMMdd").alias("sample"), F.lit("f").alias("file_name"), F.col("event_id").alias("row_id"), p.alias("parameter"), (F.floor(F.col("value") % 12 * 4) / 4).alias("numeric_value"))
+    return screening.screen(r).select("station", "sample", "use_case", "status", *(F.array_join(c, "; ").alias(c) for c in ("core_reasons", "extended_reasons")))
+
+
+@query()
+def screened_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Each station's latest sample with its coverage."""
+    e = table(spark, d, "events")
+    p = F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("event_id") % 9 + 1).cast("int"))
+    r = e.select(F.col("user_id").alias("station"), F.lit("f").alias("file_name"), F.date_format("ts", "yyyyMMdd").cast("int").alias("sort_key"), F.year("ts").alias("year"), F.month("ts").alias("month_index"), F.col("event_id").alias("row_id"), p.alias("parameter"), (F.col("value") % 12).alias("numeric_value"))
+    return screening.screen_stations(r, "bathing", 2024, 1).select("station", "sort_key", "status", "label", *(F.array_join(c, "; ").alias(c) for c in ("reasons", "confirmed", "proxy", "missing")))
 
 
 @query("SELECT event_id, CASE WHEN value IS NULL THEN 'unknown' WHEN event_type = 'click' THEN CASE WHEN value BETWEEN 6.5 AND 8.5 THEN 'safe' ELSE 'unsafe' END WHEN value <= 50 THEN 'safe' ELSE 'unsafe' END AS status FROM events")
@@ -553,3 +629,135 @@ def streamed_daily_stats(spark: SparkSession, d: str) -> DataFrame:
     run = streaming.windowed_stats(stream, "ts", "event_type", "value").writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.table(name).select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n", *(F.round(c, 6).alias(c) for c in ("mean", "min", "max")))
+
+
+@query("SELECT least(400, count(*)) AS loaded_rows, count(*) AS total_rows, greatest(count(*) - 400, 0) AS remaining_rows, count(*) > 400 AS has_more FROM measurements")
+def row_counts(spark: SparkSession, d: str) -> DataFrame:
+    """A3: loaded, total and remaining rows of a limited scan."""
+    return tables.row_counts(table(spark, d, "measurements").select("row_id"), tables.DEFAULT_ROWS)
+
+
+@query("SELECT location, latitude, longitude, round(avg(CASE WHEN regexp_matches(trim(value), " + _NUM + ") THEN TRY_CAST(trim(value) AS DOUBLE) END) + 1e-9, 4) AS mean FROM measurements WHERE regexp_matches(trim(value), " + _NUM + ") GROUP BY ALL")
+def popup_means(spark: SparkSession, d: str) -> DataFrame:
+    """the mean of every station at its positions."""
+    m = table(spark, d, "measurements").withColumn("v", X.frame_number(F.col("value")))
+    return stats.popup_means(m, "location", "latitude", "longitude", "v", 14).withColumn("mean", F.round(F.col("mean") + 1e-9, 4))
+
+
+@query(
+    """WITH m AS (SELECT location AS station, row_id, latitude, longitude, trim(coalesce(data_source, '')) AS body FROM measurements WHERE trim(coalesce(location, '')) <> ''),
+    p AS (SELECT station, arg_min({'a': latitude, 'b': longitude}, row_id) AS p FROM m WHERE latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180 GROUP BY 1),
+    n AS (SELECT station, body, count(*) AS n FROM m WHERE body <> '' GROUP BY ALL), t AS (SELECT station, arg_min(body, (-n, body)) AS body FROM n GROUP BY 1)
+    SELECT s.station, p.p.a AS latitude, p.p.b AS longitude, coalesce(t.body, '') AS water_body FROM (SELECT DISTINCT station FROM m) s LEFT JOIN p USING (station) LEFT JOIN t USING (station)"""
+)
+def station_table(spark: SparkSession, d: str) -> DataFrame:
+    """One row a station: first valid position and most frequent water body (here the data source)."""
+    return stats.station_table(table(spark, d, "measurements"), "location", "latitude", "longitude", "row_id", "data_source").drop("parsed")
+
+
+@query("WITH s AS (SELECT s_name AS station, CASE WHEN s_suppkey % 9 = 0 THEN NULL ELSE floor(s_acctbal / 500) END AS elevation FROM supplier) SELECT station, elevation, row_number() OVER (ORDER BY elevation DESC, station) AS rank FROM s WHERE elevation IS NOT NULL UNION ALL SELECT station, NULL, NULL FROM s WHERE elevation IS NULL")
+def elevation_rank(spark: SparkSession, d: str) -> DataFrame:
+    """Stations from the highest down."""
+    s = table(spark, d, "supplier").select(F.col("s_name").alias("station"), F.when(F.col("s_suppkey") % 9 != 0, F.floor(F.col("s_acctbal") / 500).cast("double")).alias("elevation"))
+    return stats.elevation_ranks(s)
+
+
+@query(
+    f"""WITH s AS ({_STATIONS}), c AS (SELECT surface, avg(lon) AS cx, avg(lat) AS cy FROM s GROUP BY 1),
+    w AS (SELECT s.surface AS channel, s.id AS node, row_number() OVER (PARTITION BY s.surface ORDER BY round(sqrt(pow((cx - lon) * 111320.0 * cos(radians((lat + cy) / 2)), 2) + pow((cy - lat) * 111320.0, 2)), 3) DESC, s.id) AS n FROM s JOIN c USING (surface))
+    SELECT channel, node FROM w WHERE n <= 6"""
+)
+def far_ends(spark: SparkSession, d: str) -> DataFrame:
+    """H3: the six ends of each channel farthest from their centre."""
+    return network.far_ends(_stations(spark, d).select(F.col("surface").alias("channel"), F.col("id").alias("node"), F.col("lon").alias("x"), F.col("lat").alias("y")))
+
+
+_BASE_SQL = "array_to_string(list_filter(regexp_extract_all(lower({c}), '[a-z]+'), lambda w: NOT list_contains({t}, w)), ' ')"
+
+
+def _base(c: str) -> str:
+    return _BASE_SQL.format(c=c, t=[w.lower() for w in names.TYPE_WORDS])
+
+
+@query(
+    f"""WITH r AS (SELECT trim(alias) AS alias, trim(name) AS name, row_number() OVER () AS at FROM water_body_aliases WHERE trim(alias) <> '' AND trim(name) <> ''),
+    k AS (SELECT base, min(name) AS name FROM (SELECT {_base('alias')} AS base, name FROM r UNION SELECT {_base('name')}, name FROM r) GROUP BY 1 HAVING count(DISTINCT name) = 1),
+    e AS (SELECT entry_id, location, {_base('location')} AS base FROM field_entries) SELECT entry_id, coalesce(k.name, location) AS name FROM e LEFT JOIN k USING (base)"""
+)
+def canonical_entries(spark: SparkSession, d: str) -> DataFrame:
+    """E5, C20: typed names replaced by the preferred name of their base, where a base has just one."""
+    a = table(spark, d, "water_body_aliases")
+    pairs = a.where("trim(alias) <> '' and trim(name) <> ''").select(F.inline(F.array(F.struct(names.name_base("alias").alias("base"), F.trim("name").alias("name")), F.struct(names.name_base("name").alias("base"), F.trim("name").alias("name")))))
+    one = pairs.groupBy("base").agg(F.min("name").alias("name"), F.max("name").alias("last")).where("name = last").select("base", "name")
+    return names.canonical_names(table(spark, d, "field_entries").select("entry_id", F.col("location").alias("name")), "name", one)
+
+
+@query("SELECT event_id, user_id AS location_group, event_type AS parameter FROM events ORDER BY user_id, event_type, ts::DATE, event_id LIMIT 50")
+def records_head(spark: SparkSession, d: str) -> DataFrame:
+    """H1, H2: the first fifty records in their order (a top-k report)."""
+    e = table(spark, d, "events").select("event_id", F.col("user_id").alias("location_group"), F.col("event_type").alias("parameter"), F.to_date("ts").alias("sort_key"), F.lit("f").alias("file_name"), F.col("event_id").alias("row_id"))
+    return stats.records_in_order(e).limit(50).select("event_id", "location_group", "parameter")
+
+
+@query(
+    """WITH r AS (SELECT event_id AS row_id, user_id AS location, event_type AS parameter, ts::DATE AS day, value FROM events WHERE value IS NOT NULL), w AS (SELECT l_shipdate::DATE - 1 AS d, l_quantity AS v, l_suppkey AS place FROM lineitem),
+    b AS (SELECT location, day, arg_min(value, row_id) AS rain FROM r WHERE parameter = 'click' GROUP BY ALL)
+    SELECT r.row_id, r.location, r.day AS date_start, round(b.rain, 6) AS rain FROM r LEFT JOIN b USING (location, day) WHERE parameter <> 'click'"""
+)
+def trend_with_rain(spark: SparkSession, d: str) -> DataFrame:
+    """Points of a trend with the rain of their period, from the table's own rain rows (here: clicks)."""
+    e = table(spark, d, "events").where("value is not null").select(F.col("event_id").alias("row_id"), F.col("user_id").alias("location"), F.when(F.col("event_type") == "click", "Daily rainfall").otherwise(F.col("event_type")).alias("parameter"), F.to_date("ts").alias("date_start"), F.to_date("ts").alias("date_end"), F.col("value").alias("numeric_value"))
+    p = series.with_rain(e.where("parameter <> 'Daily rainfall'"), series.rain_bars(e))
+    return p.select("row_id", "location", "date_start", F.round("rain", 6).alias("rain"))
+
+
+@query(
+    """WITH s AS (SELECT event_id, value, event_id % 4 AS k FROM events), d AS (SELECT *, CASE k WHEN 0 THEN 'range' WHEN 1 THEN 'max' WHEN 2 THEN 'min' ELSE 'max' END AS kind, CASE k WHEN 0 THEN 6.5 WHEN 2 THEN 4.0 END AS lo, CASE k WHEN 0 THEN 8.5 WHEN 1 THEN 25.0 WHEN 3 THEN 2.0 END AS hi, CASE k WHEN 3 THEN 4.0 END AS f FROM s)
+    SELECT event_id, round(CASE WHEN f IS NOT NULL THEN 0.0 WHEN kind = 'range' THEN greatest(0.0, least(lo - greatest((hi - lo) * 0.75, 1.0), value - greatest((hi - lo) * 0.75, 1.0) * 0.25)) ELSE 0.0 END, 6) AS axis_low,
+           round(CASE WHEN f IS NOT NULL THEN greatest(f, value) WHEN kind = 'range' THEN greatest(hi + greatest((hi - lo) * 0.75, 1.0), value + greatest((hi - lo) * 0.75, 1.0) * 0.25) ELSE greatest(coalesce(hi, lo) * 1.6, coalesce(value * 1.15, 0.0), coalesce(hi, lo) + 1) END, 6) AS axis_high FROM d"""
+)
+def scale_axes(spark: SparkSession, d: str) -> DataFrame:
+    """The axis of each value's scale."""
+    k = (F.col("event_id") % 4 + 1).cast("int")
+    of = lambda *v: F.element_at(F.array(*(F.lit(x).cast("string" if isinstance(v[0], str) else "double") for x in v)), k)
+    a = X.axis_end(of("range", "max", "min", "max"), of(None, None, None, 0.0).cast("double"), of(None, None, None, 4.0).cast("double"), of(6.5, None, 4.0, None), of(8.5, 25.0, None, 2.0), F.col("value"))
+    return table(spark, d, "events").select("event_id", a.alias("a")).select("event_id", F.round("a.low", 6).alias("axis_low"), F.round("a.high", 6).alias("axis_high"))
+
+
+@query()
+def map_colors(spark: SparkSession, d: str) -> DataFrame:
+    """Values with their position and colour on the ramp, and as displayed."""
+    s = _stations(spark, d).withColumn("v", F.col("value") + 1000)
+    ends = s.groupBy("surface").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    p = s.join(ends, "surface").withColumn("position", X.ramp_position(F.col("v"), F.col("low"), F.col("high")))
+    return p.select("id", F.round("position", 6).alias("position"), F.array_join(X.ramp_color(F.col("position")), ",").alias("color"), X.compact_number(F.col("v")).alias("shown"))
+
+
+@query()
+def utm_positions(spark: SparkSession, d: str) -> DataFrame:
+    """K1: stations in metres of their zone, and back."""
+    s = _stations(spark, d).withColumn("zone", utm.zone(F.col("lon")))
+    s = s.withColumn("m", utm.to_utm(F.col("lat"), F.col("lon"), F.col("zone")))
+    back = utm.from_utm(F.col("m.x"), F.col("m.y"), F.col("zone"), F.lit(False))
+    return s.select("id", "zone", F.round("m.x", 3).alias("x"), F.round("m.y", 3).alias("y"), F.round(back["lat"], 9).alias("lat"), F.round(back["lon"], 9).alias("lon"))
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    s = _stations(spark, d)
+    k = F.col("id")
+    years = s.withColumn("year", F.explode(F.array(F.lit(2023), F.lit(2024))))
+    return years.select((k * 10 + F.col("year") % 10).alias("row_id"), k.alias("station"), F.concat(F.lit("P"), F.col("surface").cast("string")).alias("family"), F.when(k % 5 == 0, "max").otherwise("").alias("variant"), F.lit("mg/l").alias("unit"), "year", (F.col("value") + F.col("year") - 2023).alias("value"), F.col("lat").alias("latitude"), F.col("lon").alias("longitude"))
+
+
+@query()
+def surfaces_auto(spark: SparkSession, d: str) -> DataFrame:
+    """All surfaces of all years and of every year, limit chosen, without a network."""
+    s = surfaces.interpolate_all(_records(spark, d), None, reason="no line table", size=48)
+    return s.cells.select("period", "family", "row", "col", "lower", "upper", "confidence")
+
+
+@query()
+def surfaces_summary(spark: SparkSession, d: str) -> DataFrame:
+    """What the surfaces are."""
+    s = surfaces.summary(surfaces.interpolate_all(_records(spark, d), None, max_distance_km=40.0, size=16))
+    return s.withColumns({c: F.array_join(c, ", ") for c in ("parameters", "methods", "warnings")})

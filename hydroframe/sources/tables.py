@@ -63,7 +63,7 @@ def sniff_separator(head: str) -> str:
         return max(SEPARATORS, key=first.count) if any(s in first for s in SEPARATORS) else ","
 
 
-def has_broken_cells(spark: SparkSession, path: str) -> bool:
+def has_broken_cells(spark: SparkSession, path: str | list[str]) -> bool:
     """Whether a quoted cell holds a line break: a line with an odd number of quotes (one pass over splits)."""
     quotes = F.length("value") - F.length(F.translate("value", '"', ""))
     return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
@@ -88,6 +88,13 @@ def read_measurements(spark: SparkSession, path: str, rows: int | str = DEFAULT_
     return df if limit is None else df.where(F.col("row_id") <= limit)
 
 
+def row_counts(rows_read: DataFrame, limit: int | None) -> DataFrame:
+    """(loaded_rows, total_rows, remaining_rows, has_more) of a scan that takes the first `limit` rows."""
+    total = F.count(F.lit(1))
+    loaded = total if limit is None else F.least(total, F.lit(limit).cast("long"))
+    return rows_read.agg(loaded.alias("loaded_rows"), total.alias("total_rows")).select("*", (F.col("total_rows") - F.col("loaded_rows")).alias("remaining_rows"), (F.col("total_rows") > F.col("loaded_rows")).alias("has_more"))
+
+
 def read_upload(spark: SparkSession, path: str) -> DataFrame:
     """A table in CSV, TSV, text, JSON or Excel form, as text columns; at least two columns, no binary content."""
     kind = os.path.splitext(path)[1].lower()
@@ -119,17 +126,26 @@ def from_dataframe(df: DataFrame) -> DataFrame:
 
 
 def read_folder(spark: SparkSession, folder: str, leave_out: Sequence[str] = ()) -> DataFrame:
-    """All CSV files of a folder, in the order of their names, by name; columns absent from a file are null."""
-    parts = []
-    for p in sorted(Path(folder).glob("*.csv")):
-        if p.name not in leave_out:
-            parts.append(read_delimited(spark, str(p)).withColumn("file_name", F.lit(p.name)))
-    if not parts:
+    """All CSV files of a folder, in the order of their names and lines, by column name; columns absent from a file are
+    null. Files with the same header are one scan, whatever their number."""
+    names = sorted(p.name for p in Path(folder).glob("*.csv") if p.name not in leave_out)
+    if not names:
         raise ValueError("the folder has no CSV file")
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for name in names:
+        with open(Path(folder) / name, encoding="utf-8-sig", newline="") as f:
+            by_header.setdefault(tuple(next(csv.reader(f), [])), []).append(str(Path(folder) / name))
+    parts = []
+    for paths in by_header.values():
+        raw = spark.read.csv(paths, header=True, inferSchema=False, multiLine=has_broken_cells(spark, paths), escape='"', encoding="UTF-8")
+        columns = spark.range(1).select(*(X.clean(F.lit(c)).alias(f"c{i}") for i, c in enumerate(raw.columns))).first()
+        at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+        plain = raw.select(F.col("_metadata.file_name").alias("file_name"), at.alias("_at"), *(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(raw.columns)))
+        parts.append(plain.select("file_name", "_at", *(X.clean(F.col(f"_c{i}")).alias(n) for i, n in enumerate(columns))))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
-    return out
+    return out.orderBy("file_name", "_at").drop("_at")
 
 
 def wide_to_long(df: DataFrame) -> DataFrame:
@@ -219,6 +235,14 @@ def to_csv_text(df: DataFrame, limit: int = 100_000) -> str:
     return out.getvalue()
 
 
+def consolidate(spark: SparkSession, folder: str, known_locations: dict[str, str] | None = None, leave_out: Sequence[str] = ()) -> DataFrame:
+    """All CSV files of a folder as one validated standard table, numbered anew in the order of files and lines."""
+    from hydroframe.operators.standardize import standardize, validate
+
+    rows = with_row_id(read_folder(spark, folder, leave_out))
+    return validate(renumbered(standardize(rows, known_locations=known_locations)))
+
+
 def write_json(df: DataFrame, path: str) -> None:
     """One JSON object a line."""
     df.write.mode("overwrite").json(path)
