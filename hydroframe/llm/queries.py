@@ -24,8 +24,13 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_points(spark: SparkSession, d: str) -> DataFrame:
-    """The monitoring point of every label."""
-    return variants.points(table(spark, d, "site_labels"))
+    """The monitoring point of every label, and its number of links."""
+    return variants.points_with_links(table(spark, d, "site_labels"))
+
+
+def p5_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """Entries whose water body is not on the list."""
+    return canonical.unmatched(table(spark, d, "field_entries"), table(spark, d, "water_body_aliases"))
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -58,4 +63,4 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return abuse.rates(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p5_found, p7_found, p7_points, p8_ids, p9_found, p9_spans, p10_found, p10_scores, p10_rates)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p5_found, p5_unmatched, p7_found, p7_points, p8_ids, p9_found, p9_spans, p10_found, p10_scores, p10_rates)}

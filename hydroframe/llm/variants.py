@@ -40,8 +40,6 @@ FAR_RATIO, RATIO = 0.9, 0.74
 FAR = 0.02
 #: Labels of a point from which its pairs are formed in several parts.
 SPLIT = 1_000
-#: Rounds of minimum propagation, at most.
-ROUNDS = 30
 
 # Kinds of structure, as typed.
 STRUCTURES = {
@@ -231,19 +229,18 @@ def _verify(pairs: DataFrame) -> DataFrame:
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(rep, point): the least representative that each reaches; checkpointed every round."""
+    """(rep, point): the least representative that each reaches; checkpointed every round, until nothing changes."""
     both = cut(links.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).union(links.select("rep_b", "rep_a")).distinct())
     state = cut(nodes.select("rep", F.col("rep").alias("point")))
-    for _ in range(ROUNDS):
+    while True:
         offer = both.join(state, both["b"] == state["rep"]).groupBy("a").agg(F.min("point").alias("offered"))
         new = state.join(offer, state["rep"] == offer["a"], "left").select("rep", "point", F.least("point", F.coalesce("offered", "point")).alias("new"))
         hop = new.select(F.col("rep").alias("via"), F.col("new").alias("hopped"))
         new = new.join(hop, new["new"] == hop["via"], "left").select("rep", "point", F.least("new", "hopped").alias("new"))
         new = cut(new)
         if new.where("new <> point").isEmpty():
-            break
+            return state
         state = new.select("rep", F.col("new").alias("point"))
-    return state
 
 
 def points(labels: DataFrame) -> DataFrame:
@@ -267,6 +264,14 @@ def points(labels: DataFrame) -> DataFrame:
     return of.select("label_id", F.coalesce("point", "label_id").alias("point"))
 
 
+def points_with_links(labels: DataFrame) -> DataFrame:
+    """(label_id, point, n_links): the point of every label, and how many other labels it has there. Grows in proportion
+    to the labels, however many a point has."""
+    p = cut(points(labels))
+    sizes = p.groupBy("point").agg((F.count(F.lit(1)) - 1).alias("n_links"))
+    return p.join(sizes, "point").select("label_id", "point", "n_links")
+
+
 def pairs(labels: DataFrame) -> DataFrame:
     """(label_id_a, label_id_b) of every two labels of one point, the lesser first."""
     p = points(labels)

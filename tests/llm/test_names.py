@@ -135,3 +135,13 @@ def test_names_of_many_words(spark):
     df = spark.createDataFrame(list(enumerate(typed)), "entry_id long, location string")
     got = {r.entry_id: r.name for r in canonical.map_names(df, aliases).collect()}
     assert got == {0: "Patiala Ki Rao", 1: "Patiala Ki Rao", 2: "Patiala Ki Rao", 3: "Great Upper Old Mill Stream", 4: "", 5: ""}
+
+
+def test_long_chains_of_variants(spark):
+    """Components are followed to their ends, whatever their length, and links are counted."""
+    nodes = spark.createDataFrame([(i,) for i in range(200)], "rep long")
+    links = spark.createDataFrame([(i, i + 1) for i in range(149)], "rep_a long, rep_b long")
+    got = {r.rep: r.point for r in variants.components(nodes, links).collect()}
+    assert {got[i] for i in range(150)} == {0} and got[199] == 199
+    df = spark.createDataFrame([(1, "Shutura River - Jehinewick Bridge"), (2, "Brdg Jehinewick, Shutura"), (3, "Other River - Elsewick Weir")], "label_id long, location string").selectExpr("*", "24.0D AS latitude", "61.0D AS longitude")
+    assert {r.label_id: (r.point, r.n_links) for r in variants.points_with_links(df).collect()} == {1: (1, 1), 2: (1, 1), 3: (3, 0)}
