@@ -36,6 +36,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+_BASE_SQL = "array_to_string(list_filter(regexp_extract_all(lower({c}), '[a-z]+'), lambda w: NOT list_contains({t}, w)), ' ')"
+
+
+def _base(c: str) -> str:
+    return _BASE_SQL.format(c=c, t=[w.lower() for w in names.TYPE_WORDS])
+
+
 # Measurements made of line items.
 def _items(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select(
@@ -409,7 +416,17 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "nation").select(k.cast("long").alias("line_id"), F.concat(F.initcap("n_name"), F.lit(" Drain")).alias("name"), F.array(*(p(F.lit(i)) for i in range(4))).alias("pts"))
 
 
-@query()
+@query(
+    f"""WITH s AS (SELECT x.id AS station, x.lat, x.lon, CASE WHEN x.id % 2 = 0 THEN {_base('n_name')} ELSE '' END AS own FROM ({_STATIONS}) x JOIN nation ON n_nationkey = x.surface),
+    g AS (SELECT n_nationkey AS line_id, {_base('n_name')} AS name, i, 76 + n_nationkey % 5 / 5 + i * 0.05 AS x1, 30 + floor(n_nationkey / 5) / 5 + i * 0.01 AS y1, 76 + n_nationkey % 5 / 5 + (i + 1) * 0.05 AS x2, 30 + floor(n_nationkey / 5) / 5 + (i + 1) * 0.01 AS y2 FROM nation, range(3) t(i)),
+    h AS (SELECT *, sqrt(pow((x2 - x1) * 111320.0 * cos(radians((y1 + y2) / 2)), 2) + pow((y2 - y1) * 111320.0, 2)) AS length FROM g), b AS (SELECT *, coalesce(sum(length) OVER (PARTITION BY line_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM h),
+    p AS (SELECT station, line_id, own, name, lat, lon, x1, y1, x2, y2, length, before, i, greatest(0.0, least(1.0, ((lon - x1) * cos(radians(lat)) * (x2 - x1) * cos(radians(lat)) + (lat - y1) * (y2 - y1)) / (pow((x2 - x1) * cos(radians(lat)), 2) + pow(y2 - y1, 2)))) AS t FROM s JOIN b ON abs(lat - y1) < 0.3 AND abs(lon - x1) < 0.4),
+    m AS (SELECT *, sqrt(pow((x1 + t * (x2 - x1) - lon) * 111320.0 * cos(radians((lat + y1 + t * (y2 - y1)) / 2)), 2) + pow((y1 + t * (y2 - y1) - lat) * 111320.0, 2)) AS metres FROM p),
+    l AS (SELECT station, line_id, own, name, min(metres) AS metres, arg_min(before + t * length, metres) AS along FROM m WHERE metres <= 15000 GROUP BY ALL),
+    r AS (SELECT *, CASE WHEN own <> '' AND own = name AND metres <= 2000 THEN 0 WHEN own <> '' AND own = name THEN 1 WHEN metres <= 2000 THEN 2 END AS grade FROM l),
+    w AS (SELECT *, row_number() OVER (PARTITION BY station ORDER BY grade, metres, line_id) AS n FROM r WHERE grade IS NOT NULL)
+    SELECT s.station, line_id::BIGINT AS line_id, round(metres, 1) AS metres, round(along, 1) AS along, CASE grade WHEN 0 THEN 'name' WHEN 1 THEN 'name, far' WHEN 2 THEN 'nearest' ELSE 'none' END AS method FROM s LEFT JOIN (SELECT * FROM w WHERE n = 1) w USING (station)"""
+)
 def station_channel_match(spark: SparkSession, d: str) -> DataFrame:
     """Stations on lines by name, then by distance."""
     s = _stations(spark, d).join(table(spark, d, "nation").select(F.col("n_nationkey").alias("surface"), "n_name"), "surface").select(F.col("id").alias("station"), F.when(F.col("id") % 2 == 0, F.concat(F.initcap("n_name"), F.lit(" Nala"))).otherwise("").alias("name"), "lat", "lon")
@@ -605,7 +622,27 @@ def trend_points(spark: SparkSession, d: str) -> DataFrame:
     return series.trend(e).withColumn("midpoint", F.col("midpoint").cast("timestamp_ntz"))
 
 
-@query()
+_NOT_NAMES = names.STOP_WORDS + names.TYPE_WORDS
+
+
+def _usable_sql(k: int) -> str:
+    return f"(i + {k} >= 1 AND coalesce(regexp_full_match(t[i + {k}], '[A-Z]{{2,}}') AND NOT list_contains({_NOT_NAMES!r}, t[i + {k}]), false))"
+
+
+def _title_sql(words: str) -> str:
+    return f"array_to_string(list_transform({words}, lambda w: array_to_string(list_transform(string_split(w, '-'), lambda p: upper(p[1:1]) || lower(p[2:])), '-')), ' ')"
+
+
+@query(
+    f"""WITH o AS (SELECT entry_id, regexp_replace(upper(regexp_replace(coalesce(location, ''), '[^A-Za-z0-9/ -]+', ' ', 'g')), '{names.RECEIVING}.*$', '') AS own FROM field_entries),
+    t AS (SELECT entry_id, list_filter(string_split_regex(own, '\\s+'), lambda w: w <> '') AS t FROM o), p AS (SELECT entry_id, t, unnest(range(1, len(t) + 1)) AS i FROM t),
+    c AS (SELECT entry_id, i, CASE WHEN regexp_full_match(t[i], '[A-Z-]*[A-Z][A-Z-]*-({'|'.join(names.TYPE_WORDS)})') THEN {_title_sql('[t[i]]')}
+          WHEN NOT list_contains({names.TYPE_WORDS!r}, t[i]) THEN NULL
+          WHEN t[i] = 'RIVER' AND {_usable_sql(1)} THEN CASE WHEN {_usable_sql(2)} THEN {_title_sql('t[i + 1 : i + 2]')} ELSE {_title_sql('[t[i + 1]]')} END
+          WHEN {_usable_sql(-1)} THEN CASE WHEN {_usable_sql(-2)} THEN {_title_sql('t[i - 2 : i - 1]')} ELSE {_title_sql('[t[i - 1]]')} END || CASE WHEN t[i] = 'RIVER' THEN '' ELSE ' ' || {_title_sql('[t[i]]')} END END AS name FROM p),
+    f AS (SELECT entry_id, arg_min(name, i) AS name FROM c WHERE name IS NOT NULL GROUP BY 1)
+    SELECT entry_id, coalesce(f.name, '') AS water_body, {_base("coalesce(f.name, '')")} AS base FROM field_entries LEFT JOIN f USING (entry_id)"""
+)
 def water_body_names(spark: SparkSession, d: str) -> DataFrame:
     """The water body named in each label."""
     e = table(spark, d, "field_entries").select("entry_id", names.parse_water_body("location").alias("water_body"))
@@ -672,13 +709,6 @@ def far_ends(spark: SparkSession, d: str) -> DataFrame:
     return network.far_ends(_stations(spark, d).select(F.col("surface").alias("channel"), F.col("id").alias("node"), F.col("lon").alias("x"), F.col("lat").alias("y")))
 
 
-_BASE_SQL = "array_to_string(list_filter(regexp_extract_all(lower({c}), '[a-z]+'), lambda w: NOT list_contains({t}, w)), ' ')"
-
-
-def _base(c: str) -> str:
-    return _BASE_SQL.format(c=c, t=[w.lower() for w in names.TYPE_WORDS])
-
-
 @query(
     f"""WITH r AS (SELECT trim(alias) AS alias, trim(name) AS name, row_number() OVER () AS at FROM water_body_aliases WHERE trim(alias) <> '' AND trim(name) <> ''),
     k AS (SELECT base, min(name) AS name FROM (SELECT {_base('alias')} AS base, name FROM r UNION SELECT {_base('name')}, name FROM r) GROUP BY 1 HAVING count(DISTINCT name) = 1),

@@ -140,7 +140,7 @@ def read_folder(spark: SparkSession, folder: str, leave_out: Sequence[str] = ())
         raw = spark.read.csv(paths, header=True, inferSchema=False, multiLine=has_broken_cells(spark, paths), escape='"', encoding="UTF-8")
         columns = spark.range(1).select(*(X.clean(F.lit(c)).alias(f"c{i}") for i, c in enumerate(raw.columns))).first()
         at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
-        plain = raw.select(F.col("_metadata.file_name").alias("file_name"), at.alias("_at"), *(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(raw.columns)))
+        plain = raw.select(F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))).alias("file_name"), at.alias("_at"), *(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(raw.columns)))
         parts.append(plain.select("file_name", "_at", *(X.clean(F.col(f"_c{i}")).alias(n) for i, n in enumerate(columns))))
     out = parts[0]
     for p in parts[1:]:
