@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hydroframe.functions import text as X
 from hydroframe.operators import channels, interpolate, river, stats
 from hydroframe.plans.io import cut
 
@@ -193,6 +194,17 @@ def surface_for(about: DataFrame, parameter_family: str, exact: str | None = Non
     return ranked.agg(F.min_by(F.struct("period", "family"), "_r").alias("b")).where("b is not null").select("b.*")
 
 
+def figure_table(cells: DataFrame, box: DataFrame, bound: str = "upper", size: int = interpolate.GRID) -> DataFrame:
+    """The painted cells of surfaces with their position, the value of one bound, and its place on the ramp of its surface."""
+    if bound not in BOUNDS:
+        raise ValueError("bound is lower or upper")
+    step = lambda a: (F.col(f"max_{a}") - F.col(f"min_{a}")) / (size - 1)
+    ends = cells.groupBy(*ON).agg(F.min(bound).alias("low"), F.max(bound).alias("high"))
+    j = cells.where(F.col(bound).isNotNull()).join(box, ON).join(ends, ON)
+    lat, lon = F.col("max_lat") - F.col("row") * step("lat"), F.col("min_lon") + F.col("col") * step("lon")
+    return j.select(*ON, "row", "col", lat.alias("lat"), lon.alias("lon"), F.col(bound).alias("value"), "confidence", X.ramp_position(F.col(bound), F.col("low"), F.col("high")).alias("position"))
+
+
 def probe(cells: DataFrame, box: DataFrame, points: DataFrame, size: int = interpolate.GRID) -> DataFrame:
     """points (id, lat, lon) with the values of the cell they lie in on every surface; box as from extent(), by surface."""
     dy, dx = (F.col("max_lat") - F.col("min_lat")) / (size - 1), (F.col("max_lon") - F.col("min_lon")) / (size - 1)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from hydroframe.functions import names, utm
 from hydroframe.functions import text as X
 from hydroframe.operators import channels, graph, identity, interpolate, network, river, screening, series, standardize, stats, surfaces
-from hydroframe.plans.io import table
+from hydroframe.plans.io import ensure_checkpoint_dir, table
 from hydroframe.sources import tables
 from hydroframe.streaming import measurements as streaming
 
@@ -660,12 +660,15 @@ def alias_likeness(spark: SparkSession, d: str) -> DataFrame:
 def streamed_daily_stats(spark: SparkSession, d: str) -> DataFrame:
     """Windowed statistics of a stream that reads the events once."""
     schema = table(spark, d, "events").schema
-    name = f"daily_{uuid.uuid4().hex}"
+    # The result goes to the shared folder, not to the driver.
+    out = f"{ensure_checkpoint_dir(spark)}/daily_{uuid.uuid4().hex}"
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
-    run = streaming.windowed_stats(stream, "ts", "event_type", "value").writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    found = streaming.windowed_stats(stream, "ts", "event_type", "value")
+    run = found.writeStream.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).outputMode("complete").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.table(name).select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n", *(F.round(c, 6).alias(c) for c in ("mean", "min", "max")))
+    daily = spark.read.schema(found.schema).parquet(out)
+    return daily.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n", *(F.round(c, 6).alias(c) for c in ("mean", "min", "max")))
 
 
 @query("SELECT least(400, count(*)) AS loaded_rows, count(*) AS total_rows, greatest(count(*) - 400, 0) AS remaining_rows, count(*) > 400 AS has_more FROM measurements")

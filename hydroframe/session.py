@@ -6,8 +6,9 @@ import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hydroframe.operators import standardize
+from hydroframe.operators import series, standardize, stats
 from hydroframe.sources import tables
 
 
@@ -16,6 +17,8 @@ FUNCTIONS = (
     "haversine_m(lat1 DOUBLE, lon1 DOUBLE, lat2 DOUBLE, lon2 DOUBLE) RETURNS DOUBLE RETURN 2 * 6371000.0D * asin(sqrt(least(1.0D, greatest(0.0D, pow(sin((radians(lat2) - radians(lat1)) / 2), 2) + cos(radians(lat1)) * cos(radians(lat2)) * pow(sin((radians(lon2) - radians(lon1)) / 2), 2)))))",
     "clean_text(t STRING) RETURNS STRING RETURN trim(regexp_replace(translate(coalesce(t, ''), '\u2013\ufeff\u00c2', '-'), '[\\\\s\u00a0]+', ' '))",
 )
+#: Plans of figures that are kept.
+FIGURES = 128
 #: Bytes of an uploaded file, at most.
 MAX_UPLOAD = 10 * 1024 * 1024
 
@@ -27,6 +30,7 @@ class Registry:
         self.spark = spark
         self.tables: dict[str, tuple[str, DataFrame]] = {}
         self.active: str | None = None
+        self._figures: dict[tuple, DataFrame] = {}
         for sql in FUNCTIONS:
             spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION " + sql)
 
@@ -61,6 +65,29 @@ class Registry:
         label = name or " + ".join(self.tables[k][0] for k in keys)
         return self.register(label, standardize.concat(*(self.tables[k][1] for k in keys), station=station))
 
+    def figure(self, kind: str, parameter: str | None = None, location: str | None = None, year: int | None = None, month: int | None = None) -> DataFrame:
+        """The table behind a figure of the active measurements: trend, distribution (by year, or by month of a year) or
+        stream (stations by years). The last FIGURES plans are kept."""
+        if kind not in ("trend", "distribution", "stream"):
+            raise ValueError(f"unknown figure: {kind}")
+        key = (self.active, kind, parameter, location, year, month)
+        if key not in self._figures:
+            r = standardize.records(self.tables[self.active][1]).withColumn("numeric_value", F.col("frame_value")).where("numeric_value is not null")
+            if parameter is None:
+                # As shown first: the first parameter by name that has numbers.
+                parameter = (r.agg(F.min("parameter")).first() or [None])[0] or ""
+            r = series.filter_records(r, parameter, None if kind == "stream" else location, year, month)
+            if kind == "trend":
+                table = series.trend(r)
+            elif kind == "distribution":
+                table = stats.distribution(r.withColumn("bucket", F.col("year") if year is None else F.greatest("month_index", F.lit(1))), ["bucket"], "numeric_value")
+            else:
+                table = stats.station_year_means(r, "location", "year", "numeric_value")
+            self._figures[key] = table
+            while len(self._figures) > FIGURES:
+                self._figures.pop(next(iter(self._figures)))
+        return self._figures[key]
+
     def list(self) -> list[tuple[str, str, bool]]:
         """(id, name, active) of all tables."""
         return [(k, n, k == self.active) for k, (n, _) in self.tables.items()]
@@ -69,4 +96,4 @@ class Registry:
         """Forgets all tables."""
         for k in self.tables:
             self.spark.catalog.dropTempView(f"dataset_{k}")
-        self.tables, self.active = {}, None
+        self.tables, self.active, self._figures = {}, None, {}

@@ -7,6 +7,8 @@ ymax. Multi-part lines become several lines; other geometries and lines of one p
 from __future__ import annotations
 
 import json
+import math
+import os
 import re
 import struct
 from collections.abc import Callable, Iterator
@@ -15,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydroframe.sources.tables import with_row_id
+from hydroframe.sources.tables import in_box, with_row_id
 
 # Columns that may carry a line's attributes, in order of preference.
 FIELDS = {
@@ -158,3 +160,25 @@ def read_lines(spark: SparkSession, path: str, geometry: str = "geometry") -> Da
     schema = ", ".join(f"`{c}` string" for c in [*columns, geometry])
     df = spark.createDataFrame([(*(r.get(c) for c in columns), json.dumps(r[geometry])) for r in rows], schema)
     return line_table(df, geometry, lambda parts: [[tuple(p) for p in part] for part in json.loads(parts)])
+
+
+class LineCache:
+    """Lines of network files around a box, kept for the last KEPT of file, time of change and box in tenths of a degree;
+    a box is widened by a quarter of a degree, so that near boxes find what they need."""
+
+    KEPT, WIDER, STEP = 4, 0.25, 0.1
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self._held: dict[tuple, DataFrame] = {}
+
+    def lines(self, path: str, west: float, south: float, east: float, north: float, geometry: str = "geometry") -> DataFrame:
+        """The lines whose box meets the widened one."""
+        low = [math.floor(round(x / self.STEP, 6)) * self.STEP - self.WIDER for x in (west, south)]
+        high = [math.ceil(round(x / self.STEP, 6)) * self.STEP + self.WIDER for x in (east, north)]
+        key = (path, os.path.getmtime(path), *(round(x, 6) for x in (*low, *high)))
+        if key not in self._held:
+            self._held[key] = in_box(read_lines(self.spark, path, geometry), *low, *high).persist()
+            while len(self._held) > self.KEPT:
+                self._held.pop(next(iter(self._held))).unpersist()
+        return self._held[key]

@@ -133,3 +133,44 @@ def test_kriging_at_targets(spark):
     r = spark.createDataFrame(rel, "target int, station int, relation string, distance double, share double")
     got = {x.target: x for x in interpolate.krige_targets(s, r, targets, "tail_down", 20.0).collect()}
     assert set(got) == {100, 105} and got[105].estimate == pytest.approx(26.5, abs=1.5) and all(0 <= x.confidence <= 1 for x in got.values())
+
+
+def test_box_reaches_the_scan(spark, tmp_path):
+    p = str(tmp_path / "lines.parquet")
+    spark.range(10).selectExpr("id", "id * 1.0D AS xmin", "id + 0.5D AS xmax", "id * 1.0D AS ymin", "id + 0.5D AS ymax").write.parquet(p)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    found = tables.in_box(spark.read.parquet(p), 2.2, 0.0, 4.2, 9.0)
+    plan = found.select("id")._jdf.queryExecution().executedPlan().toString()
+    pushed = plan[plan.index("PushedFilters") :].split("ReadSchema")[0]
+    assert all(f in pushed for f in ("GreaterThanOrEqual(xmax,2.2)", "LessThanOrEqual(xmin,4.2)"))
+    assert sorted(r.id for r in found.collect()) == [2, 3, 4]
+
+
+def test_lines_are_kept(spark, tmp_path):
+    from hydroframe.sources.lines import LineCache
+
+    p = tmp_path / "n.csv"
+    p.write_text('name,geometry\nNear,"LINESTRING (76 30, 76.1 30)"\nFar,"LINESTRING (80 30, 80.1 30)"\n')
+    cache = LineCache(spark)
+    one = cache.lines(str(p), 76.01, 29.9, 76.05, 30.1)
+    assert [r.name for r in one.collect()] == ["Near"] and cache.lines(str(p), 76.02, 29.91, 76.06, 30.09) is one
+    for k in range(4):
+        cache.lines(str(p), 77.0 + k, 29.9, 77.1 + k, 30.1)
+    assert len(cache._held) == 4 and cache.lines(str(p), 76.01, 29.9, 76.05, 30.1) is not one
+
+
+def test_figures(spark, tmp_path):
+    from hydroframe.session import Registry
+
+    p = tmp_path / "f.csv"
+    p.write_text("Parameter,Value,Location,Latitude,Longitude,Date\n" + "".join(f"pH,{v},A,30.7,76.7,0{m}-0{m}-2024\n" for m, v in enumerate((1, 2, 3, 4, 100), 1)) + "DO,9,B,30.7,76.7,01-01-2025\n")
+    reg = Registry(spark)
+    reg.upload(str(p))
+    d = reg.figure("distribution", "PH").first()
+    assert (d.bucket, d["count"], d["min"], d.q1, d.median, d.q3, d["max"], d.mean, d.iqr, d.lower_whisker, d.upper_whisker) == (2024, 5, 1, 2, 3, 4, 100, 22, 2, 1, 4)
+    assert reg.figure("distribution", "pH") is not reg.figure("distribution", "PH") and reg.figure("distribution", "PH") is reg.figure("distribution", "PH")
+    assert [r.parameter for r in reg.figure("trend").collect()] == ["DO"] and reg.figure("trend", "pH", "a", 2024, 2).count() == 1
+    assert {(r.location, r.year, r.mean) for r in reg.figure("stream", "pH").collect()} == {("A", 2024, 22.0)}
+    with pytest.raises(ValueError):
+        reg.figure("pie")
+    reg.reset()
