@@ -1,22 +1,25 @@
 """Linking of the labels under which monitoring points appear (problem 7).
 
 A label is read into side, kind of structure and up to two names (village and water body, in any order); labels that
-read alike are one representative. All pairs of distinct names above RATIO are found first, in tiles of TILE names
-each way: common letters bound the longest common subsequence from above, so no pair is lost. Two representatives of
-the same structure and side then meet by equality with a near name of the one of their names that reaches fewer
-representatives; a name that a third of all labels share is not expanded where the other name is rarer. Pairs are
-verified by the ratio of the longest common subsequence of both names; links are closed into points by alternating
-minimum propagation with checkpoints. The work on names grows with the square of the number of distinct names.
+read alike are one representative. Suffix blocking finds the near names: distinct names are filed under their last END
+letters, refined by bands of length that lose no pair, and under their beginnings with one letter left out, as ends may
+be abbreviated. No suffix is discarded: common ones are compared in tiles, where letters in common bound the longest common
+subsequence from above. Two representatives of the same structure and side then meet by equality with a near name of
+the one of their names that reaches fewer representatives; a name that a third of all labels share is not expanded
+where the other name is rarer. Pairs are verified by the ratio of the longest common subsequence of both names; links
+are closed into points by alternating minimum propagation with checkpoints.
 
 A label without structure meets all labels of its side that have its names, and joins their point when there is just
 one.
 
 Defined cases: labels without id are left out; null and blank labels, and labels without any name, belong to no point of others; missing coordinates
-neither help nor harm; coordinates far apart need nearly equal names; repeated labels are linked to each other.
+neither help nor harm; coordinates far apart need nearly equal names; repeated labels are linked to each other; two
+spellings of a name that differ in their suffixes and by more than a letter in their beginnings are not compared.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -24,12 +27,14 @@ from string import ascii_lowercase
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hydroframe.plans.io import cut, only
 
+#: Letters of the suffixes, and beginnings, that names are filed under.
+END = 3
 #: Names of a tile of comparisons, each way.
 TILE = 1_000
 #: Equal letters of a name that are counted one by one.
@@ -166,6 +171,8 @@ def _counts(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def near_pairs(left: list[str], right: list[str]) -> list[tuple[str, str]]:
     """Every (name of left, name of right) with a ratio of at least RATIO; names are letters a to z."""
+    if len(left) * len(right) <= 64:
+        return [(a, b) for a in left for b in right if alike(a, b) >= RATIO]
     (sa, ra), (sb, rb) = _counts(left), _counts(right)
     la, lb = (np.array([len(n) for n in names], np.float32) for names in (left, right))
     least_a, least_b = (np.minimum(RATIO * n - 1e-3, n - 1) for n in (la, lb))
@@ -183,22 +190,55 @@ def near_pairs(left: list[str], right: list[str]) -> list[tuple[str, str]]:
     return out
 
 
+def _keys(name: Column) -> Column:
+    """What a name is filed under: its suffix of END letters, with length bands of which names whose lengths allow the
+    ratio have one in common; and its first END + 1 letters less any one of them, so that a slip there, where the end is
+    abbreviated, leaves a key in common."""
+    band = F.floor(F.log(F.length(name).cast("double")) / -math.log(RATIO))
+    end = F.concat(F.lit("-"), F.right(name, F.lit(END)))
+    begun = [F.concat(F.substring(name, 1, k), F.substring(name, k + 2, END - k), F.lit("-")) for k in range(END + 1)]
+    return F.array_distinct(F.array(*begun, F.concat(end, F.lit(":"), band.cast("string")), F.concat(end, F.lit(":"), (band + 1).cast("string"))))
+
+
 def near_names(reps: DataFrame) -> DataFrame:
-    """(name, near): all pairs of names, also of a name with itself, with a ratio of at least RATIO."""
+    """(name, near): pairs of names, also of a name with itself, with a ratio of at least RATIO that have a key in common.
+
+    Suffixes are refined by length bands, and none is discarded: what a common one still holds is compared in tiles of
+    TILE names each way, so no task holds a whole suffix.
+    """
     names = cut(reps.select(F.explode(F.array("water", "village")).alias("name")).where("name <> ''").distinct())
-    chunks = max(-(-names.count() // TILE), 1)
+    filed = names.select("name", F.explode(_keys(F.col("name"))).alias("key"))
+    sizes = filed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    chunks = F.ceil(F.col("n") / TILE).cast("int")
+    chunk = filed.join(sizes, "key").select("key", "name", chunks.alias("chunks"), F.pmod(F.xxhash64("name"), chunks).cast("int").alias("chunk"))
+    tiles = chunk.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("k")).select("key", "name", "chunk", F.least("chunk", "k").alias("i"), F.greatest("chunk", "k").alias("j"))
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        i, j = f["i"].iloc[0], f["j"].iloc[0]
-        left, right = (f["name"][f["chunk"] == k].tolist() for k in (i, j))
-        found = near_pairs(left, right)
-        return pd.DataFrame(found + [(b, a) for a, b in found if i != j], columns=["name", "near"])
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tile, left, right = None, [], []
+
+        def found() -> pd.DataFrame:
+            if not left or not right:
+                return pd.DataFrame({"name": [], "near": []}, dtype=object)
+            pairs_ = near_pairs(left, right)
+            return pd.DataFrame(pairs_ + [(b, a) for a, b in pairs_ if tile[1] != tile[2]], columns=["name", "near"])
+
+        for f in frames:
+            for key, name, c, i, j in zip(f["key"], f["name"], f["chunk"], f["i"], f["j"]):
+                if (key, i, j) != tile:
+                    if tile:
+                        yield found()
+                    tile, left, right = (key, i, j), [], []
+                if c == i:
+                    left.append(name)
+                if c == j:
+                    right.append(name)
+        if tile:
+            yield found()
 
-    chunk = names.select("name", F.pmod(F.xxhash64("name"), F.lit(chunks)).cast("int").alias("chunk"))
-    tiles = chunk.select("*", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("k")).select("name", "chunk", F.least("chunk", "k").alias("i"), F.greatest("chunk", "k").alias("j"))
     # By number, so that tiles are spread and small shuffles aren't merged into few tasks.
-    spread = tiles.repartition(max(int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1), "i", "j")
-    return cut(spread.groupBy("i", "j").applyInPandas(run, "name string, near string"))
+    parts = max(int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    near = tiles.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(run, "name string, near string")
+    return cut(near.unionByName(names.select("name", F.col("name").alias("near"))).distinct())
 
 
 def _either(reps: DataFrame, *fields: str) -> DataFrame:

@@ -121,20 +121,18 @@ def test_bare_label_meets_all_points(spark):
     assert len({got[i] for i in range(44, 64)}) == 1 and len({got[44], got[64], got[65]}) == 3
 
 
-def test_near_pairs_are_all_pairs(spark):
+def test_near_pairs_are_all_pairs(spark, monkeypatch):
+    """In a tile all near pairs are found, and over all suffixes all that share an end, whatever the tiles."""
     rng = random.Random(12)
-    names = ["".join(rng.choice("abet") for _ in range(rng.randrange(3, 12))) for _ in range(150)] + ["a" * 40, "a" * 50, "ab" * 30, "abeta" + "b" * 30]
+    names = sorted({"".join(rng.choice("abet") for _ in range(rng.randrange(3, 12))) for _ in range(150)} | {"a" * 40, "a" * 50, "ab" * 30, "abeta" + "b" * 30})
     want = {(a, b) for a in names for b in names if variants.alike(a, b) >= variants.RATIO}
     assert set(variants.near_pairs(names, names)) == want
-
-
-def test_names_of_many_words(spark):
-    """Names of three and more words are found, also with one of their words parted."""
-    aliases = spark.createDataFrame([("Patiala Ki Rao", "Patiala Ki Rao", None), ("Great Upper Old Mill Stream", "Great Upper Old Mill Stream", None)], "alias string, name string, note string")
-    typed = ["Patiala Ki Rao at bridge", "patialakirao", "Pati ala ki rao", "great upper old mil stream", "Great Upper", "rao ki patiala"]
-    df = spark.createDataFrame(list(enumerate(typed)), "entry_id long, location string")
-    got = {r.entry_id: r.name for r in canonical.map_names(df, aliases).collect()}
-    assert got == {0: "Patiala Ki Rao", 1: "Patiala Ki Rao", 2: "Patiala Ki Rao", 3: "Great Upper Old Mill Stream", 4: "", 5: ""}
+    begun = lambda n: {n[:k] + n[k + 1 : 4] for k in range(4)}
+    ends = {(a, b) for a, b in want if a == b or begun(a) & begun(b) or (a[-3:] == b[-3:] and min(len(a), len(b)) >= variants.RATIO * max(len(a), len(b)))}
+    reps = spark.createDataFrame([(n, "") for n in names], "water string, village string")
+    for tile in (1000, 7):
+        monkeypatch.setattr(variants, "TILE", tile)
+        assert ends <= {(r.name, r.near) for r in variants.near_names(reps).collect()} <= want
 
 
 def test_long_chains_of_variants(spark):
