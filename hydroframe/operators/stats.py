@@ -47,17 +47,18 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, at: Sequence[float]
     w = W.partitionBy(*by).orderBy("_part")
     sums = sums.withColumn("_end", F.sum("_size").over(w))
     wanted = F.array(*(F.struct(F.lit(i).alias("i"), (F.lit(p) * (F.col("_total") - 1)).alias("rank")) for i, p in enumerate(at)))
-    asked = bounds.select(*by, F.explode(wanted).alias("w"))
-    ends = asked.select(*by, "w.i", "w.rank", F.explode(F.array_distinct(F.array(F.floor("w.rank"), F.ceil("w.rank")))).alias("k"))
-    held = ends.join(sums.select(*by, "_part", (F.col("_end") - F.col("_size")).alias("_begin"), "_end"), list(by)).where((F.col("k") >= F.col("_begin")) & (F.col("k") < F.col("_end")))
+    asked = bounds.select(*by, F.explode(wanted).alias("_w"))
+    ends = asked.select(*by, F.col("_w.i").alias("_i"), F.col("_w.rank").alias("_rank"), F.explode(F.array_distinct(F.array(F.floor("_w.rank"), F.ceil("_w.rank")))).alias("_k"))
+    held = ends.join(sums.select(*by, "_part", (F.col("_end") - F.col("_size")).alias("_begin"), "_end"), list(by)).where((F.col("_k") >= F.col("_begin")) & (F.col("_k") < F.col("_end")))
     parts = held.select(*by, "_part", "_begin").distinct()
     inside = part.select(*by, "_part", "_v", "_n").join(parts, [*by, "_part"])
     inside = inside.withColumn("_to", F.col("_begin") + F.sum("_n").over(W.partitionBy(*by, "_part").orderBy("_v")))
-    found = held.join(inside.select(*by, "_part", "_v", "_n", "_to"), [*by, "_part"]).where((F.col("k") < F.col("_to")) & (F.col("k") >= F.col("_to") - F.col("_n")))
-    frac = F.col("rank") - F.floor("rank")
-    q = found.groupBy(*by, "i").agg(F.max(F.when(F.col("k") == F.floor("rank"), F.col("_v"))).alias("lo"), F.max(F.when(F.col("k") == F.ceil("rank"), F.col("_v"))).alias("hi"), F.first(frac).alias("f"))
-    q = q.select(*by, "i", F.when(F.col("f") == 0, F.col("lo")).otherwise(F.col("lo") * (1 - F.col("f")) + F.col("hi") * F.col("f")).alias("v"))
-    return q.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("q"))
+    found = held.join(inside.select(*by, "_part", "_v", "_n", "_to"), [*by, "_part"]).where((F.col("_k") < F.col("_to")) & (F.col("_k") >= F.col("_to") - F.col("_n")))
+    whole = lambda f: F.max(F.when(F.col("_k") == f("_rank"), F.col("_v")))
+    q = found.groupBy(*by, "_i").agg(whole(F.floor).alias("_lo"), whole(F.ceil).alias("_hi"), F.first(F.col("_rank") - F.floor("_rank")).alias("_f"))
+    value_ = F.when(F.col("_f") == 0, F.col("_lo")).otherwise(F.col("_lo") * (1 - F.col("_f")) + F.col("_hi") * F.col("_f"))
+    q = q.select(*by, F.struct("_i", value_.alias("_x")).alias("_q"))
+    return q.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list("_q")), lambda s: s["_x"]).alias("q"))
 
 
 def boxplots(df: DataFrame, station: Column, family: Column, year: Column, month: Column, value: Column, digits: int = 4) -> DataFrame:
