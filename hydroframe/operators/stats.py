@@ -41,7 +41,8 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, at: Sequence[float]
     """
     d = df.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     d = cut(d)
-    bounds = d.groupBy(*by).agg(F.sum("_n").alias("_total"), F.percentile_approx("_v", [k / RANGES for k in range(1, RANGES)], F.lit(10 * RANGES)).alias("_cuts"))
+    # Written once: a sketch depends on the order in which its parts are merged, and all that follows must see the same ranges.
+    bounds = cut(d.groupBy(*by).agg(F.sum("_n").alias("_total"), F.percentile_approx("_v", [k / RANGES for k in range(1, RANGES)], F.lit(10 * RANGES)).alias("_cuts")))
     part = d.join(bounds, list(by)).withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))))
     sums = part.groupBy(*by, "_total", "_part").agg(F.sum("_n").alias("_size"))
     w = W.partitionBy(*by).orderBy("_part")

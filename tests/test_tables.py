@@ -1,6 +1,7 @@
 """Scans, services, station tables, quantiles and presentation columns on small tables with known results."""
 
 import datetime as dt
+import random
 
 import numpy as np
 import pytest
@@ -80,6 +81,16 @@ def test_quantiles_are_exact(spark):
     assert set(got) == set("abcd") and d["e"]["count"] == 0 and d["e"].median is None and d["a"].std is None
 
 
+def test_quantiles_hold_where_a_sketch_differs_each_time(spark, monkeypatch):
+    """The parts of a sketch come in any order on a cluster, so its cuts differ when it is evaluated again."""
+    sketch = F.percentile_approx
+    shift = F.udf(lambda cuts: [c + random.uniform(-40, 40) for c in cuts], "array<double>").asNondeterministic()
+    monkeypatch.setattr(stats.F, "percentile_approx", lambda *a: shift(sketch(*a)))
+    df = spark.range(4000).select((F.col("id") % 4).alias("g"), F.floor(F.col("id") / 4).cast("double").alias("v"))
+    rows = stats.describe(df, "g", "v").collect()
+    assert sorted((r.parameter, r["count"], r.min, r.q1, r.median, r.q3, r.max) for r in rows) == [(g, 1000, 0.0, 249.75, 499.5, 749.25, 999.0) for g in range(4)]
+
+
 def test_station_table(spark):
     rows = [(1, "A", None, 76.0, "x"), (2, "A", 30.0, 76.0, "y"), (3, "A", 31.0, 76.0, "x"), (4, "B", None, None, ""), (5, "", 1.0, 1.0, "z"), (6, "Attawa Choa at bridge", 30.0, 76.0, "Attawa Choe")]
     df = spark.createDataFrame(rows, "row_id int, place string, lat double, lon double, body string")
