@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from hydroframe.functions import text as X
 from hydroframe.functions import utm
 from hydroframe.operators import interpolate, network, series, standardize, stats
+from hydroframe.plans import reference_queries
 from hydroframe.sources import remote, tables
 
 
@@ -81,16 +82,29 @@ def test_quantiles_are_exact(spark):
     assert set(got) == set("abcd") and d["e"]["count"] == 0 and d["e"].median is None and d["a"].std is None
 
 
-def test_quantiles_hold_where_a_sketch_differs_each_time(spark, monkeypatch):
+@pytest.fixture
+def uneven_sketches(monkeypatch):
     """The parts of a sketch come in any order on a cluster, so its cuts differ when it is evaluated again."""
     sketch = F.percentile_approx
     shift = F.udf(lambda cuts: [c + random.uniform(-40, 40) for c in cuts], "array<double>").asNondeterministic()
     monkeypatch.setattr(stats.F, "percentile_approx", lambda *a: shift(sketch(*a)))
+
+
+def test_quantiles_hold_where_a_sketch_differs_each_time(spark, uneven_sketches):
     df = spark.range(4000).select((F.col("id") % 4).alias("g"), F.floor(F.col("id") / 4).cast("double").alias("v"))
     rows = stats.describe(df, "g", "v").collect()
     assert sorted((r.parameter, r["count"], r.min, r.q1, r.median, r.q3, r.max) for r in rows) == [(g, 1000, 0.0, 249.75, 499.5, 749.25, 999.0) for g in range(4)]
 
 
+def test_measurements_are_described_where_a_sketch_differs_each_time(spark, uneven_sketches, tmp_path):
+    n = F.col("id")
+    named = F.when(n % 2 == 0, F.lit("pH")).otherwise(F.lit(" Dissolved  Oxygen "))
+    spark.range(2000).select(named.alias("parameter"), F.concat(F.lit(" "), F.floor(n / 2).cast("string")).alias("value")).unionByName(spark.createDataFrame([("Weather", "fog"), (None, "1,234")], "parameter string, value string")).write.parquet(f"{tmp_path}/measurements.parquet")
+    got = {r.parameter: r[1:] for r in reference_queries.describe_measurements(spark, str(tmp_path)).collect()}
+    assert set(got) == {"pH", "Dissolved Oxygen", "Weather", ""} and got["Weather"] == got[""] == (0, *[None] * 7)
+    assert got["pH"] == got["Dissolved Oxygen"] and got["pH"][0] == 1000 and got["pH"][3:] == (0.0, 249.75, 499.5, 749.25, 999.0)
+
+
 def test_station_table(spark):
     rows = [(1, "A", None, 76.0, "x"), (2, "A", 30.0, 76.0, "y"), (3, "A", 31.0, 76.0, "x"), (4, "B", None, None, ""), (5, "", 1.0, 1.0, "z"), (6, "Attawa Choa at bridge", 30.0, 76.0, "Attawa Choe")]
     df = spark.createDataFrame(rows, "row_id int, place string, lat double, lon double, body string")
