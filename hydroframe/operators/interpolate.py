@@ -1,7 +1,8 @@
 """Straight-line and along-channel interpolation: weighting, validation, choice of reach, grids and kriging.
 
-Stations and targets meet through grid cells of the reach's size, not in a cross join; only surfaces without a reach
-pair every target with every station, and their station side is small (checked by MAX_STATIONS).
+Stations and targets meet through grid cells of the reach's size, not in a cross join; only searches without a
+reach pair every target with every station: grids in arrays, in blocks of stations, others as rows, where the station
+side is small (checked by MAX_STATIONS).
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -22,6 +25,8 @@ MAX_STATIONS = 5_000
 REACHES_KM: tuple[float | None, ...] = (2.0, 4.0, 8.0, 16.0, 32.0, None)
 FALLBACK_KM = 8.0
 GRID = 192
+#: Rows of a grid that one call estimates, and places that it looks at together.
+BAND, PLACES = 8, 2_048
 LEAST_SPAN, PAD = 0.01, 0.08
 RANGE_FACTORS, NUGGETS = (0.5, 1.0, 2.0, 4.0), (0.1, 0.3, 0.6)
 # Parts of tail-up, tail-down and straight-line correlation in the mixed models.
@@ -157,10 +162,66 @@ def grid(stations: DataFrame, size: int = GRID, limit_km: float | None = None, p
     if limit_km is not None:
         check_positive(limit_km, "limit_km")
     st = stations.select(*on, "id", "lat", "lon", "value")
-    cells = extent(st, on).withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(size - 1)))).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
-    cells = cells.select(*on, "row", "col", (F.col("max_lat") - F.col("row") * (F.col("max_lat") - F.col("min_lat")) / (size - 1)).alias("lat"), (F.col("min_lon") + F.col("col") * (F.col("max_lon") - F.col("min_lon")) / (size - 1)).alias("lon"))
-    pairs = all_pairs(cells, st, on) if limit_km is None else near_pairs(cells, st, limit_km, on)
-    return idw(pairs, [*on, "row", "col"], power).select(*on, "row", "col", F.round("estimate", digits).alias("estimate"), F.round("nearest_m", 1).alias("nearest_m"))
+    if limit_km is None:
+        found = _unlimited_grid(st, size, float(power), on)
+    else:
+        cells = extent(st, on).withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(size - 1)))).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
+        cells = cells.select(*on, "row", "col", (F.col("max_lat") - F.col("row") * (F.col("max_lat") - F.col("min_lat")) / (size - 1)).alias("lat"), (F.col("min_lon") + F.col("col") * (F.col("max_lon") - F.col("min_lon")) / (size - 1)).alias("lon"))
+        found = idw(near_pairs(cells, st, limit_km, on), [*on, "row", "col"], power)
+    return found.select(*on, "row", "col", F.round("estimate", digits).alias("estimate"), F.round("nearest_m", 1).alias("nearest_m"))
+
+
+def _unlimited_grid(st: DataFrame, size: int, power: float, on: Sequence[str]) -> DataFrame:
+    """(on, row, col, estimate, nearest_m) of every cell from all stations of its surface, in arrays per band of rows.
+
+    Stations at one position have one distance, so their values are summed first. Within a band distances are made of
+    parts that depend on the row or the column alone; stations come in blocks, so any number of them is worked through.
+    """
+    own = F.col("value").cast("double")
+    places = st.where(" and ".join(f"`{c}` is not null" for c in on)).groupBy(*on, F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
+    places = places.agg(F.sum(own).alias("_sum"), F.count(F.lit(1)).cast("double").alias("_n"), F.min(F.when(own.isNotNull(), F.struct("id", own.alias("value")))).alias("_first"))
+    # Of places equally near, the one with the smallest id decides, so they come in its order.
+    bands = places.join(extent(st, on), list(on)).withColumn("_band", F.explode(F.sequence(F.lit(0), F.lit((size - 1) // BAND))))
+    kinds = dict(st.dtypes)
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.take(pc.sort_indices(t, sort_keys=[("_id", "ascending")], null_placement="at_end"))
+        lat, lon, total, n, first = (t.column(c).to_numpy().astype(float) for c in ("lat", "lon", "_sum", "_n", "_value"))
+        low, high, west, east = (float(t.column(c)[0].as_py() if t.column(c)[0].is_valid else math.nan) for c in ("min_lat", "max_lat", "min_lon", "max_lon"))
+        valued = t.column("_value").is_valid().to_numpy()
+        total = np.where(t.column("_sum").is_valid().to_numpy(), total, 0.0)
+        band = t.column("_band")[0].as_py()
+        rows = np.arange(band * BAND, min((band + 1) * BAND, size))
+        la, lo = np.radians(lat), np.radians(lon)
+        row_la = np.radians(high - rows * (high - low) / max(size - 1, 1))
+        col_lo = np.radians(west + np.arange(size) * (east - west) / max(size - 1, 1))
+        estimate, nearest = np.empty((len(rows), size)), np.empty((len(rows), size))
+        for k, r in enumerate(row_la):
+            up, down, least, best, exact = np.zeros(size), np.zeros(size), np.full(size, np.inf), np.full(size, np.inf), np.full(size, np.nan)
+            for at in range(0, len(la), PLACES):
+                b = slice(at, at + PLACES)
+                h = np.sin((la[b] - r) / 2)[:, None] ** 2 + (np.cos(r) * np.cos(la[b]))[:, None] * np.sin((lo[b, None] - col_lo) / 2) ** 2
+                d = 2 * X.EARTH_M * np.arcsin(np.sqrt(np.clip(h, 0, 1)))
+                w = np.fmax(d, 1.0) / 1000
+                w = 1 / (w * w) if power == 2 else w**-power
+                up += total[b] @ w
+                down += n[b] @ w
+                least = np.fmin(least, np.fmin.reduce(d, axis=0))
+                near = np.where(valued[b, None] & np.isfinite(d), d, np.inf)
+                i = near.argmin(0)
+                closer = near[i, np.arange(size)] < best
+                best, exact = np.where(closer, near[i, np.arange(size)], best), np.where(closer, first[b][i], exact)
+            estimate[k], nearest[k] = np.where(least < 1, exact, up / down), least
+        cells = len(rows) * size
+        none = (nearest < 1) & np.isnan(estimate) if valued.any() else np.ones(estimate.shape, bool)
+        names = {c: t.column(c).combine_chunks().take(pa.array(np.zeros(cells, np.int64))) for c in on}
+        found = {"estimate": pa.array(estimate.ravel(), mask=none.ravel()), "nearest_m": pa.array(nearest.ravel(), mask=~np.isfinite(nearest.ravel()))}
+        return pa.table({**names, "row": pa.array(np.repeat(rows, size).astype(np.int32)), "col": pa.array(np.tile(np.arange(size, dtype=np.int32), len(rows))), **found})
+
+    bands = bands.select(*on, "_band", "lat", "lon", "_sum", "_n", F.col("_first.id").alias("_id"), F.col("_first.value").alias("_value"), "min_lat", "max_lat", "min_lon", "max_lon")
+    # By number, as the rows are few and would be merged into one task.
+    spread = bands.repartition(max(int(st.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1), *on, "_band")
+    return spread.groupBy(*on, "_band").applyInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in on), "row int, col int, estimate double, nearest_m double"]))
 
 
 def covariance(model: str, share: np.ndarray, linked: np.ndarray, d: np.ndarray, straight: np.ndarray, reach: float, mix: tuple[float, float, float]) -> np.ndarray:

@@ -177,6 +177,36 @@ def test_straight_lines(spark):
             interpolate.check_positive(bad, "limit")
 
 
+def test_grid_of_any_number_of_stations(spark, monkeypatch):
+    """Stations are worked through in blocks, none are refused; equal positions, cells at stations, missing values."""
+    rng = np.random.default_rng(3)
+    pts = [(("a", "b")[i % 2], i, float(a), float(b), float(v)) for i, (a, b, v) in enumerate(zip(rng.uniform(59, 61, 90), rng.uniform(9, 12, 90), rng.normal(size=90)))]
+    pts += [("a", 100 + i, *pts[2 * i][2:4], float(i)) for i in range(9)] + [("c", 200, 10.0, 20.0, 7.0), ("c", 199, 10.0, 20.0, 8.0), ("c", 198, 10.0, 20.0, None), ("d", 1, 0.0, 0.0, None), (None, 1, 0.0, 0.0, 1.0)]
+    s = spark.createDataFrame(pts, "surface string, id int, lat double, lon double, value double")
+    monkeypatch.setattr(interpolate, "MAX_STATIONS", 20)
+    monkeypatch.setattr(interpolate, "PLACES", 16)
+    got = {(r.surface, r.row, r.col): (r.estimate, r.nearest_m) for r in interpolate.grid(s, 11, power=1.5).collect()}
+    box = {r.surface: r for r in interpolate.extent(s.where("surface is not null")).collect()}
+    assert len(got) == 4 * 121
+    for (surface, row, col), (estimate, nearest) in got.items():
+        b = box[surface]
+        la, lo = math.radians(b.max_lat - row * (b.max_lat - b.min_lat) / 10), math.radians(b.min_lon + col * (b.max_lon - b.min_lon) / 10)
+        near = []
+        for _, i, lat, lon, v in (p for p in pts if p[0] == surface):
+            h = math.sin((math.radians(lat) - la) / 2) ** 2 + math.cos(la) * math.cos(math.radians(lat)) * math.sin((math.radians(lon) - lo) / 2) ** 2
+            near.append((2 * X.EARTH_M * math.asin(math.sqrt(h)), i, v))
+        assert nearest == pytest.approx(min(near)[0], abs=0.06)
+        valued = [x for x in near if x[2] is not None]
+        if not valued:
+            assert estimate is None
+        elif min(near)[0] < 1:
+            assert estimate == min(valued)[2]
+        else:
+            weight = lambda d: (max(d, 1) / 1000) ** -1.5
+            assert estimate == pytest.approx(sum(weight(d) * v for d, _, v in valued) / sum(weight(d) for d, *_ in near), abs=6e-5)
+    assert got["c", 5, 5] == (8.0, 0.0)
+
+
 def test_near_pairs_are_all_pairs_within(spark):
     rng = np.random.default_rng(1)
     pts = [(1, i, float(a), float(b), 1.0) for i, (a, b) in enumerate(zip(rng.uniform(59, 61, 150), rng.uniform(9, 12, 150)))]
