@@ -122,3 +122,15 @@ def test_quoted_words_stay_in_their_sentence():
     text = "Annotators marked the token ``imbecile'' as hostile. He wrote ``you filthy moron'' on it."
     got = [w for p in abuse.pieces(text) for w in abuse.windows(p)]
     assert got == ["annotators marked the token imbecile as hostile", "he wrote", "you filthy moron", "on it"]
+
+
+def test_folding_keeps_known_words_within_bounds(monkeypatch):
+    """Words once met are not looked into again; what is kept is bounded and changes no result."""
+    monkeypatch.setattr(abuse, "_UNDRAWN", set())
+    monkeypatch.setattr(abuse, "MAX_UNDRAWN", 3)
+    cases = {"the flow is low": "the flow is low", "the flooow is low": "the flow is low", "a_b cd, is-low": "a b cd is low", "x y z of w": "xyz of w", "no 1999 m0r0n 12": "no moron", "flow is coool flow": "flow is col flow", "": ""}
+    for _ in range(2):
+        for piece, words in cases.items():
+            assert " ".join(abuse._folded_words(piece)) == words
+            assert len(abuse._UNDRAWN) <= 3
+    assert abuse._UNDRAWN and all(w.isalpha() and len(w) > 1 and w not in ("flooow", "coool") for w in abuse._UNDRAWN)
