@@ -183,6 +183,37 @@ def test_spikes_at_the_same_time_of_day():
     assert found["reading_id"].tolist() == spiked and set(found["kind"]) == {"spike"}
 
 
+def test_pursuit_decides_what_is_checked(monkeypatch):
+    """The height of candidates alone is checked; without a usual course more are candidates, and the same are found."""
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(1)
+    n = 8 * 96
+    x = 20 + 3 * np.sin(np.arange(n) * 2 * np.pi / 96) + rng.normal(0, 0.02, n)
+    usual = float(np.median(np.abs(np.diff(x))))
+    spiked = sorted({*range(40, n, 96), 100, 101, 333, 500, 501})
+    x[spiked] += 15 * usual
+    frame = pd.DataFrame({"reading_id": range(n), "at": np.arange(n) * 900.0, "x": x, "before": [[]] * n, "after": [[]] * n, "usual": usual})
+    checked, tall = [], spikes.tall
+    monkeypatch.setattr(spikes, "tall", lambda *a: checked.append(len(out := tall(*a))) or out)
+    found = spikes._block(frame)
+    assert found["reading_id"].tolist() == spiked and checked[0] < n / 2
+    for course in (lambda m: m - np.median(m), lambda m: m * np.nan, lambda m: m):
+        monkeypatch.setattr(spikes, "robust_pca", course)
+        assert spikes._block(frame)["reading_id"].tolist() == spiked and checked[-1] > checked[0]
+
+
+def test_spikes_beside_enormous_numbers(spark):
+    """A number whose square is infinite is a spike like any other, and the pursuit ends."""
+    rng = random.Random(5)
+    v = [8 + rng.gauss(0, 0.05) for _ in range(500)]
+    v[60], v[200], v[300] = "1e200", v[200] + 4, "-7e160"
+    readings = series(v, parameter="DO") + series([*v[:300], "9.9e299", *v[301:]], probe=2, parameter="DO", first=1001)
+    got = {tuple(r) for r in spikes.implausible(spark.createDataFrame(readings, R)).collect()}
+    assert got == brute(readings) and {(61, "spike"), (201, "spike"), (301, "impossible"), (1301, "spike")} <= got
+
+
 def test_spikes_of_repeated_rows(spark):
     r = series([7.0, 7.1, 7.0, 7.2, 7.1], parameter="pH") + [(99, 1, "x", "pH", "-", "7.000", dt.datetime(2022, 1, 1), None), (100, None, "x", "pH", "-", "99", None, None), (None, 1, None, None, None, None, None, None)]
     assert {tuple(x) for x in spikes.implausible(spark.createDataFrame(r, R)).collect()} == {(100, "impossible")}
